@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import site_lines
+from . import mainbody, site_lines
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +23,31 @@ def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.block_report(table(spark, sf_dir, "web_articles"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.residue_articles(table(spark, sf_dir, "web_articles"))
+
+
+def p3_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = table(spark, sf_dir, "web_articles")
+    return articles.join(mainbody.residue_articles(articles), "article_id", "left_anti").select("article_id", "url", "title")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.cut_verdicts(table(spark, sf_dir, "web_articles")).where("is_cut").select("article_id")
+
+
+def p4_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.truncation_report(table(spark, sf_dir, "web_articles"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainbody.page_lines(table(spark, sf_dir, "web_articles"))
+
+
+def p7_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    articles = table(spark, sf_dir, "web_articles")
+    return site_lines.without_lines(articles, mainbody.page_lines(articles))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}

@@ -11,7 +11,8 @@ import xxhash
 TAG = re.compile(r"<[^>]*>")
 DIGITS = re.compile(r"[0-9]+")
 URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)")
-OPENING = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)([^>]*)>")
+FIRST = re.compile(r"\s*<([A-Za-z][A-Za-z0-9]*)")
+CONTAINER = re.compile(r"<(/?)(ul|ol|dl|pre|nav|aside|footer|header|form|menu|noscript)\b([^>]*)>", re.I)
 
 BLOCK_START = re.compile(r"\s*<(?:p|div|section|article|aside|nav|footer|header|h[1-6]|table|blockquote)\b", re.I)
 
@@ -43,8 +44,8 @@ def visible(line: str) -> str:
 
 
 def same_text(text: str) -> str:
-    """Form in which line texts are compared: white space squeezed, runs of digits alike."""
-    return DIGITS.sub("0", " ".join(text.split()))
+    """Form in which squeezed line texts are compared: runs of digits alike."""
+    return DIGITS.sub("0", text)
 
 
 def key(*parts: str) -> int:
@@ -72,17 +73,19 @@ def lines_of(content: str | None) -> list[Line]:
     out: list[Line] = []
     lists = code = page = 0
     for no, raw in enumerate((content or "").split("\n")):
-        if (lists or code) and BLOCK_START.match(raw):
-            lists = code = 0  # a block begins: what was left open before it has ended
-        in_list, in_code, in_page = lists > 0, code > 0, page > 0
+        if not raw:
+            continue
         first = ""
-        script = False
+        in_list, in_code, in_page, script = lists > 0, code > 0, page > 0, False
         if "<" in raw:
-            for m in OPENING.finditer(raw):
+            if (lists or code) and BLOCK_START.match(raw):
+                lists = code = 0  # a block begins: what was left open before it has ended
+                in_list = in_code = False
+            if m := FIRST.match(raw):
+                first = m[1].lower()
+            for m in CONTAINER.finditer(raw):
                 name = m[2].lower()
                 step = -1 if m[1] else (0 if m[3].endswith("/") else 1)
-                if not first and step > 0:
-                    first = name
                 if name in LIST_TAGS:
                     lists = max(0, lists + step)
                     in_list = in_list or lists > 0
@@ -92,9 +95,9 @@ def lines_of(content: str | None) -> list[Line]:
                 elif name in PAGE_TAGS:
                     page = max(0, page + step)
                     in_page = in_page or page > 0
-                elif name == "noscript":
+                else:
                     script = True
-        text = visible(raw)
-        if text and not text.isspace():
-            out.append(Line(no, raw, " ".join(text.split()), in_list, in_code, in_page, script, first))
+        text = " ".join(visible(raw).split())
+        if text:
+            out.append(Line(no, raw, text, in_list, in_code, in_page, script, first))
     return out
