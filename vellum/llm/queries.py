@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import mainbody, site_lines
+from . import charset, mainbody, site_lines
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,14 @@ def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.block_report(table(spark, sf_dir, "web_articles"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charset.repaired_runs(table(spark, sf_dir, "text_runs")).select("run_id")
+
+
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charset.repaired_runs(table(spark, sf_dir, "text_runs")).select("run_id", "restored", "complete")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainbody.residue_articles(table(spark, sf_dir, "web_articles"))
 
