@@ -76,9 +76,12 @@ SIGNATURE = re.compile(r"^\s*(?:——|―|--|—)\s*\S")
 FUNCTION_CJK = "的了在是和把为之のをにがはとる"
 FUNCTION_WORDS = (" the ", " of ", " and ", " a ", " to ", " in ", " was ", " is ", " that ", " и ", " на ", " не ", " в ", " le ", " la ", " de ", " et ", " der ", " die ", " und ", " o ", " e ")
 
+COLUMNS = ("line_no", "flags", "width", "ending", "tail", "chars", "bytes", "line_key", "mask_key")
+#: Flags that settle the label of a line whatever its counts.
+SETTLED = LIST | CODE | PAGE | NOSCRIPT | UNFOLD | IMAGE | HEAD | ITEM | CRUMB | CHROME
 FEATURES = (
-    "article_id long, line_no int, flags int, width int, ending int, site_key long, page_key long, line_key long, mask_key long, "
-    "tail long, chars int, bytes int, finals array<long>"
+    "article_id long, site_key long, page_key long, finals array<long>, lines array<struct<line_no:int,flags:int,width:int,ending:int,"
+    "tail:long,chars:int,bytes:int,line_key:long,mask_key:long>>"
 )
 CUT_MARK = re.compile(r"\s(?:\.\.\.|…)\s*$")
 TRAILING = ("……", "......", "⋯⋯")
@@ -143,14 +146,14 @@ def _prose(text: str) -> bool:
 
 
 def features(article_id, url, title, content) -> Iterator[tuple]:
-    """Feature rows of one article: one per line that shows text or an image, and one for the title (line_no -1)."""
+    """The features of one article: its keys and a row for the title (line_no -1) and for every line that
+    shows text or an image.  Only lines on which the counts can have a say carry keys to be counted."""
     site, page = site_and_page(url)
     site_key, page_key, name = (key(site), key(page), brand(site)) if site else (None, None, None)
     plain_title = " ".join(title.split()) if title else ""
-    flags_of_title = TITLE | (RESIDUE if is_residue(plain_title) else 0)
-    if not content:
-        yield article_id, -1, flags_of_title, len(plain_title), 0, site_key, page_key, None, None, None, 0, 0, None
-        return
+    out = [(-1, TITLE | (RESIDUE if is_residue(plain_title) else 0), len(plain_title), 0, None, 0, 0, None, None)]
+    content = content or ""
+    raws = content.split("\n")
     shown = {}
     finals = set()
     raws = content.split("\n")
@@ -207,23 +210,26 @@ def features(article_id, url, title, content) -> Iterator[tuple]:
                 size = len(content[:chars].encode("utf-8", "replace"))
         if line.no == last_no:
             flags |= (OPEN if open_end else 0) | LAST
-        same = same_text(text)
-        mask = None
-        if site and w <= 360 and not line.in_code and not line.in_list:
-            masked = same_text(text.replace(name, "\x01")) if name and name in text else same
-            if quoted := QUOTED.search(masked):
-                masked = masked.replace(quoted[0], "\x02")
-            mask = key(masked)
-        shown[line.no] = (article_id, line.no, flags, w, ending, site_key, page_key, key(site, same) if site else None, mask, tail, chars, size, None)
+        line_key = mask = None
+        if site and (flags & WEAK or not flags & SETTLED):
+            same = same_text(text)
+            line_key = key(site, same)
+            if w <= 360:
+                masked = same_text(text.replace(name, "\x01")) if name and name in text else same
+                if quoted := QUOTED.search(masked):
+                    masked = masked.replace(quoted[0], "\x02")
+                mask = key(masked)
+        shown[line.no] = (line.no, flags, w, ending, tail, chars, size, line_key, mask)
     if "<" in content and MEDIA.search(content):
-        for no, raw in enumerate(content.split("\n")):
+        for no, raw in enumerate(raws):
             if no not in shown and "<" in raw and MEDIA.search(raw):
-                shown[no] = (article_id, no, IMAGE, 0, 0, site_key, page_key, None, None, None, 0, 0, None)
-    yield (article_id, -1, flags_of_title, len(plain_title), 0, site_key, page_key, None, None, None, 0, 0, sorted(finals))
-    yield from shown.values()
+                shown[no] = (no, IMAGE, 0, 0, None, 0, 0, None, None)
+    out += shown.values()
+    yield article_id, site_key, page_key, sorted(finals), [dict(zip(COLUMNS, r)) for r in out]
 
 
-def line_features(articles: DataFrame) -> DataFrame:
+def page_features(articles: DataFrame) -> DataFrame:
+    """One row per row of ``articles``."""
     return map_rows(articles.select("article_id", "url", "title", "content_html"), lambda: features, FEATURES)
 
 
@@ -320,60 +326,63 @@ def end_of_body(body: list[tuple], labels: list[int]) -> tuple[int, int | None,
     return CUT if unfold else OPEN_QUESTION, tail, chars, size
 
 
-GROUPED = "article_id long, site_key long, page_key long, residue boolean, labels array<struct<line_no:int,label:int>>, verdict int, tail long, chars int, bytes int"
+JUDGED = "article_id long, site_key long, page_key long, residue boolean, labels array<struct<line_no:int,label:int>>, verdict int, tail long, chars int, bytes int"
 
 
 def _decide_kernel():
-    def kernel(article_id, site_key, page_key, lines):
-        rows = [tuple(r.values()) for r in lines]
+    def kernel(article_id, site_key, page_key, lines, on_site, on_hosts):
+        s, h = set(on_site or ()), set(on_hosts or ())
+        rows = [
+            (r["line_no"], r["flags"], r["width"], r["ending"], r["line_no"] in s, r["line_no"] in h, r["tail"], r["chars"], r["bytes"])
+            for r in lines
+        ]
         residue, labels, (verdict, tail, chars, size) = decide(rows)
         yield article_id, site_key, page_key, residue, [{"line_no": n, "label": x} for n, x in labels], verdict, tail, chars, size
 
     return kernel
 
 
-def with_counts(lines: DataFrame) -> DataFrame:
-    """Line features with ``on_site`` and ``on_hosts``: whether the line stands widely on its site, and on many sites.
+def widely_shown(pages: DataFrame) -> DataFrame:
+    """``article_id, on_site, on_hosts``: numbers of the lines that stand widely on their site, and on many sites.
 
-    Each count first makes (key, page) or (key, site) pairs distinct, which combines before the shuffle;
-    only keys that stand widely are kept, so the joined sides are small and Spark broadcasts them when
-    their measured size allows it; otherwise they are shuffled and hot keys are split at run time.
+    Each count first makes (key, page) or (key, site) pairs distinct, which combines before the shuffle.
+    Only keys that stand widely are kept, so the joined sides are small and Spark broadcasts them when
+    their measured size allows it; otherwise both are shuffled and hot keys are split at run time.
     """
-    hosted = lines.where(F.col("site_key").isNotNull())
-    pages = hosted.where("line_no = -1").select("site_key", "page_key").distinct().groupBy("site_key").agg(F.count(F.lit(1)).alias("n_pages"))
-    least = F.greatest(F.lit(HOSTS), HOST_SHARE * F.count(F.lit(1)))
-    n_sites = pages.agg(least.alias("least"))
-    on_pages = (
-        hosted.where("line_key is not null").select("site_key", "line_key", "page_key").distinct()
+    hosted = pages.where("site_key is not null")
+    each = hosted.select("article_id", "site_key", "page_key", F.explode("lines").alias("x")).select(
+        "article_id", "site_key", "page_key", "x.line_no", "x.line_key", "x.mask_key"
+    )
+    per_site = hosted.select("site_key", "page_key").distinct().groupBy("site_key").agg(F.count(F.lit(1)).alias("n_pages"))
+    least = per_site.agg(F.greatest(F.lit(HOSTS), HOST_SHARE * F.count(F.lit(1))).alias("least"))
+    on_site = (
+        each.where("line_key is not null").select("site_key", "line_key", "page_key").distinct()
         .groupBy("site_key", "line_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SITE_PAGES)
-        .join(pages, "site_key").where(F.col("n") >= SITE_SHARE * F.col("n_pages"))
-        .select("line_key", F.lit(True).alias("on_site"))
+        .join(per_site, "site_key").where(F.col("n") >= SITE_SHARE * F.col("n_pages")).select("line_key")
     )
     on_hosts = (
-        hosted.where("mask_key is not null").select("mask_key", "site_key").distinct()
+        each.where("mask_key is not null").select("mask_key", "site_key").distinct()
         .groupBy("mask_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOSTS)
-        .join(F.broadcast(n_sites), F.col("n") >= F.col("least"))  # one row
-        .select("mask_key", F.lit(True).alias("on_hosts"))
+        .join(F.broadcast(least), F.col("n") >= F.col("least")).select("mask_key")  # one row
     )
-    return (
-        lines.join(on_pages, "line_key", "left").join(on_hosts, "mask_key", "left")
-        .withColumn("on_site", F.coalesce("on_site", F.lit(False))).withColumn("on_hosts", F.coalesce("on_hosts", F.lit(False)))
+    none = F.lit(None).cast("int")
+    hits = (
+        each.join(on_site, "line_key", "left_semi").select("article_id", F.col("line_no").alias("s"), none.alias("h"))
+        .unionByName(each.join(on_hosts, "mask_key", "left_semi").select("article_id", none.alias("s"), F.col("line_no").alias("h")))
     )
+    return hits.groupBy("article_id").agg(F.collect_set("s").alias("on_site"), F.collect_set("h").alias("on_hosts"))
 
 
-def judged(lines: DataFrame) -> DataFrame:
+def judged(pages: DataFrame) -> DataFrame:
     """One row per article: residue or not, the label of every line, the verdict on the end of its body."""
-    row = F.struct("line_no", "flags", "width", "ending", "on_site", "on_hosts", "tail", "chars", "bytes")
-    grouped = with_counts(lines).groupBy("article_id").agg(
-        F.first("site_key", True).alias("site_key"), F.first("page_key", True).alias("page_key"), F.collect_list(row).alias("lines")
-    )
-    return map_rows(grouped, _decide_kernel, GROUPED)
+    marked = pages.join(widely_shown(pages), "article_id", "left")
+    return map_rows(marked.select("article_id", "site_key", "page_key", "lines", "on_site", "on_hosts"), _decide_kernel, JUDGED)
 
 
 def analysed(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(line features, judgement per article).  The features are written once and read by every later step."""
-    lines = cut_lineage(line_features(articles))
-    return lines, judged(lines)
+    """(features, judgement) per article.  The features are written once and read by every later step."""
+    pages = cut_lineage(page_features(articles))
+    return pages, judged(pages)
 
 
 def residue_articles(articles: DataFrame) -> DataFrame:
@@ -420,10 +429,10 @@ def cut_verdicts(articles: DataFrame) -> DataFrame:
     blank, a prompt to unfold the rest), or if it breaks off without terminal punctuation and either
     stops at a length spike of its site or at a word that ends no sentence elsewhere in the corpus.
     """
-    lines, verdicts = analysed(articles)
+    pages, verdicts = analysed(articles)
     ends = cut_lineage(verdicts.where("not residue").select("article_id", "site_key", "page_key", "verdict", "tail", "chars", "bytes"))
     finals = (
-        lines.where("line_no = -1").select(F.explode("finals").alias("tail"))
+        pages.select(F.explode("finals").alias("tail"))
         .groupBy("tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FINAL_ARTICLES).select("tail", F.lit(True).alias("final"))
     )
     spikes = length_spikes(ends)
