@@ -237,7 +237,7 @@ class Judge:
             if bad * 5 > wide or (bad and wrong in SINGLE):
                 continue
             for right in RIGHT:
-                if wrong == right or FAMILY.get(wrong, 1) == FAMILY.get(right, 2) or (wrong in SINGLE and right in SINGLE and wide < 4):
+                if wrong == right or FAMILY.get(wrong, 1) == FAMILY.get(right, 2) or (right in SINGLE and (wrong not in SINGLE or wide < 6)):
                     continue
                 text = raw.decode(right, "replace")
                 lost = text.count("�")
@@ -246,9 +246,10 @@ class Judge:
                     continue
                 share, n = self.share(text.replace("�", " "))
                 strict = right == "utf-8" and not lost and not bad
-                if strict or (share >= 0.6 and share > now + 0.15):
+                sure = strict and wrong in SINGLE  # random bytes are hardly ever UTF-8, but two-byte characters may be
+                if sure or (share >= 0.6 and share > now + 0.2 and n >= (2 if gained > 2 and right == "utf-8" else 4)):
                     rank = share + 0.3 * strict - 0.2 * lost / (gained + lost) - 0.05 * bad
-                    if (n or strict) and (found is None or rank > found[2]):
+                    if (n or sure) and (found is None or rank > found[2]):
                         found = (text, share, rank)
         return found and found[:2]
 
