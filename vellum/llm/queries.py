@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import charset, mainbody, site_lines
+from . import charset, lookalike, mainbody, markup, site_lines
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,27 @@ def p4_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainbody.truncation_report(table(spark, sf_dir, "web_articles"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.equal_looking_pairs(table(spark, sf_dir, "text_runs"), table(spark, sf_dir, "web_articles"))
+
+
+def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    forms = lookalike.canonical_forms(table(spark, sf_dir, "text_runs"), table(spark, sf_dir, "web_articles"))
+    return forms.select("record_kind", "id", "form").distinct()
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.with_markup(table(spark, sf_dir, "text_runs"), table(spark, sf_dir, "web_articles"))
+
+
+def p6_clean_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_runs(table(spark, sf_dir, "text_runs"))
+
+
+def p6_clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_pages(table(spark, sf_dir, "web_articles"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainbody.page_lines(table(spark, sf_dir, "web_articles"))
 
