@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import charset, lookalike, mainbody, markup, site_lines
+from . import bpe, charset, lookalike, mainbody, markup, site_lines
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +78,9 @@ def p7_body(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_lines.without_lines(articles, mainbody.page_lines(articles))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.document_ids(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
