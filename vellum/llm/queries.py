@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import bpe, charset, lookalike, mainbody, markup, site_lines
+from . import bpe, charset, lookalike, mainbody, markup, mixing, repetition, site_lines
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +82,21 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.document_ids(table(spark, sf_dir, "documents"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.actual_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetitive(table(spark, sf_dir, "documents"))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repeated_shares(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
