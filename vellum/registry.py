@@ -1,9 +1,461 @@
 """All queries of the core by name, with their SQL counterparts."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from .functions import text as T
+from .functions import urls as U
+from .operators import articles, links, outline, runs, tables, txt, volumes
+from .operators import html_blocks as html
+from .session import table
+from .sources import decode, formats
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+#: Shared SQL: Unicode trim, UTF-16 length, decoding of character references.
+TRIM = r"regexp_replace({x}, '^[\t-\r\x{{1c}}-\x{{1f}}\p{{Z}}]+|[\t-\r\x{{1c}}-\x{{1f}}\p{{Z}}]+$', '', 'g')"
+UTF16 = r"(length({x}) + length(regexp_replace({x}, '[^\x{{10000}}-\x{{10ffff}}]', '', 'g')))"
+
+
+def _named(x: str) -> str:
+    for name, char in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", " ")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    return x
+
+
+def _decoded(x: str) -> str:
+    """SQL of decode_entities."""
+    x = _named(x)
+    for pattern, lead, code in (("&#x([0-9a-fA-F]+);", "&#x", "('0x' || r)::INT"), ("&#([0-9]+);", "&#", "r::INT")):
+        x = (
+            f"(SELECT list_reduce(list_prepend(v, list_distinct(regexp_extract_all(v, '{pattern}', 1))), "
+            f"lambda acc, r: replace(acc, '{lead}' || r || ';', chr({code}))) FROM (SELECT {x} AS v))"
+        )
+    return x
+
+
+def _visible(x: str) -> str:
+    """SQL of visible_text."""
+    inner = _decoded(f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')")
+    return rf"trim(regexp_replace({inner}, '[\t-\r\x{{1c}}-\x{{1f}}\p{{Z}}]+', ' ', 'g'))"
+
+
+CHAPTER = txt.CHAPTER.replace("'", "''")
+CONTENTS = txt.CONTENTS.replace("'", "''")
+TXT_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, list_filter(list_transform(
+    regexp_split_to_array(regexp_replace(text, '\r\n?', chr(10), 'g'), '\n+'),
+    lambda x: regexp_replace(x, '^[\x00-\x20\x{{3000}}]+|[\x00-\x20\x{{3000}}]+$', '', 'g')), lambda x: x <> '') AS ls
+  FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS block_index, unnest(ls) AS text FROM t),
+k AS (SELECT *, {UTF16.format(x="text")} <= {txt.LONGEST_TITLE}
+  AND (regexp_matches(text, '{CHAPTER}') OR regexp_matches(text, '{CONTENTS}')) AS h FROM b)
+SELECT doc_id, block_index::INT AS block_index, CASE WHEN h THEN 'heading' ELSE 'paragraph' END AS kind,
+  CASE WHEN h THEN 1 END AS level, text FROM k"""
+
+
+@query(TXT_SQL)
+def txt_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Plain text to blocks."""
+    return txt.blocks(table(spark, d, "documents"))
+
+
+@query(f"SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (kind = 'heading') AS n_headings, min(text) FILTER (kind = 'heading') AS least_title FROM ({TXT_SQL}) GROUP BY doc_id")
+def txt_outline_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks and headings per text."""
+    heading = F.col("kind") == "heading"
+    return txt.blocks(table(spark, d, "documents")).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.count_if(heading).alias("n_headings"), F.min(F.when(heading, F.col("text"))).alias("least_title")
+    )
+
+
+HTML_SQL = rf"""
+WITH c AS (SELECT article_id, regexp_extract_all(
+    regexp_replace(content_html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>', '', 'g'),
+    '(<[^>]*>?|[^<]+)') AS toks FROM web_articles WHERE content_html IS NOT NULL),
+t AS (SELECT article_id, generate_subscripts(toks, 1) AS pos, unnest(toks) AS tok FROM c),
+s AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(tok, '(?i)^(<img|</h\d|<h\d|</(p|div|li|blockquote|section|article|ul|ol)\s*>$|<br(>|/| )|<hr(>|/| ))')
+    THEN 1 ELSE 0 END) OVER (PARTITION BY article_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM t),
+g AS (SELECT article_id, seg, coalesce(string_agg(tok, '' ORDER BY pos) FILTER (NOT starts_with(tok, '<')), '') AS raw, arg_max(tok, pos) AS closing FROM s GROUP BY ALL),
+x AS (SELECT article_id, seg, closing, {TRIM.format(x=_decoded("raw"))} AS text,
+    CASE WHEN regexp_matches(closing, '(?i)^</h\d') THEN substr(closing, 4, 1)::INT ELSE 0 END AS level FROM g),
+u AS (
+  SELECT article_id, seg, 0 AS k, CASE WHEN level > 0 THEN 'heading' ELSE 'paragraph' END AS kind, nullif(level, 0) AS level, text FROM x WHERE text <> ''
+  UNION ALL SELECT article_id, seg, 1, 'hr', NULL, regexp_extract(closing, '(?i)src\s*=\s*["'']([^"'']+)["'']', 1) FROM x WHERE regexp_matches(closing, '(?i)^<hr(>|/| )')
+  UNION ALL SELECT article_id, seg, 1, 'image', NULL, regexp_extract(closing, '(?i)src\s*=\s*["'']([^"'']+)["'']', 1) FROM x
+    WHERE regexp_matches(closing, '(?i)^<img') AND trim(regexp_extract(closing, '(?i)src\s*=\s*["'']([^"'']+)["'']', 1)) <> '')
+SELECT article_id, (row_number() OVER (PARTITION BY article_id ORDER BY seg, k) - 1)::INT AS block_index, kind, level, text FROM u"""
+
+
+@query(HTML_SQL)
+def html_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: all blocks of every clipped page, in order."""
+    return html.blocks(table(spark, d, "web_articles"))
+
+
+@query(f"SELECT kind, coalesce(level, 0) AS level, count(*) AS n_blocks, count(DISTINCT article_id) AS n_articles, sum(length(text)) AS n_chars FROM ({HTML_SQL}) GROUP BY ALL")
+def html_block_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of pages by kind and level."""
+    return html_blocks(spark, d).groupBy("kind", F.coalesce("level", F.lit(0)).alias("level")).agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.countDistinct("article_id").alias("n_articles"), F.sum(F.length("text")).alias("n_chars")
+    )
+
+
+@query(f"""WITH b AS ({HTML_SQL}), c AS (SELECT article_id, count(*) AS n FROM b GROUP BY 1)
+SELECT a.article_id, a.clipped_at::DATE AS day, coalesce(sum(coalesce(n, 0) + 1) OVER (PARTITION BY a.clipped_at::DATE ORDER BY ord, a.article_id
+ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first_block FROM web_articles a LEFT JOIN c USING (article_id)""")
+def article_block_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """First block of each article in its day's book."""
+    a = table(spark, d, "web_articles")
+    return articles.block_offsets(a, html_blocks(spark, d))
+
+
+@query(rf"""SELECT article_id, {UTF16.format(x="t")}::INT AS n_chars, ({UTF16.format(x="t")} < {articles.FOLDED_LENGTH} AND
+  ({" OR ".join(f"contains(t, '{m}')" for m in articles.FOLD_MARKERS)})) AS truncated
+FROM (SELECT article_id, {_visible("coalesce(content_html, '')")} AS t FROM web_articles)""")
+def truncation_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Little text and a prompt to unfold."""
+    return articles.possibly_truncated(table(spark, d, "web_articles"))
+
+
+HOST = r"regexp_extract({x}, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
+
+
+@query(rf"""SELECT article_id, coalesce(nullif({TRIM.format(x="title")}, ''),
+  nullif({_visible("regexp_extract(coalesce(content_html, ''), '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, ''), nullif({HOST.format(x="url")}, ''), url) AS title FROM web_articles""")
+def resolved_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Title, else first heading, else domain."""
+    return articles.titles(table(spark, d, "web_articles"))
+
+
+IMG_SQL = rf"""
+WITH t AS (SELECT article_id, list_transform(regexp_extract_all(content_html, '(?i)<img\b[^>]*>'), lambda g: coalesce(
+  {", ".join(f"nullif(regexp_extract(g, '(?i)[\\t\\n\\f\\r ]{a}\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1), '')" for a in articles.LAZY)})) AS us FROM web_articles),
+f AS (SELECT article_id, list_filter(list_transform(us, lambda u: CASE WHEN starts_with(u, '//') THEN 'https:' || u ELSE u END), lambda u: regexp_matches(u, '^(https?://|data:)')) AS us FROM t),
+e AS (SELECT article_id, generate_subscripts(us, 1) AS k, unnest(us) AS url FROM f),
+m AS (SELECT article_id, url, min(k) AS k FROM e GROUP BY ALL)
+SELECT article_id, (row_number() OVER (PARTITION BY article_id ORDER BY k) - 1)::INT AS img_ord, url FROM m"""
+
+
+@query(IMG_SQL)
+def page_images(spark: SparkSession, d: str) -> DataFrame:
+    """Image addresses of pages, lazy ones included."""
+    return articles.image_urls(table(spark, d, "web_articles"))
+
+
+@query(f"SELECT url, printf('img_%03d', row_number() OVER (ORDER BY a)) AS file FROM (SELECT url, min({{'x': article_id, 'y': img_ord}}) AS a FROM ({IMG_SQL}) GROUP BY url)")
+def image_file_names(spark: SparkSession, d: str) -> DataFrame:
+    """One file name per distinct image."""
+    return articles.image_files(page_images(spark, d))
+
+
+@query(rf"""SELECT article_id, coalesce(len(list_filter(regexp_extract_all(content_html, '(?i)<[a-z][^>]*\s(?:class|id)\s*=\s*["''][^"'']*["''][^>]*>'), lambda t:
+  len(list_filter({list(articles.OVERLAY_KEYWORDS)!r}, lambda k: contains(lower(regexp_extract(t, '(?i)\sclass\s*=\s*["'']([^"'']*)', 1) || ' ' ||
+  regexp_extract(t, '(?i)\sid\s*=\s*["'']([^"'']*)', 1)), k))) > 0)), 0)::INT AS n_overlays FROM web_articles""")
+def overlay_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Elements named like overlays."""
+    return articles.overlay_elements(table(spark, d, "web_articles"))
+
+
+@query()
+def table_cards(spark: SparkSession, d: str) -> DataFrame:
+    """Tables of pages as cards: a title and one line per filled cell."""
+    t = articles.page_tables(table(spark, d, "web_articles"))
+    return tables.cards(t.where(tables.shows_as_cards(F.col("headers"), F.col("rows"))))
+
+
+@query()
+def table_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, columns and layout of the tables of pages."""
+    t = articles.page_tables(table(spark, d, "web_articles"))
+    return t.select("table_id", F.size("rows").alias("n_rows"), F.greatest(F.size("headers"), tables.column_count(F.col("rows"))).alias("n_columns"),
+                    tables.shows_as_cards(F.col("headers"), F.col("rows")).alias("as_cards"))
+
+
+@query()
+def table_column_widths(spark: SparkSession, d: str) -> DataFrame:
+    """Widths of grid columns."""
+    w = tables.column_widths(articles.page_tables(table(spark, d, "web_articles")).select("table_id", "headers", "rows"), inner=340.0)
+    return w.select("table_id", "col_no", F.round("natural", 3).alias("natural"), F.round("width", 3).alias("width"))
+
+
+@query(rf"SELECT link_id, url, coalesce(nullif({HOST.format(x='url')}, ''), url) AS domain FROM links")
+def link_domains(spark: SparkSession, d: str) -> DataFrame:
+    """Domain of each link's url."""
+    return table(spark, d, "links").select("link_id", "url", U.domain(F.col("url")).alias("domain"))
+
+
+CLEAN = rf"""(CASE WHEN regexp_matches(u, '[\s"<>\\^`{{|}}]') OR trim(regexp_extract(u, '^[^?#]*\?([^#]*)', 1)) = '' THEN u
+  WHEN contains(lower({HOST.format(x="u")}), 'zhihu.com') AND (contains(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/answer/')
+    OR starts_with(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/p/')) THEN regexp_extract(u, '^([^?#]*)', 1)
+  ELSE regexp_extract(u, '^([^?#]*)', 1) || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'),
+    lambda p: NOT list_contains({list(U.TRACKING)!r}, trim(lower(string_split(p, '=')[1])))), '&'), ''), '') || regexp_extract(u, '(#.*)$', 1) END)"""
+
+
+@query(f"SELECT article_id, {CLEAN} AS url FROM (SELECT article_id, url AS u FROM web_articles)")
+def sanitized_urls(spark: SparkSession, d: str) -> DataFrame:
+    """URLs without tracking keys."""
+    return table(spark, d, "web_articles").select("article_id", U.sanitized(F.col("url")).alias("url"))
+
+
+FOUND_SQL = rf"SELECT DISTINCT article_id, rtrim(unnest(regexp_extract_all(content_html, '{U.FOUND.replace(chr(39), chr(39) * 2)}')), '{U.TRAILING}') AS u FROM web_articles"
+
+
+@query(f"SELECT article_id, u AS url FROM ({FOUND_SQL})")
+def urls_in_pages(spark: SparkSession, d: str) -> DataFrame:
+    """URLs found in running text."""
+    return table(spark, d, "web_articles").select("article_id", F.explode(U.found_urls(F.col("content_html"))).alias("url"))
+
+
+@query(f"SELECT url FROM (SELECT DISTINCT {CLEAN} AS url FROM ({FOUND_SQL})) WHERE trim(url) <> '' AND url NOT IN (SELECT url FROM links WHERE url IS NOT NULL)")
+def new_links(spark: SparkSession, d: str) -> DataFrame:
+    """Sanitised URLs of pages that are not in the list of links."""
+    return links.ingest(table(spark, d, "web_articles"), table(spark, d, "links"), "content_html")
+
+
+@query("""SELECT link_id, s.url, s.domain, s.status, s.error, s.article_id, epoch_us(s.updated_at) AS updated_us FROM (SELECT link_id,
+  arg_max({'url': url, 'domain': domain, 'status': status, 'error': error, 'article_id': article_id, 'updated_at': updated_at},
+    {'a': updated_at, 'b': status, 'c': coalesce(error, ''), 'd': coalesce(article_id, -1)}) AS s FROM links GROUP BY link_id)""")
+def links_latest(spark: SparkSession, d: str) -> DataFrame:
+    """Last state of each link."""
+    return links.latest(table(spark, d, "links")).withColumn("updated_us", F.unix_micros("updated_at")).drop("updated_at")
+
+
+@query(rf"SELECT coalesce(domain, nullif({HOST.format(x='url')}, ''), url) AS domain, status, count(*) AS n_links, count(error) AS n_with_error FROM links GROUP BY ALL")
+def link_status(spark: SparkSession, d: str) -> DataFrame:
+    """Links by domain and status."""
+    return links.status_summary(table(spark, d, "links"))
+
+
+@query("""WITH c AS (SELECT DISTINCT url FROM web_articles WHERE url IS NOT NULL)
+SELECT url, 0 AS batch, count(*) AS n FROM links WHERE url NOT IN (SELECT url FROM c) GROUP BY url UNION ALL SELECT url, 1, 1 FROM c""")
+def links_upserted(spark: SparkSession, d: str) -> DataFrame:
+    """Links after clipped pages took the place of equal urls."""
+    clipped = table(spark, d, "web_articles").where("url is not null").select("url").distinct()
+    return links.upsert(table(spark, d, "links").select("url"), clipped).groupBy("url", "batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+DOMAINS = "banshan.example, beihu.example;paperlamp"
+
+
+@query(rf"""SELECT article_id, len(list_filter(list_filter(list_transform(regexp_split_to_array('{DOMAINS}', '[,;\n ]'), lambda x: lower(trim(x))), lambda x: x <> ''),
+  lambda x: h = x OR ends_with(h, '.' || x) OR contains(lower(url), x))) > 0 AS direct
+FROM (SELECT article_id, url, coalesce(nullif(lower({HOST.format(x="url")}), ''), lower(url)) AS h FROM web_articles)""")
+def routed_domains(spark: SparkSession, d: str) -> DataFrame:
+    """Pages whose domain is on a list."""
+    return table(spark, d, "web_articles").select("article_id", U.routed(F.col("url"), F.lit(DOMAINS)).alias("direct"))
+
+
+@query("SELECT DISTINCT url, regexp_full_match(url, 'https?://.*\\.example/p/.*') AS hit FROM links")
+def glob_matches(spark: SparkSession, d: str) -> DataFrame:
+    """URLs by match pattern."""
+    globs = spark.createDataFrame([("http://*.example/p/*",), ("https://*.example/p/*",)], "glob string").select(U.glob_regex(F.col("glob")).alias("r"))
+    seen = table(spark, d, "links").select("url").distinct()
+    return seen.crossJoin(F.broadcast(globs)).groupBy("url").agg(F.max(F.expr("url rlike r")).alias("hit"))  # two patterns
+
+
+FORMATS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in formats.BY_EXTENSION.items())
+
+
+@query(rf"""SELECT doc_id, ext, coalesce(CASE ext {FORMATS} END, CASE
+  WHEN starts_with(h, '255044462D') THEN 'pdf'
+  WHEN n >= 78 AND (substr(h, 121, 8) = '424F4F4B' OR substr(h, 129, 8) = '4D4F4249') THEN 'mobi'
+  WHEN regexp_matches(h, '^504B0[357]0[468]') AND (contains(h, '5B436F6E74656E745F54797065735D2E786D6C') OR contains(h, '776F72642F646F63756D656E742E786D6C')) THEN 'docx'
+  WHEN regexp_matches(h, '^504B0[357]0[468]') THEN 'epub' ELSE 'txt' END) AS format
+FROM (SELECT doc_id, coalesce(lower(regexp_extract(file_name, '\.([^.]*)$', 1)), '') AS ext, hex(coalesce(content, ''::BLOB)) AS h, octet_length(coalesce(content, ''::BLOB)) AS n FROM text_sources)""")
+def file_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Format of each stored file."""
+    return formats.routed(table(spark, d, "text_sources"))
+
+
+@query("""SELECT doc_id, CASE WHEN starts_with(hex(content), 'EFBBBF') THEN 'utf-8-bom' WHEN starts_with(hex(content), 'FFFE') THEN 'utf-16le'
+  WHEN starts_with(hex(content), 'FEFF') THEN 'utf-16be' WHEN content IS NULL THEN 'gbk' WHEN TRY(decode(content)) IS NOT NULL THEN 'utf-8' ELSE 'gbk' END AS charset FROM text_sources""")
+def file_charsets(spark: SparkSession, d: str) -> DataFrame:
+    """Charset of each stored file."""
+    return table(spark, d, "text_sources").select("doc_id", formats.charset(F.col("content")).alias("charset"))
+
+
+@query()
+def file_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Stored files decoded and cut into blocks."""
+    return txt.blocks(decode.file_texts(table(spark, d, "text_sources")))
+
+
+def _count(char_class: str) -> str:
+    import re
+
+    c = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", char_class)
+    return f"(length(text) - length(regexp_replace(text, '[{c}]', '', 'g')))"
+
+
+@query(f"""SELECT doc_id, {_count(T.HAN)} AS n_han, {_count(T.CJK)} AS n_cjk, {_count(T.LATIN)} AS n_latin, {_count(T.BOX_DRAWING)} AS n_box,
+  (length(text) + {_count(T.CJK)}) / 2 AS em, length(text) + {_count(T.TWO_COLUMNS)} AS columns FROM documents WHERE text IS NOT NULL""")
+def character_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Characters by class, width in em and in grid columns."""
+    t = F.col("text")
+    return table(spark, d, "documents").where("text is not null").select(
+        "doc_id", T.count_of(t, T.HAN).cast("long").alias("n_han"), T.count_of(t, T.CJK).cast("long").alias("n_cjk"), T.count_of(t, T.LATIN).cast("long").alias("n_latin"),
+        T.count_of(t, T.BOX_DRAWING).cast("long").alias("n_box"), T.em_width(t).alias("em"), T.grid_columns(t).cast("long").alias("columns"),
+    )
+
+
+@query(f"SELECT run_id, any_value({_decoded('text')}) AS text FROM text_runs WHERE text IS NOT NULL GROUP BY run_id")
+def decoded_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs with character references decoded."""
+    return table(spark, d, "text_runs").where("text is not null").dropDuplicates(["run_id"]).select("run_id", T.decode_entities(F.col("text")).alias("text"))
+
+
+@query("""SELECT article_id, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS title
+  FROM web_articles WHERE title IS NOT NULL""")
+def escaped_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Titles for XML."""
+    return table(spark, d, "web_articles").where("title is not null").select("article_id", T.xml_escape(F.col("title")).alias("title"))
+
+
+def _shifted(forms: tuple[str, str], mark: str) -> str:
+    return (
+        f"CASE WHEN regexp_full_match(t, '[{forms[0].replace('-', chr(92) + '-')} ]*') THEN translate(t, '{forms[0]}', '{forms[1]}') "
+        f"WHEN length(t) = 1 THEN '{mark}' || t ELSE '{mark}(' || t || ')' END"
+    )
+
+
+@query(f"""SELECT doc_id, toc_ord, {_shifted(T.RAISED, '^')} AS raised, {_shifted(T.LOWERED, '_')} AS lowered
+  FROM (SELECT doc_id, toc_ord, regexp_extract(lower(title), '[0-9a-z+=()-]+') AS t FROM toc WHERE title IS NOT NULL)""")
+def raised_and_lowered(spark: SparkSession, d: str) -> DataFrame:
+    """Raised and lowered forms of the first number or word of each title."""
+    t = F.regexp_extract(F.lower("title"), "[0-9a-z+=()-]+", 0)
+    return table(spark, d, "toc").where("title is not null").select("doc_id", "toc_ord", T.superscript(t).alias("raised"), T.subscript(t).alias("lowered"))
+
+
+@query(f"""SELECT doc_id, block_index, CASE WHEN contains('{T.RIGHT_BLANK}', c) THEN 0.75 WHEN contains('{T.LINE_START_FORBIDDEN.replace("'", "''")}', c) THEN 0.5 ELSE 0.0 END::DOUBLE AS hang
+  FROM (SELECT doc_id, block_index, right(text, 1) AS c FROM blocks WHERE text IS NOT NULL AND text <> '')""")
+def optical_hangs(spark: SparkSession, d: str) -> DataFrame:
+    """How far the last mark of a block may hang over."""
+    return table(spark, d, "blocks").where("text is not null and text <> ''").select("doc_id", "block_index", T.optical_hang(F.col("text")).alias("hang"))
+
+
+SIZES_SQL = rf"""SELECT *, CASE WHEN n_blocks < 300 OR est_pages <= 600 THEN 1 WHEN est_pages <= 1100 THEN 2 WHEN est_pages <= 1700 THEN 3 WHEN est_pages <= 2400 THEN 4
+  WHEN est_pages <= 3200 THEN 5 ELSE least(greatest(est_pages // 500, 2), 10) END::INT AS auto_volumes FROM (
+  SELECT *, greatest(n_chars // 250, n_blocks // 4)::BIGINT AS est_pages FROM (SELECT doc_id, count(*) AS n_blocks,
+    sum(CASE WHEN kind IN {volumes.COUNTED_KINDS} THEN coalesce({UTF16.format(x="text")}, 0) ELSE 0 END)::BIGINT AS n_chars FROM blocks GROUP BY doc_id))"""
+
+
+@query(SIZES_SQL)
+def document_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Characters, pages and volumes of each document."""
+    return volumes.document_sizes(table(spark, d, "blocks"))
+
+
+@query("""WITH r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY block_index) - 1) AS pos, count(*) OVER (PARTITION BY doc_id) AS n FROM blocks),
+h AS (SELECT doc_id, any_value(n) AS n, list(DISTINCT pos) FILTER (kind = 'heading' AND pos > 0) AS hs FROM r GROUP BY doc_id),
+e AS (SELECT r.doc_id, list(r.pos) AS es FROM toc t JOIN r ON r.doc_id = t.doc_id AND r.block_index = t.block_index WHERE r.pos > 0 GROUP BY 1),
+c AS (SELECT h.doc_id, n, CASE WHEN len(coalesce(es, [])) >= 2 THEN es WHEN len(coalesce(hs, [])) >= 2 THEN hs ELSE [] END AS ps FROM h LEFT JOIN e USING (doc_id)),
+k AS (SELECT doc_id, n, CASE WHEN n < 2 THEN NULL WHEN len(ps) = 0 THEN n // 2 ELSE list_min(list_transform(ps, lambda p: {'d': abs(p - n // 2), 'p': p})).p END AS cut FROM c),
+v AS (SELECT doc_id, 0 AS vol_index, CASE WHEN cut IS NULL THEN 1 ELSE 2 END AS total, CASE WHEN cut IS NULL THEN '全一卷' ELSE '上册' END AS label, 0 AS start_pos, coalesce(cut, n) AS end_pos FROM k
+  UNION ALL SELECT doc_id, 1, 2, '下册', cut, n FROM k WHERE cut IS NOT NULL)
+SELECT doc_id, vol_index, total, label, start_pos::INT AS start_pos, end_pos::INT AS end_pos FROM v WHERE start_pos < end_pos""")
+def volumes_in_two(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in two volumes."""
+    return volumes.volumes(table(spark, d, "blocks"), table(spark, d, "toc"), 2)
+
+
+@query()
+def volumes_in_four(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in four volumes."""
+    return volumes.volumes(table(spark, d, "blocks"), table(spark, d, "toc"), 4)
+
+
+@query()
+def volume_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines of three volumes, counted from each volume's start."""
+    return volumes.volume_outline(table(spark, d, "blocks"), table(spark, d, "toc"), 3)
+
+
+@query("""SELECT t.doc_id, t.toc_ord, t.title, t.level, (SELECT max(p.toc_ord) FROM toc p WHERE p.doc_id = t.doc_id AND p.toc_ord < t.toc_ord AND p.level < t.level) AS parent_ord FROM toc t""")
+def outline_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Nesting of outline entries."""
+    return outline.parents(table(spark, d, "toc"))
+
+
+@query("""SELECT t.doc_id, toc_ord, t.title, t.level, CASE WHEN b.doc_id IS NOT NULL THEN t.block_index ELSE h.m END AS block_index FROM toc t
+  LEFT JOIN (SELECT DISTINCT doc_id, block_index FROM blocks) b ON b.doc_id = t.doc_id AND b.block_index = t.block_index
+  LEFT JOIN (SELECT doc_id, text, min(block_index) AS m FROM blocks WHERE kind = 'heading' GROUP BY ALL) h ON h.doc_id = t.doc_id AND h.text = t.title""")
+def outline_located(spark: SparkSession, d: str) -> DataFrame:
+    """Outline entries with their blocks."""
+    return outline.located(table(spark, d, "toc"), table(spark, d, "blocks"))
+
+
+@query("SELECT doc_id, level, title, min(toc_ord) AS toc_ord FROM toc GROUP BY ALL")
+def outline_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """First of equal outline entries."""
+    return table(spark, d, "toc").groupBy("doc_id", "level", "title").agg(F.min("toc_ord").alias("toc_ord"))
+
+
+@query()
+def without_printed_contents(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks without the printed table of contents."""
+    return outline.without_contents(table(spark, d, "blocks"))
+
+
+@query("SELECT doc_id, kind, count(*) AS n_blocks, coalesce(sum(length(text)), 0)::BIGINT AS n_chars, max(level) AS max_level FROM blocks GROUP BY ALL")
+def block_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks by document and kind."""
+    return table(spark, d, "blocks").groupBy("doc_id", "kind").agg(
+        F.count(F.lit(1)).alias("n_blocks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"), F.max("level").alias("max_level")
+    )
+
+
+@query("""SELECT doc_id, block_index FROM (SELECT doc_id, block_index, kind, lead(kind) OVER w AS k, lead(text) OVER w AS t FROM blocks
+  WINDOW w AS (PARTITION BY doc_id ORDER BY block_index)) WHERE kind = 'heading' AND k = 'paragraph' AND length(t) >= 8""")
+def headings_with_text(spark: SparkSession, d: str) -> DataFrame:
+    """Headings followed by a paragraph."""
+    w = W.partitionBy("doc_id").orderBy("block_index")
+    b = table(spark, d, "blocks").select("doc_id", "block_index", "kind", F.lead("kind").over(w).alias("k"), F.lead("text").over(w).alias("t"))
+    return b.where("kind = 'heading' and k = 'paragraph' and length(t) >= 8").select("doc_id", "block_index")
+
+
+STYLE_SQL = ", ".join(runs.STYLE)
+
+
+@query(f"""WITH c AS (SELECT DISTINCT * FROM text_runs WHERE text IS NOT NULL AND text <> ''),
+f AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR ({" AND ".join(f"{c} IS NOT DISTINCT FROM lag({c}) OVER w" for c in runs.STYLE)}) THEN 0 ELSE 1 END AS b
+  FROM c WINDOW w AS (PARTITION BY doc_id, block_index ORDER BY run_index, run_id)),
+s AS (SELECT *, sum(b) OVER (PARTITION BY doc_id, block_index ORDER BY run_index, run_id) AS seg FROM f)
+SELECT doc_id, block_index, seg::BIGINT AS seg, string_agg(text, '' ORDER BY run_index, run_id) AS text, {STYLE_SQL} FROM s GROUP BY doc_id, block_index, seg, {STYLE_SQL}""")
+def merged_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring runs of equal style as one."""
+    return runs.merged(table(spark, d, "text_runs"))
+
+
+@query(r"""SELECT doc_id, regexp_replace(file_name, '\.[^.]*$', '') || '.pdf' AS whole, regexp_replace(file_name, '\.[^.]*$', '') || '_上册.pdf' AS first FROM text_sources WHERE file_name IS NOT NULL""")
+def output_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of output files."""
+    base = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    return table(spark, d, "text_sources").where("file_name is not null").select("doc_id", F.concat(base, F.lit(".pdf")).alias("whole"), F.concat(base, F.lit("_上册.pdf")).alias("first"))
