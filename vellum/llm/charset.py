@@ -30,13 +30,15 @@ from .arrow import map_rows
 MODEL_BITS = 23
 #: Share of all pair occurrences that the improbable pairs make up.
 PAIR_MASS = 0.12
+#: Least score of a run: so many improbable pairs more than probable ones.
+LEAST_SCORE = 3.5
 
 LOST = re.compile("�|(?:锟斤拷?|拷锟|斤拷){2,}|ï¿½|锛�")
 QUOTED = re.compile(r"[「『“‘\"'`《]([^「」『』“”‘’\"'`《》]{1,12})[」』”’\"'`》]")
 #: Characters that single-byte charsets show for the first bytes of UTF-8 sequences, and for the bytes after them.
 BYTES_1252 = re.compile(r"[Â-ô](?:[\x80-¿ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]{1,3})")
 BYTES_437 = re.compile(r"[┬├Γ╨╤π┌╞σµτΣσ∩][ -Ͽ -◿]")
-BYTES_1251 = re.compile(r"[РСВГ][ -¿ЂЃѓ‚„…†‡€‰Љ‹ЊЌЋЏђ‘’“”•–—™љ›њќћџЎўЈҐЁЄЇІіґёєјЅѕї]")
+BYTES_1251 = re.compile(r"(?:[РСВГ][ -¿ЂЃѓ‚„…†‡€‰Љ‹ЊЌЋЏђ‘’“”•–—™љ›њќћџЎўЈҐЁЄЇІіґёєјЅѕї]){2,}")
 BYTES_LATIN = re.compile(r"[\xa1-\xff]{4,}")
 WIDE_SIGNS = re.compile(r"[-\x80-\x9f؀-ۿ߀-߿｡-ﾟ㐀-䶿ㄅ-ㄯ]")
 
@@ -211,10 +213,10 @@ class Judge:
             if total > best:
                 best, end = total, i
             if total <= 0 or total < best - 3:
-                if best >= 2:
+                if best >= LEAST_SCORE:
                     out.append((start, end + 2))
                 start = None
-        if start is not None and best >= 2:
+        if start is not None and best >= LEAST_SCORE:
             out.append((start, end + 2))
         return [self._widen(text, a, b) for a, b in out]
 
@@ -263,11 +265,15 @@ class Judge:
                 if m.end() - m.start() > 3:
                     yield m.start(), m.end() - 1
                     yield m.start() + 1, m.end()
-        steps = sorted({0, 1, 2, 3, n // 4, n // 3, n // 2, 2 * n // 3} & set(range(n)))
-        for a in steps:
-            for b in steps:
-                if (a or b) and n - a - b >= 3:
-                    yield a, n - b
+        counts, hit = self.probable(run)
+        bad = np.flatnonzero(counts & ~hit)
+        if not len(bad):
+            return
+        first, last = int(bad[0]), int(bad[-1]) + 2  # the garbled part begins and ends near an improbable pair
+        for a in {first, max(first - 1, 0), first + 1, min(first + 2, n)}:
+            for b in {last, min(last + 1, n), last - 1, last - 2}:
+                if (a or b < n) and b - a >= 3:
+                    yield a, b
 
     def repair(self, text: str) -> tuple[bool, str]:
         """(garbled, best restored text)."""
