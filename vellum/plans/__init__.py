@@ -1,0 +1,123 @@
+"""Whole pipelines: from stored files, pages and formulas to blocks, lines, pages and books."""
+
+from __future__ import annotations
+
+import zlib
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..kernels import archives, articles, layout, markdown
+from ..kernels.arrow import per_row
+from ..kernels.latex import formula_runs
+from ..operators import html_blocks, txt
+from ..schemas import BLOCKS
+from ..sources import decode, formats
+
+FLAT = ["doc_id", "block_index", "kind", "level", "ordered", "order_index", "language", "text"]
+
+
+def article_blocks(pages: DataFrame) -> DataFrame:
+    """Blocks of clipped pages by a walk over their elements."""
+    return per_row(pages.select("article_id", "title", "content_html"), articles.article_blocks, BLOCKS)
+
+
+def extracted(pages: DataFrame) -> DataFrame:
+    """``article_id, title, n_blocks, n_chars, truncated, error``: main content of whole pages."""
+
+    def kernel(article_id, html):
+        title, blocks, truncated, error = articles.main_content(html or "")
+        yield {"article_id": article_id, "title": title, "n_blocks": len(blocks), "n_chars": sum(len(b["text"] or "") for b in blocks),
+               "truncated": truncated, "error": error}
+
+    return per_row(
+        pages.select("article_id", "content_html"), kernel, "article_id long, title string, n_blocks int, n_chars long, truncated boolean, error string"
+    )
+
+
+def markdown_blocks(texts: DataFrame) -> DataFrame:
+    """Blocks of Markdown texts."""
+
+    def kernel(doc_id, text):
+        for b in markdown.parse(text):
+            yield {"doc_id": doc_id, **b}
+
+    return per_row(texts.select("doc_id", "text"), kernel, BLOCKS)
+
+
+def markdown_outline(texts: DataFrame) -> DataFrame:
+    """Outline of Markdown texts, without what a printed table of contents lists."""
+
+    def kernel(doc_id, text):
+        for e in markdown.outline(markdown.parse(text)):
+            yield {"doc_id": doc_id, **e}
+
+    return per_row(texts.select("doc_id", "text"), kernel, "doc_id long, toc_ord int, title string, level int, block_index int")
+
+
+def formula_texts(blocks: DataFrame) -> DataFrame:
+    """``doc_id, block_index, text``: formulas as text."""
+
+    def kernel(doc_id, block_index, latex):
+        yield {"doc_id": doc_id, "block_index": block_index, "text": "".join(r["text"] for r in formula_runs(latex))}
+
+    return per_row(
+        blocks.where("latex is not null").select("doc_id", "block_index", "latex"), kernel, "doc_id long, block_index int, text string"
+    )
+
+
+def file_documents(files: DataFrame) -> DataFrame:
+    """Blocks of stored files of every format; a file that can't be read is a paragraph that says so."""
+    routed = formats.routed(files, "content")
+    known = {"epub": archives.parse_epub, "docx": archives.parse_docx, "mobi": archives.parse_mobi}
+
+    def kernel(doc_id, form, content):
+        if form == "markdown":
+            blocks = markdown.parse(decode.decode_file(content, False))
+        else:
+            blocks = known[form](content or b"")["blocks"]
+        for b in blocks:
+            yield {"doc_id": doc_id, **b}
+
+    packed = routed.where(F.col("format").isin("markdown", *known)).select("doc_id", "format", "content")
+    plain = decode.file_texts(routed.where("format = 'txt'"))
+    pages = decode.file_texts(routed.where("format = 'html'")).withColumnRenamed("text", "html")
+    columns = ["doc_id", "block_index", "kind", "level", "text"]
+    return (
+        per_row(packed, kernel, BLOCKS).select(*columns)
+        .unionByName(txt.blocks(plain).select(*columns))
+        .unionByName(html_blocks.blocks(pages, "doc_id", "html").select(*columns))
+    )
+
+
+LINES = "doc_id long, page_index int, elem_ord int, block_index int, y double, font_size double, width double, hang double, text string"
+
+
+def pages(blocks: DataFrame, params: layout.Params = layout.Params()) -> DataFrame:
+    """Lines on pages of every document.
+
+    Filling pages depends on all that came before, so a document is laid out in one piece; documents are
+    gathered by one shuffle and only their own blocks meet in a task.
+    """
+
+    def kernel(doc_id, rows):
+        for r in layout.paginate(sorted(rows, key=lambda b: b["block_index"]), params):
+            yield {"doc_id": doc_id, **r}
+
+    fields = F.struct("block_index", "kind", "level", "ordered", "order_index", "text")
+    return per_row(blocks.groupBy("doc_id").agg(F.collect_list(fields).alias("rows")), kernel, LINES)
+
+
+def epub_packages(pages_: DataFrame) -> DataFrame:
+    """``article_id, epub, crc``: every article as a book of one chapter."""
+
+    def kernel(article_id, title, content):
+        body = "".join(
+            f"<h{b['level']}>{archives.escape(b['text'] or '')}</h{b['level']}>" if b["kind"] == "heading" else f"<p>{archives.escape(b['text'] or '')}</p>"
+            for b in articles.article_blocks(article_id, None, content)
+            if b["text"]
+        )
+        data = archives.build_epub(title or "", [(title or "", body)])
+        yield {"article_id": article_id, "epub": data, "crc": zlib.crc32(data)}
+
+    return per_row(pages_.select("article_id", "title", "content_html"), kernel, "article_id long, epub binary, crc long")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import plans
 from .functions import text as T
 from .functions import urls as U
 from .operators import articles, links, outline, runs, tables, txt, volumes
@@ -459,3 +460,74 @@ def output_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of output files."""
     base = F.regexp_replace("file_name", r"\.[^.]*$", "")
     return table(spark, d, "text_sources").where("file_name is not null").select("doc_id", F.concat(base, F.lit(".pdf")).alias("whole"), F.concat(base, F.lit("_上册.pdf")).alias("first"))
+
+
+@query()
+def article_tree_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of pages by a walk over their elements."""
+    return plans.article_blocks(table(spark, d, "web_articles")).select(*plans.FLAT)
+
+
+@query()
+def extracted_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Main content of pages by the best-scoring element."""
+    return plans.extracted(table(spark, d, "web_articles"))
+
+
+@query()
+def markdown_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts read as Markdown."""
+    return plans.markdown_blocks(table(spark, d, "documents")).select(*plans.FLAT)
+
+
+@query()
+def markdown_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines of texts read as Markdown."""
+    return plans.markdown_outline(table(spark, d, "documents"))
+
+
+@query()
+def formula_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas as text."""
+    return plans.formula_texts(table(spark, d, "blocks"))
+
+
+@query()
+def file_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Stored files of every format as blocks."""
+    return plans.file_documents(table(spark, d, "text_sources"))
+
+
+@query()
+def laid_out_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Lines on pages."""
+    return plans.pages(table(spark, d, "blocks"))
+
+
+@query()
+def page_extents(spark: SparkSession, d: str) -> DataFrame:
+    """Lines per page, with the room they leave."""
+    lines = plans.pages(table(spark, d, "blocks"))
+    return lines.groupBy("doc_id", "page_index").agg(
+        F.min("y").alias("top"), F.max(F.col("y") + F.col("font_size") * 1.5).alias("bottom"), F.count_if(F.col("text") != "").alias("n_lines")
+    )
+
+
+@query()
+def block_pages(spark: SparkSession, d: str) -> DataFrame:
+    """First page of each block."""
+    return outline.first_pages(plans.pages(table(spark, d, "blocks")))
+
+
+@query()
+def bookmarks(spark: SparkSession, d: str) -> DataFrame:
+    """Outline entries with their pages; those without a block point at the first page."""
+    places = outline.first_pages(plans.pages(table(spark, d, "blocks")))
+    toc = outline.located(table(spark, d, "toc"), table(spark, d, "blocks"))
+    return toc.join(places, ["doc_id", "block_index"], "left").select("doc_id", "toc_ord", "title", "level", F.coalesce("page_index", F.lit(0)).alias("page_index"))
+
+
+@query()
+def epub_books(spark: SparkSession, d: str) -> DataFrame:
+    """Articles as EPUB packages: size and checksum."""
+    return plans.epub_packages(table(spark, d, "web_articles")).select("article_id", F.octet_length("epub").alias("size"), "crc")

@@ -52,12 +52,13 @@ def sniffed(content: Column) -> Column:
     )
 
 
-def routed(files: DataFrame) -> DataFrame:
-    """``doc_id, ext, format``: by extension, by first bytes where that is unknown; null content is text."""
+def routed(files: DataFrame, *columns: str) -> DataFrame:
+    """``doc_id, ext, format`` and ``columns``: by extension, by first bytes where that is unknown; null content is text."""
     ext = extension(F.col("file_name"))
     known = F.create_map(*[F.lit(x) for pair in BY_EXTENSION.items() for x in pair])
     by_name = F.try_element_at(known, ext)
-    return files.select("doc_id", ext.alias("ext"), F.coalesce(by_name, sniffed(F.coalesce("content", F.lit(b"")))).alias("format"))
+    form = F.coalesce(by_name, sniffed(F.coalesce("content", F.lit(b""))))
+    return files.select("doc_id", ext.alias("ext"), form.alias("format"), *columns)
 
 
 def charset(content: Column, with_utf16: bool = True) -> Column:
