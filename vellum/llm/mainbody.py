@@ -26,8 +26,8 @@ from .arrow import map_rows
 from .residue import is_residue, line_residue, width
 from .web import brand, key, lines_of, same_text, site_and_page
 
-LIST, CODE, PAGE, HEAD, QUOTE, TABLE, ITEM, LINKED, LONG, CHROME, CRUMB, NOSCRIPT, RESIDUE, WEAK, IMAGE, TITLE, NEXT, SIGN, UNFOLD, OPEN, LAST = (
-    1 << i for i in range(21)
+LIST, CODE, PAGE, HEAD, QUOTE, TABLE, ITEM, LINKED, LONG, CHROME, CRUMB, NOSCRIPT, RESIDUE, WEAK, IMAGE, TITLE, NEXT, SIGN, UNFOLD, OPEN, LAST, STYLED = (
+    1 << i for i in range(22)
 )
 #: How a line ends.
 END_NONE, END_STOP, END_DOTS, END_WORD, END_CUT = 0, 1, 2, 3, 4
@@ -49,6 +49,8 @@ ASIDE = re.compile(
     r"""<\w+[^>]*\b(?:class|id)\s*=\s*["']?[^"'>]*(?:\btip|meta|share|notice|advert|related|nav|menu|foot|sidebar|copyright|cookie|consent|promo|unfold|more-box|banner|subscribe|breadcrumb)""",
     re.I,
 )
+#: A whole line set apart by its styling.
+APART = re.compile(r"""^\s*(?:<section\b|<p\b[^>]*\bstyle\s*=\s*["'][^"']*color|<p[^>]*>\s*<(strong|b|em)\b[^>]*>.*</\1>\s*</p>\s*$)|^\s{2,}<p>\s""", re.I)
 BARE = re.compile(r"^(?:\s*<(?:a|b|em|i|span|strong)\b[^>]*>|[^<]).*<br\s*/?>\s*$", re.I)
 CRUMBS = re.compile(r"\S\s*(?:>|»|›|→)\s*\S[^>»›→]*\s*(?:>|»|›|→)\s*\S")
 #: Words of a site's own notices, prompts and bylines, for sites too small for counts.
@@ -56,6 +58,9 @@ NOTICE = re.compile(
     r"cookie|©|\(c\) ?\d|copyright|all rights|privacy|terms of|newsletter|subscri|sign in|log in|follow us|share (?:this|on)|rss\b|"
     r"site map|read more|^(?:words|text|photos?|drawings|edited|written|posted|published|filed|reprinted|by)\b.{0,60}$|readers found|"
     r"隐私|备案|版权|转载|扫码|关注|订阅|客户端|免责|不代表|侵权|友情链接|保留.{0,4}权利|点赞|收藏|举报|在看|人读过|写下你的想法|星标|发给朋友|"
+    r"^(?:撰文|制图|摄影|编辑|校对|责编|文|图|図)[ \u3000]\S{1,16} ?[/／|｜] ?\S|"
+    r"^(?:相关阅读|相关文章|猜你喜欢|热门推荐|大家都在看|最新评论|标签云|广告|関連記事|人気の記事|おすすめ|タグ|広告|新着|"
+    r"related(?: (?:articles|posts|stories))?|you may also like|most read|sponsored|latest comments|tags|trending|advertisement)$|"
     r"^(?:责编|编辑|校对|撰文|作者|文|图|来源|发布于|摄影|制图|审校)\s*[:：]|^发布于|"
     r"クッキー|規約|転載|無断|編集室|新着|栞|友だち|人が読みました|公開$|会社案内|個人情報|^(?:文|図|写真|編集|校正)\s*[:：]|ページの先頭",
     re.I,
@@ -195,6 +200,8 @@ def features(article_id, url, title, content) -> Iterator[tuple]:
             flags |= CRUMB
         if w <= 160 and "<" in raw and not flags & (LIST | CODE | ITEM) and (ASIDE.search(raw) or (ending == END_WORD and BARE.match(raw))):
             flags |= CHROME
+        if w <= 120 and ending == END_WORD and "<" in raw and not flags & (LIST | CODE | ITEM | HEAD) and APART.match(raw):
+            flags |= STYLED
         if w <= 120 and not flags & (LIST | CODE | ITEM):
             if NEXT_PART.search(text):
                 flags |= NEXT
@@ -202,9 +209,11 @@ def features(article_id, url, title, content) -> Iterator[tuple]:
                 flags |= SIGN
         tail, chars, size = None, 0, 0
         if ending != END_STOP or (w >= 28 and not flags & (ITEM | CODE)):
-            tail = key(_tail(text))
+            word = _tail(text)
+            tail = key(word)
             if ending == END_STOP:
-                finals.add(tail)
+                if word and not word[-1].isdigit():  # a number may end anywhere
+                    finals.add(tail)
             else:
                 chars = ends[line.no] - _closing(raw)
                 size = len(content[:chars].encode("utf-8", "replace"))
@@ -261,7 +270,7 @@ def first_pass(flags: int, w: int, on_site: bool, on_hosts: bool) -> int:
         return CHROME_LABEL
     if flags & (LONG | QUOTE | TABLE | SIGN):
         return BODY_LABEL
-    if flags & LINKED:
+    if flags & (LINKED | STYLED):
         return CHROME_LABEL
     return UNSURE
 
@@ -404,7 +413,8 @@ FINAL_ARTICLES = 3
 
 
 def length_spikes(ends: DataFrame) -> DataFrame:
-    """``site_key, unit, size``: lengths, in characters or bytes, at which texts of a site stop too often.
+    """``site_key, unit, size``: lengths, in characters or bytes, at which texts of a site stop too often;
+    under the null ``site_key`` those of all sites together, for limits that sites share.
 
     The histogram has one bar per length and counts pages, so that clips of one page count once.  A bar
     is a spike if it holds SPIKE_TIMES the mean of its neighbourhood.
@@ -412,7 +422,10 @@ def length_spikes(ends: DataFrame) -> DataFrame:
     sizes = ends.where("site_key is not null and verdict <> 0").select(
         "site_key", "page_key", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))).alias("s")
     )
-    bars = sizes.select("site_key", "page_key", "s.unit", "s.size").distinct().groupBy("site_key", "unit", "size").agg(F.count(F.lit(1)).alias("n"))
+    pages = sizes.select("site_key", "page_key", "s.unit", "s.size").distinct()
+    own = pages.groupBy("site_key", "unit", "size").agg(F.count(F.lit(1)).alias("n"))
+    every = own.groupBy("unit", "size").agg(F.sum("n").alias("n")).select(F.lit(None).cast("long").alias("site_key"), "unit", "size", "n")
+    bars = own.unionByName(every)
     near = W.partitionBy("site_key", "unit").orderBy("size").rangeBetween(-SPIKE_NEAR, SPIKE_NEAR)
     around = F.sum("n").over(near) - F.col("n")
     return (
@@ -436,12 +449,15 @@ def cut_verdicts(articles: DataFrame) -> DataFrame:
         .groupBy("tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FINAL_ARTICLES).select("tail", F.lit(True).alias("final"))
     )
     spikes = length_spikes(ends)
+    shared = spikes.where("unit = 'chars' and site_key is null").select(F.col("size").alias("chars"), F.lit(True).alias("spike_a"))
+    spikes = spikes.where("site_key is not null")
     by_chars = spikes.where("unit = 'chars'").select("site_key", F.col("size").alias("chars"), F.lit(True).alias("spike_c"))
     by_bytes = spikes.where("unit = 'bytes'").select("site_key", F.col("size").alias("bytes"), F.lit(True).alias("spike_b"))
     asked = (
         ends.where(F.col("verdict") == OPEN_QUESTION)
         .join(finals, "tail", "left").join(by_chars, ["site_key", "chars"], "left").join(by_bytes, ["site_key", "bytes"], "left")
-        .select("article_id", "site_key", (F.col("final").isNull() | F.col("spike_c").isNotNull() | F.col("spike_b").isNotNull()).alias("is_cut"))
+        .join(shared, "chars", "left")
+        .select("article_id", "site_key", (F.col("final").isNull() | F.col("spike_c").isNotNull() | F.col("spike_b").isNotNull() | F.col("spike_a").isNotNull()).alias("is_cut"))
     )
     known = ends.where(F.col("verdict") != OPEN_QUESTION).select("article_id", "site_key", (F.col("verdict") == CUT).alias("is_cut"))
     return known.unionByName(asked)
