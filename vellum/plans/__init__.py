@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import archives, articles, layout, markdown
+from ..kernels import archives, articles, layout, markdown, splitting
 from ..kernels.arrow import per_row
 from ..kernels.latex import formula_runs
 from ..operators import html_blocks, txt
@@ -121,3 +121,13 @@ def epub_packages(pages_: DataFrame) -> DataFrame:
         yield {"article_id": article_id, "epub": data, "crc": zlib.crc32(data)}
 
     return per_row(pages_.select("article_id", "title", "content_html"), kernel, "article_id long, epub binary, crc long")
+
+
+def file_parts(files: DataFrame, count: int) -> DataFrame:
+    """``doc_id, part, size, crc``: files in parts cut at line ends."""
+
+    def kernel(doc_id, content):
+        for i, data in enumerate(splitting.parts(content, count)):
+            yield {"doc_id": doc_id, "part": i, "size": len(data), "crc": zlib.crc32(data)}
+
+    return per_row(files.select("doc_id", "content"), kernel, "doc_id long, part int, size int, crc long")

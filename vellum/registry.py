@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from . import plans
 from .functions import text as T
 from .functions import urls as U
-from .operators import articles, links, outline, runs, tables, txt, volumes
+from .operators import articles, links, outline, page_setting, runs, tables, txt, volumes
 from .operators import html_blocks as html
 from .session import table
-from .sources import decode, formats
+from .sources import decode, formats, presets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -531,3 +531,61 @@ def bookmarks(spark: SparkSession, d: str) -> DataFrame:
 def epub_books(spark: SparkSession, d: str) -> DataFrame:
     """Articles as EPUB packages: size and checksum."""
     return plans.epub_packages(table(spark, d, "web_articles")).select("article_id", F.octet_length("epub").alias("size"), "crc")
+
+
+@query()
+def justified_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Character spacing of lines on pages."""
+    lines = page_setting.justified(plans.pages(table(spark, d, "blocks")), measure=255.0)
+    return lines.select("doc_id", "page_index", "elem_ord", F.round("spacing", 4).alias("spacing"), F.round("shift", 4).alias("shift"))
+
+
+@query()
+def vertically_aligned_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines spread over the height of their page."""
+    lines = page_setting.aligned_vertically(plans.pages(table(spark, d, "blocks")), height=340.0)
+    return lines.select("doc_id", "page_index", "elem_ord", F.round("new_y", 4).alias("y"))
+
+
+@query(f"""SELECT doc_id, block_index, columns, 52 AS target, round(greatest(6.5, least(9.6, 255.0 / ((least(columns, 52) + 1) / 2.0))), 4)::DOUBLE AS size FROM (
+  SELECT doc_id, block_index, list_max(list_transform(string_split(text, chr(10)), lambda x: length(x) + {_count(T.TWO_COLUMNS).replace("text", "x")})) AS columns
+  FROM blocks WHERE kind = 'code' AND text IS NOT NULL)""")
+def code_grids(spark: SparkSession, d: str) -> DataFrame:
+    """Grid width and font size of code blocks."""
+    g = page_setting.code_grid(table(spark, d, "blocks"), inner=255.0)
+    return g.select("doc_id", "block_index", F.col("columns").cast("long").alias("columns"), F.col("target"), F.round("size", 4).alias("size"))
+
+
+@query(f"SELECT doc_id, translate(text, '{''.join(page_setting.FALLBACKS)}', '{''.join(page_setting.FALLBACKS.values())}') AS text FROM documents WHERE text IS NOT NULL")
+def glyph_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with signs replaced that fonts often lack."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", page_setting.with_fallbacks(F.col("text")).alias("text"))
+
+
+@query()
+def file_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Stored files in four parts, cut at line ends."""
+    return plans.file_parts(table(spark, d, "text_sources"), 4)
+
+
+@query("SELECT doc_id, round((1 + 0.4 * (CASE least(greatest(level, 1), 6) WHEN 1 THEN 1 WHEN 2 THEN 0.72 WHEN 3 THEN 0.48 WHEN 4 THEN 0.28 WHEN 5 THEN 0.14 ELSE 0.06 END))::DOUBLE, 6) AS scale, count(*) AS n FROM blocks WHERE kind = 'heading' AND level IS NOT NULL GROUP BY ALL")
+def heading_scales(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of headings relative to the text."""
+    heads = table(spark, d, "blocks").where("kind = 'heading' and level is not null")
+    return heads.groupBy("doc_id", F.round(T.heading_scale(F.col("level")), 6).alias("scale")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, min(block_index) AS first_block, max(block_index) AS last_block, count(*) AS n_blocks FROM blocks WHERE kind <> 'image' GROUP BY doc_id")
+def without_images(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with images hidden."""
+    return table(spark, d, "blocks").where("kind <> 'image'").groupBy("doc_id").agg(
+        F.min("block_index").alias("first_block"), F.max("block_index").alias("last_block"), F.count(F.lit(1)).alias("n_blocks")
+    )
+
+
+@query()
+def parameter_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Layout parameters of documents by language: JSON read with defaults and written again."""
+    own = F.when(F.col("lang") == "zh", F.lit('{"textAlignment": "JUSTIFY", "fontSize": 13}')).otherwise(F.lit('{"textAlignment": "SIDEWAYS"}'))
+    sets = table(spark, d, "documents").select("lang").distinct().select("lang", own.alias("json"))
+    return sets.select("lang", presets.params_to_json(presets.params_from_json(F.col("json"))).alias("params"))
