@@ -40,6 +40,7 @@ BYTES_1252 = re.compile(r"[Â-ô](?:[\x80-¿ŒœŠšŸŽžƒˆ˜–—‘’‚
 BYTES_437 = re.compile(r"[┬├Γ╨╤π┌╞σµτΣσ∩][ -Ͽ -◿]")
 BYTES_1251 = re.compile(r"(?:[РСВГ][ -¿ЂЃѓ‚„…†‡€‰Љ‹ЊЌЋЏђ‘’“”•–—™љ›њќћџЎўЈҐЁЄЇІіґёєјЅѕї]){2,}")
 BYTES_LATIN = re.compile(r"[\xa1-\xff]{4,}")
+LONG_LATIN = re.compile(r"[\xa1-\xff]{8,}")
 WIDE_SIGNS = re.compile(r"[-\x80-\x9f؀-ۿ߀-߿｡-ﾟ㐀-䶿ㄅ-ㄯ]")
 
 #: Stretches of characters that single-byte charsets have.
@@ -47,6 +48,8 @@ NARROW = re.compile(r"[\x80-ӿ\u2010-\u214f\u2200-\u22ff\u2300-\u25ff]{2,}")
 
 WRONG = ("cp1252", "gb18030", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r", "big5hkscs", "cp932", "cp949")
 RIGHT = ("utf-8", "gb18030", "cp932", "euc_jp", "big5", "cp949", "cp1251", "koi8_r")
+#: Single-byte charsets by which UTF-8 is most often misread: one character is evidence enough.
+COMMON = frozenset({"cp1252", "cp437", "cp1251"})
 FAMILY = {"gb18030": "gb", "cp932": "ja", "euc_jp": "ja", "big5": "big5", "big5hkscs": "big5"}
 
 
@@ -248,7 +251,11 @@ class Judge:
                     continue
                 share, n = self.share(text.replace("�", " "))
                 strict = right == "utf-8" and not lost and not bad
-                sure = strict and wrong in SINGLE  # random bytes are hardly ever UTF-8, but two-byte characters may be
+                if wrong not in SINGLE and right != "utf-8" and 2 * len(set(text) & set(run)) > len(set(text)):
+                    continue  # charsets that agree on these characters tell nothing
+                sure = strict and wrong in SINGLE and (gained > 1 or wrong in COMMON)  # random bytes are hardly ever UTF-8, but two-byte characters may be
+                # nor does any language put so many accented letters in a row
+                sure = sure or (wrong in SINGLE and not lost and right not in SINGLE and share >= max(0.5, now - 0.2) and LONG_LATIN.search(run) is not None)
                 if sure or (share >= 0.6 and share > now + 0.2 and n >= (2 if gained > 2 and right == "utf-8" else 4)):
                     rank = share + 0.3 * strict - 0.2 * lost / (gained + lost) - 0.05 * bad
                     if (n or sure) and (found is None or rank > found[2]):

@@ -196,13 +196,15 @@ def features(article_id, url, title, content) -> Iterator[tuple]:
             flags |= CHROME
         elif (w >= 90 or (w >= 28 and ending != END_WORD)) and _prose(text):
             flags |= LONG
-        if w <= 120 and not flags & (LIST | CODE | ITEM) and (CRUMBS.search(text) or MENU.match(text)):
+        if w <= 120 and not flags & (LIST | CODE | ITEM) and (
+            (any(c in text for c in ">»›→") and CRUMBS.search(text)) or (not flags & LONG and MENU.match(text))
+        ):
             flags |= CRUMB
-        if w <= 160 and "<" in raw and not flags & (LIST | CODE | ITEM) and (ASIDE.search(raw) or (ending == END_WORD and BARE.match(raw))):
+        if w <= 160 and "<" in raw and not flags & (LIST | CODE | ITEM) and ((("class" in raw or "id=" in raw) and ASIDE.search(raw)) or (ending == END_WORD and BARE.match(raw))):
             flags |= CHROME
         if w <= 120 and ending == END_WORD and "<" in raw and not flags & (LIST | CODE | ITEM | HEAD) and APART.match(raw):
             flags |= STYLED
-        if w <= 120 and not flags & (LIST | CODE | ITEM):
+        if w <= 120 and not flags & (LIST | CODE | ITEM | LONG):
             if NEXT_PART.search(text):
                 flags |= NEXT
             if SIGNATURE.match(text):
