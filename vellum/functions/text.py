@@ -90,10 +90,15 @@ def subscript(text: Column) -> Column:
 
 
 def decode_entities(text: Column) -> Column:
-    """Six named references in fixed order, then hexadecimal, then decimal ones."""
+    """Six named references in fixed order, then hexadecimal, then decimal ones.
+
+    Texts without an ampersand, most of them, are passed on as they are.
+    """
+    whole = text
     for name, char in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " ")):
         text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    return F.when(text.rlike("&#(?:x[0-9a-fA-F]+|[0-9]+);"), _numeric(text)).otherwise(text)
+    decoded = F.when(F.contains(text, F.lit("&#")), _numeric(text)).otherwise(text)
+    return F.when(F.contains(whole, F.lit("&")), decoded).otherwise(whole)
 
 
 def _numeric(text: Column) -> Column:

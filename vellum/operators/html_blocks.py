@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities, trim_unicode
+from ..session import spread
 
 SKIPPED = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>"
 TOKEN = r"(<[^>]*>?|[^<]+)"
@@ -21,7 +22,9 @@ def blocks(pages: DataFrame, key: str = "article_id", html: str = "content_html"
     pages give no blocks.
     """
     clean = F.regexp_replace(html, SKIPPED, "")
-    tokens = pages.select(key, F.posexplode(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(1))).alias("pos", "tok"))
+    tokens = spread(pages.select(key, html)).select(
+        key, F.posexplode(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(1))).alias("pos", "tok")
+    )
     boundary = F.col("tok").rlike(BOUNDARY).cast("int")
     before = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     segments = tokens.withColumn("seg", F.coalesce(F.sum(boundary).over(before), F.lit(0)))
