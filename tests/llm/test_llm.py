@@ -165,6 +165,13 @@ def test_p6_cleaning(spark):
     assert {tuple(r) for r in found.collect()} == {("run", 1), ("article", 5)}
 
 
+def test_p6_clips_of_one_page_are_no_template(spark):
+    clips = [(i, f"https://s.example/a?from={i}", "t", f"<div><p>固定的一行</p><p>文章<b>一</b>。</p><p>共同的正文</p><p>第{i}版</p></div>") for i in range(30)]
+    others = [(100 + i, f"https://s.example/{i}", "t", f"<div><p>固定的一行</p><p>文章<b>{i}</b>。</p><p>内容{i}</p></div>") for i in range(6)]
+    got = {r[0]: r[1] for r in markup.clean_pages(frame(spark, clips + others, ARTICLE)).collect()}
+    assert len(got) == 36 and all(got[i] == f"文章一。\n共同的正文\n第{i}版" for i in range(30)) and got[103] == "文章3。\n内容3"
+
+
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer files")
 def test_p8_equals_public_library(spark):
     tiktoken = pytest.importorskip("tiktoken")

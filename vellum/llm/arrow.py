@@ -32,27 +32,3 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterator[tuple]]],
 
     ship_package(df.sparkSession)
     return spread(df).mapInArrow(run, out)
-
-
-def map_sorted(df: DataFrame, order: list[str], columns: list[str], make: Callable[[], Callable], schema: str) -> DataFrame:
-    """Apply a kernel to the rows of each range of ``order``, in that order.
-
-    Range partitioning splits a key of any frequency by the columns that follow it.  ``make()`` returns a
-    generator function that takes the iterator of a partition's rows and yields output tuples.
-    """
-    out: StructType = _parse_datatype_string(schema)
-    target = to_arrow_schema(out)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
-        chunk = []
-        for row in make()(rows):
-            chunk.append(row)
-            if len(chunk) == 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*chunk), target)], schema=target)
-                chunk = []
-        if chunk:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*chunk), target)], schema=target)
-
-    ship_package(df.sparkSession)
-    return df.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns).mapInArrow(run, out)
