@@ -77,6 +77,16 @@ def test_p2_restores(spark):
     assert charset.repaired_runs(df.limit(0)).count() == 0
 
 
+def test_p2_short_garbles_and_rare_pairs_beside_them(spark):
+    good = [(i, s) for i, s in enumerate(SENTENCES * 4)] + [(1000 + i, f"Le café numéro {i} était fermé.") for i in range(60)]
+    lone = [(5000, "Le cafГ© est grand."), (5001, "Г\xa0 la carte"), (5002, "20В°C outside")]
+    short = [(5003, "鼷龘" + SENTENCES[3][:4] + SENTENCES[4][3:8].encode().decode("gb18030", "replace") + SENTENCES[5][5:] + "鼷龘")]
+    clean = [(9000, "В\xa0доме, пункт «Г», С\xa0Windows и 220\xa0В…"), (9001, "鼷龘" + SENTENCES[3]), (9002, "Группа «Г»")]
+    got = {r["run_id"]: r["restored"] for r in charset.repaired_runs(frame(spark, good + lone + short + clean, "run_id long, text string")).collect()}
+    assert set(got) == {5000, 5001, 5002, 5003}
+    assert got[5000] == "Le café est grand." and got[5001] == "à la carte" and got[5002] == "20°C outside"
+
+
 @pytest.mark.parametrize("text", ["{{ page.title }}", "By %AUTHOR% on %DATE%", "来源：{source_name}", "502 Bad Gateway", "Lorem ipsum dolor, amet sit elit magna.", "请开启 JavaScript 后继续浏览", "页面不存在", "示例文字示例文字示例文字", "TODO: write the copy", "[TITLE HERE]", "Just a moment…"])
 def test_p3_residue(text):
     assert residue.is_residue(text)

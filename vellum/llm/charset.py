@@ -31,14 +31,14 @@ MODEL_BITS = 23
 #: Share of all pair occurrences that the improbable pairs make up.
 PAIR_MASS = 0.12
 #: Least score of a run: so many improbable pairs more than probable ones.
-LEAST_SCORE = 3.5
+LEAST_SCORE = 2
 
 LOST = re.compile("�|(?:锟斤拷?|拷锟|斤拷){2,}|ï¿½|锛�")
 QUOTED = re.compile(r"[「『“‘\"'`《]([^「」『』“”‘’\"'`《》]{1,12})[」』”’\"'`》]")
 #: Characters that single-byte charsets show for the first bytes of UTF-8 sequences, and for the bytes after them.
 BYTES_1252 = re.compile(r"[Â-ô](?:[\x80-¿ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]{1,3})")
 BYTES_437 = re.compile(r"[┬├Γ╨╤π┌╞σµτΣσ∩][ -Ͽ -◿]")
-BYTES_1251 = re.compile(r"(?:[РСВГ][ -¿ЂЃѓ‚„…†‡€‰Љ‹ЊЌЋЏђ‘’“”•–—™љ›њќћџЎўЈҐЁЄЇІіґёєјЅѕї]){2,}")
+BYTES_1251 = re.compile(r"[РСВГ][ -¿ЂЃѓ‚„…†‡€‰Љ‹ЊЌЋЏђ‘’“”•–—™љ›њќћџЎўЈҐЁЄЇІіґёєјЅѕї]")
 BYTES_LATIN = re.compile(r"[\xa1-\xff]{4,}")
 LONG_LATIN = re.compile(r"[\xa1-\xff]{8,}")
 WIDE_SIGNS = re.compile(r"[-\x80-\x9f؀-ۿ߀-߿｡-ﾟ㐀-䶿ㄅ-ㄯ]")
@@ -66,6 +66,12 @@ def _single_byte(codec: str) -> dict[int, int]:
 
 
 SINGLE = {c: _single_byte(c) for c in ("cp1252", "cp1251", "cp437", "cp850", "mac_roman", "koi8_r")}
+#: What each of them can have shown; a replacement character stands for any byte.
+SHOWN = {c: frozenset(map(chr, table)) | {"\ufffd"} for c, table in SINGLE.items()}
+OPEN_QUOTES = "「『“‘«„\"'`《("
+CYRILLIC = re.compile(r"[Ѐ-ӿ]")
+#: How far the borders of a garbled part may lie from those of its maximum-scoring segment.
+BORDER = 3
 
 
 def _gb_user_defined(cp: int) -> bytes | None:
@@ -87,6 +93,11 @@ def to_bytes(text: str, codec: str) -> tuple[bytes, int]:
         table = SINGLE[codec]
         out = [table.get(ord(c)) for c in text]
         return bytes(0x3F if b is None else b for b in out), sum(b is None for b in out)
+    try:
+        if codec != "gb18030" or not ("\ue000" <= max(text) and any("\ue000" <= c < "\ue766" for c in text)):
+            return text.encode(codec), 0  # what follows gives the same, character by character
+    except (UnicodeEncodeError, ValueError):
+        pass
     parts, bad = [], 0
     for c in text:
         if c == "�":
@@ -114,6 +125,13 @@ def _fold(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _folded(c: str) -> int:
+    """The same for one character."""
+    if c >= "\x80" or c == " ":
+        return ord(c)
+    return 97 if c.isalpha() else 48 if c.isdigit() else 46
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
 
@@ -185,8 +203,12 @@ def pair_model(texts: DataFrame) -> np.ndarray:
 class Judge:
     """Reads texts by the pair model."""
 
+    #: Pairs remembered at most.
+    SEEN = 1 << 18
+
     def __init__(self, words: np.ndarray):
         self.words = words
+        self.seen: dict[tuple[str, str], int] = {}
 
     def probable(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """For each adjacent pair: whether it counts (one side outside ASCII), and whether it is probable."""
@@ -198,12 +220,30 @@ class Judge:
 
     def share(self, text: str) -> tuple[float, int]:
         """Share of probable pairs among those that count, and their number."""
-        counts, hit = self.probable(text)
-        n = int(counts.sum())
-        return (float((hit & counts).sum()) / n if n else 0.0), n
+        n = good = 0
+        seen = self.seen
+        for pair in zip(text, text[1:]):
+            v = seen.get(pair)
+            if v is None:
+                v = self._look(*pair)
+            if v:
+                n += 1
+                good += v - 1
+        return (good / n if n else 0.0), n
+
+    def _look(self, x: str, y: str) -> int:
+        """0 for a pair that doesn't count, 1 for an improbable and 2 for a probable one."""
+        v = 0
+        if x >= "\x80" or y >= "\x80":
+            at = bucket(_folded(x), _folded(y))
+            v = 1 + (int(self.words[at >> 6]) >> (at & 63) & 1)
+        if len(self.seen) >= self.SEEN:
+            self.seen.clear()
+        self.seen[x, y] = v
+        return v
 
     def segments(self, text: str) -> list[tuple[int, int]]:
-        """Maximum-scoring runs of improbable pairs, as character ranges, widened over what isn't ASCII."""
+        """Maximum-scoring runs of improbable pairs, as character ranges."""
         counts, hit = self.probable(text)
         gain = np.where(counts & ~hit, 1.0, np.where(counts, -0.8, -0.4))
         out, start, total, best, end = [], None, 0.0, 0.0, 0
@@ -221,7 +261,7 @@ class Judge:
                 start = None
         if start is not None and best >= LEAST_SCORE:
             out.append((start, end + 2))
-        return [self._widen(text, a, b) for a, b in out]
+        return out
 
     @staticmethod
     def _widen(text: str, a: int, b: int) -> tuple[int, int]:
@@ -231,13 +271,35 @@ class Judge:
             b += 1
         return a, b
 
-    def inverse(self, run: str) -> tuple[str, float] | None:
+    @staticmethod
+    def _lone(text: str, a: int, b: int) -> bool:
+        """Whether what may be one letter misread by cp1251 is none of a text in Cyrillic letters."""
+        seen = text[a:b].encode("cp1251").decode("utf-8", "replace")
+        if not seen.isprintable() or seen.isspace() or "\ufffd" in seen or (a and text[a - 1] in OPEN_QUOTES):
+            return False
+        others = CYRILLIC.search(BYTES_1251.sub("", text))
+        return not others or (seen.isalpha() and text[b - 1] != "\xa0" and "a" <= text[a - 1 : a].lower() <= "z")
+
+    def _misread_1251(self, text: str) -> Iterator[tuple[int, int]]:
+        """Ranges of letters misread by cp1251: several in a row, or single ones that stand in other script."""
+        spans: list[list[int]] = []
+        for m in BYTES_1251.finditer(text):
+            if spans and spans[-1][1] == m.start():
+                spans[-1][1] = m.end()
+            else:
+                spans.append([*m.span()])
+        return ((a, b) for a, b in spans if b - a > 2 or self._lone(text, a, b))
+
+    def inverse(self, run: str, lone: bool = True) -> tuple[str, float] | None:
         """Best inverse mapping of a run: the text restored (with replacement characters where bytes are
-        lost) and its share of probable pairs; None if none reads markedly better."""
+        lost) and its share of probable pairs; None if none reads markedly better.  ``lone``: one letter
+        misread by cp1251 is evidence enough."""
         now, n_now = self.share(run)
         wide = sum(c >= "\x80" for c in run)
         found = None
         for wrong in WRONG:
+            if wrong in SINGLE and not SHOWN[wrong].issuperset(run):
+                continue
             raw, bad = to_bytes(run, wrong)
             if bad * 5 > wide or (bad and wrong in SINGLE):
                 continue
@@ -245,15 +307,19 @@ class Judge:
                 if wrong == right or FAMILY.get(wrong, 1) == FAMILY.get(right, 2) or (right in SINGLE and (wrong not in SINGLE or wide < 6)):
                     continue
                 text = raw.decode(right, "replace")
+                if right != "utf-8" and len(text) < 3:
+                    continue
                 lost = text.count("�")
+                if lost * 2 > len(text):
+                    continue
                 gained = sum(c >= "\x80" for c in text) - lost
                 if gained < 1 or lost > gained or (right != "utf-8" and (lost * 8 > gained or gained < 3)):
                     continue
-                share, n = self.share(text.replace("�", " "))
                 strict = right == "utf-8" and not lost and not bad
                 if wrong not in SINGLE and right != "utf-8" and 2 * len(set(text) & set(run)) > len(set(text)):
                     continue  # charsets that agree on these characters tell nothing
-                sure = strict and wrong in SINGLE and (gained > 1 or wrong in COMMON)  # random bytes are hardly ever UTF-8, but two-byte characters may be
+                share, n = self.share(text.replace("�", " "))
+                sure = strict and wrong in SINGLE and (gained > 1 or (wrong in COMMON and (lone or wrong != "cp1251")))  # random bytes are hardly ever UTF-8, but two-byte characters may be
                 # nor does any language put so many accented letters in a row
                 sure = sure or (wrong in SINGLE and not lost and right not in SINGLE and share >= max(0.5, now - 0.2) and LONG_LATIN.search(run) is not None)
                 if sure or (share >= 0.6 and share > now + 0.2 and n >= (2 if gained > 2 and right == "utf-8" else 4)):
@@ -282,27 +348,45 @@ class Judge:
                 if (a or b < n) and b - a >= 3:
                     yield a, b
 
+    def around(self, text: str, a: int, b: int, least: int, most: int) -> tuple[int, int, str] | None:
+        """Best inverse mapping of a segment whose borders may be off by BORDER characters: (start, end, restored)."""
+        best = None
+        for i in range(max(least, a - BORDER), min(a + BORDER, b) + 1):
+            for k in range(max(i + 3, b - BORDER), min(most, b + BORDER) + 1):
+                if better := self.inverse(text[i:k], lone=False):
+                    rank = ("\ufffd" not in better[0], better[1] + 0.02 * (k - i))
+                    if best is None or rank > best[0]:
+                        best = rank, i, k, better[0]
+        return best and best[1:]
+
     def repair(self, text: str) -> tuple[bool, str]:
         """(garbled, best restored text)."""
         lost = bool(LOST.search(QUOTED.sub(" ", text)))
         garbled, out = lost, text
         for _ in range(3):  # text can be wrongly decoded more than once
-            runs = list(self.segments(out)) if not out.isascii() else []
-            for pattern in (BYTES_1252, BYTES_437, BYTES_1251, BYTES_LATIN):
-                runs += [self._widen(out, *m.span()) for m in pattern.finditer(out)]
-            if not runs and WIDE_SIGNS.search(out):
-                runs = [self._widen(out, m.start(), m.end()) for m in WIDE_SIGNS.finditer(out)]
-            runs = _merged(out, runs)
+            cores = self.segments(out) if not out.isascii() else []
+            spans = [m.span() for pattern in (BYTES_1252, BYTES_437, BYTES_LATIN) for m in pattern.finditer(out)]
+            spans += (misread := list(self._misread_1251(out)))
+            if not cores and not spans and WIDE_SIGNS.search(out):
+                spans = [m.span() for m in WIDE_SIGNS.finditer(out)]
+            runs = _merged(out, [self._widen(out, *span) for span in cores + spans])
             changed = False
             for a, b in reversed(runs):
                 quoted = a > 0 and b < len(out) and QUOTED.fullmatch(out[a - 1 : b + 1])
                 if quoted and b - a < 8:
                     continue
+                lone = any(a <= c < b for c, _ in misread)
                 for i, k in self.windows(out[a:b]):
-                    better = self.inverse(out[a + i : a + k])
+                    better = self.inverse(out[a + i : a + k], lone)
                     if better:
                         out, garbled, changed = out[: a + i] + better[0] + out[a + k :], True, True
                         break
+                else:
+                    # a rare pair elsewhere in the run may have hidden the borders of the garbled part
+                    for i, k in reversed([c for c in cores if a <= c[0] and c[1] <= b]):
+                        if best := self.around(out, i, min(k, b), a, b):
+                            i, k, better = best
+                            out, b, garbled, changed = out[:i] + better + out[k:], i, True, True
             if not changed:
                 break
         return garbled, out
