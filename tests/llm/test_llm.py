@@ -147,6 +147,17 @@ def test_p4_spikes(spark):
     assert {(r["site_key"], r["unit"], r["size"], r["n_pages"]) for r in got} == {(1, "chars", 900, 20), (None, "chars", 900, 20)}
 
 
+def test_p4_a_word_is_final_by_its_share(spark):
+    def body(i):
+        return f"<p>{chr(0x4E10 + i)}在河堤上写了{chr(0x5E10 + i)}的一个完整的长段落，它把话说完了，没有留下渡口。</p>"
+
+    rows = [(i, f"https://s{i}.example/{i}", "t", body(i) + (f"\n<p>后来{chr(0x6E10 + i)}的人都走到了这条长长的河堤。</p>" if i < 4 else "")) for i in range(120)]
+    rows += [(200 + i, f"https://s3.example/3?x={i}", "t", rows[3][3]) for i in range(9)]
+    rows += [(300, "https://t.example/1", "t", body(300) + "\n<p>这是另一个段落，说到了河堤</p>"), (301, "https://t.example/2", "t", body(301) + "\n<p>这是另一个段落，说到了渡口</p>")]
+    assert {r[0] for r in mainbody.cut_verdicts(frame(spark, rows, ARTICLE)).where("is_cut").collect()} == {300}
+    assert mainbody.tail_words("It’s a 3-day “trip” 去河堤") == {"it’s", "a", "3", "day", "trip", " 去", "去河", "河堤"}
+
+
 def test_p5_pairs(spark):
     runs = [(1, "ＡＢＣ　１２"), (2, "ABC 12"), (3, "АВС  12"), (4, "abc 12"), (5, "cafe\u0301"), (6, "café"), (7, "⽔面"), (8, "水\u200b面"), (9, None), (10, " \u200b"), (11, "①"), (12, "1"), (2, "ABC 12"), (13, "ABC 12")]
     got = {tuple(r) for r in lookalike.equal_looking_pairs(frame(spark, runs, "run_id long, text string"), frame(spark, [(1, None, "Ｘ", None), (2, None, "X", None)], ARTICLE)).collect()}

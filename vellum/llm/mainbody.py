@@ -410,8 +410,14 @@ def page_lines(articles: DataFrame) -> DataFrame:
 
 #: A length is a limit where so many pages of a site end at it exactly, and so many times more than at lengths near it.
 SPIKE_PAGES, SPIKE_TIMES, SPIKE_NEAR = 3, 8, 64
-#: A word can end a sentence if it does so in this many articles.
-FINAL_ARTICLES = 3
+#: A word can end a sentence if it does so on this share of the pages that show it.
+FINAL_SHARE = 0.05
+#: Places of the bit map of the tails in question that tasks receive.
+TAIL_BITS = 23
+#: Words as _tail() takes them: runs of letters, or two characters of unspaced text.
+SPACED = re.compile(r"[^\W_\u3040-\U0010ffff](?:[^\W_\u3040-\U0010ffff]|['’](?=['’]*[^\W_\u3040-\U0010ffff]))*|['’]+(?:[^\W_\u3040-\U0010ffff]|['’](?=['’]*[^\W_\u3040-\U0010ffff]))+")
+#: The end of a sentence inside a line.
+STOPS = re.compile(r"[。！？!?．｡]+|\.(?=\s|$)")
 
 
 def length_spikes(ends: DataFrame) -> DataFrame:
@@ -437,19 +443,85 @@ def length_spikes(ends: DataFrame) -> DataFrame:
     )
 
 
+def tail_words(text: str) -> set[str]:
+    """Every word of a line that would be its tail if the line broke off there."""
+    words = {m[0].lower() for m in SPACED.finditer(text)} if min(text) < "\u3040" else set()
+    if max(text) >= "\u3040":
+        words.update(a + b for a, b in {*zip("\n" + text, text)} if b >= "\u3040" and b.isalnum())
+        if text[0] >= "\u3040" and text[0].isalnum():
+            words.add(text[0])
+    return words
+
+
+def _words_kernel(bits):
+    def make():
+        asked = bits.value
+        known: dict[str, int | None] = {}
+
+        def number(word: str) -> int | None:
+            """Key of a word that may be in question."""
+            if word not in known:
+                if len(known) >= 1 << 17:
+                    known.clear()
+                k = key(word)
+                at = k & ((1 << TAIL_BITS) - 1)
+                known[word] = k if asked[at >> 3] >> (at & 7) & 1 else None
+            return known[word]
+
+        def kernel(url, content):
+            site, page = site_and_page(url)
+            words, final = set(), set()
+            for line in lines_of(content):
+                if line.in_code or line.in_page_tag or width(line.text) < 28:
+                    continue
+                words |= tail_words(line.text)
+                at = 0
+                for m in STOPS.finditer(line.text):
+                    final.add(_tail(line.text[max(at, m.start() - 80) : m.start()]))
+                    at = m.end()
+                if _ending(line.text) == END_STOP:
+                    final.add(_tail(line.text))
+            for word in words | final:
+                if word and (k := number(word)) is not None:
+                    yield k, key(page) if page else key(content), word in final and not word[-1].isdigit()
+
+        return kernel
+
+    return make
+
+
+def final_words(articles: DataFrame, asked: DataFrame) -> DataFrame:
+    """``tail``: those of ``asked`` that end a sentence on FINAL_SHARE of the distinct pages that show them.
+
+    A bit map of bounded size leaves out most words before the shuffle; the join with ``asked`` is exact.
+    """
+    tails = asked.where("tail is not null").select("tail").distinct()
+    at = F.col("tail").bitwiseAND((1 << TAIL_BITS) - 1)
+    bits = bytearray(1 << (TAIL_BITS - 3))
+    rows = tails.groupBy(F.shiftright(at, 3).alias("b")).agg(F.bit_or(F.expr(f"shiftleft(1, cast((tail & {(1 << TAIL_BITS) - 1}) & 7 as int))")).alias("v"))
+    for b, v in rows.toLocalIterator():
+        bits[b] = v
+    shown = map_rows(
+        articles.where("content_html is not null").select("url", "content_html"),
+        _words_kernel(articles.sparkSession.sparkContext.broadcast(bytes(bits))), "tail long, page long, final boolean",
+    )
+    return (
+        shown.groupBy("tail", "page").agg(F.max("final").alias("final")).groupBy("tail")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if("final").alias("n_final"))
+        .where(F.col("n_final") >= FINAL_SHARE * F.col("n")).join(tails, "tail", "left_semi").select("tail")
+    )
+
+
 def cut_verdicts(articles: DataFrame) -> DataFrame:
     """One row per article that is no residue page: ``article_id, site_key, is_cut``.
 
     A body is cut if its last line shows it by itself (an open element, a mark of omission after a
     blank, a prompt to unfold the rest), or if it breaks off without terminal punctuation and either
-    stops at a length spike of its site or at a word that ends no sentence elsewhere in the corpus.
+    stops at a length spike of its site or at a word that seldom ends a sentence where it stands in the corpus.
     """
-    pages, verdicts = analysed(articles)
+    _, verdicts = analysed(articles)
     ends = cut_lineage(verdicts.where("not residue").select("article_id", "site_key", "page_key", "verdict", "tail", "chars", "bytes"))
-    finals = (
-        pages.select(F.explode("finals").alias("tail"))
-        .groupBy("tail").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FINAL_ARTICLES).select("tail", F.lit(True).alias("final"))
-    )
+    finals = final_words(articles, ends.where(F.col("verdict") == OPEN_QUESTION)).withColumn("final", F.lit(True))
     spikes = length_spikes(ends)
     shared = spikes.where("unit = 'chars' and site_key is null").select(F.col("size").alias("chars"), F.lit(True).alias("spike_a"))
     spikes = spikes.where("site_key is not null")
