@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, local mode) a
-    temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``.  Only a local session, whose tasks all run on this
+    machine, may do without and gets a temporary folder; any other raises an error.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +29,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(current)
         return current
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "vellum-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -59,7 +61,23 @@ def ship_package(spark: SparkSession) -> None:
     sc._vellum_shipped = True
 
 
+#: Logical operators that keep the partitions of what they read.
+NARROW = frozenset("Project Filter Generate MapInArrow MapInPandas LogicalRelation LogicalRDD LocalRelation Union SubqueryAlias".split())
+
+
+def _is_narrow(plan) -> bool:
+    """Whether a logical plan reads its sources without an exchange."""
+    below = plan.children()
+    return plan.getClass().getSimpleName() in NARROW and all(_is_narrow(below.apply(i)) for i in range(below.length()))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal ``df`` out over all cores where its files give less than half as many partitions as there are cores."""
+    """Deal ``df`` out over all cores where its files give less than half as many partitions as there are cores.
+
+    Only frames straight from a source are dealt out; what comes from a shuffle is left as it is, since
+    asking for its partitions would run the stages before it while the plan is still being built.
+    """
+    if not _is_narrow(df._jdf.queryExecution().optimizedPlan()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
