@@ -5,10 +5,12 @@ ten characters in unspaced text, or ten characters within one unbroken run that
 phrases, sentences and paragraphs are unions of these.  Case, punctuation and spacing are taken out
 first, and a run of digits is one sign, so they make no difference.
 
-To find the documents with much repetition, cheap rules come first.  A phrase can only be repeated if its
-shorter parts are, so the share of letters in repeated shorter parts is an upper bound of the share; a
-document whose bound is too small is out.  Each task measures cost and selectivity of every rule on its
-first documents (SAMPLE of them) and applies the rules in order of rejections per cost; what no rule
+To find the documents with much repetition, cheap rules come first, each an upper bound of the share; a
+document whose bound is too small is out.  How many phrases of a text stood before is counted by sorting
+bare hashes, which is much cheaper than finding out which signs they cover; so many phrases can't cover more
+than their number times the longest of them.  A phrase can also only be repeated if its parts are.  Each
+task measures cost and selectivity of every rule on its first documents (SAMPLE of them): the rule with the
+most rejections per cost comes first, and the others are measured again on what it leaves.  What no rule
 rejects gets the exact measure.  The order changes the cost, never the result.
 
 Null and empty texts and texts without letters or digits have share 0.  Repeated rows of a doc_id are
@@ -19,7 +21,9 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from copy import copy
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -95,17 +99,9 @@ class Stream:
         self.kind = kind[first]
         self.run = np.where(self.kind == UNSPACED, -1, run[first])
         self.n_docs = len(texts)
+        self.known: dict[tuple[int, int], list[Phrases]] = {}
         self.total = np.bincount(self.doc, weights=self.weight, minlength=self.n_docs)
 
-    def take(self, docs: np.ndarray) -> "Stream":
-        """The stream of some of the texts."""
-        out = object.__new__(Stream)
-        keep = docs[self.doc]
-        for name in ("weight", "sign", "doc", "kind", "run"):
-            setattr(out, name, getattr(self, name)[keep])
-        out.n_docs, out.total = self.n_docs, self.total
-        return out
-
 
 def _seen_before(keys: np.ndarray) -> np.ndarray:
     """True for every key that stands earlier in the array."""
@@ -132,39 +128,54 @@ def _grams(values: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def repeated(s: Stream, words: int, chars: int) -> np.ndarray:
-    """Which signs lie in a repeated phrase of ``words`` words or ``chars`` characters."""
+class Phrases(NamedTuple):
+    """Phrases of one kind: the unit at which each begins, its document and its hash.
+
+    A phrase has ``span`` units.  ``part`` gives the sign at which each unit begins and ``lengths`` the signs
+    of each unit, None where a unit is one sign.
+    """
+
+    starts: np.ndarray
+    doc: np.ndarray
+    key: np.ndarray
+    span: int
+    part: np.ndarray
+    lengths: np.ndarray | None
+
+
+def phrases(s: Stream, words: int, chars: int) -> list[Phrases]:
+    """All phrases of ``words`` words or ``chars`` characters, by kind; a stream keeps those it was asked for."""
+    if (words, chars) not in s.known:
+        s.known[words, chars] = list(_phrases(s, words, chars))
+    return s.known[words, chars]
+
+
+def _phrases(s: Stream, words: int, chars: int) -> Iterator[Phrases]:
     size = len(s.sign)
-    out = np.zeros(size, dtype=bool)
     if not size:
-        return out
+        return
     # unspaced text, and signs of other scripts that stand among it
-    near = np.zeros(size, dtype=bool)
     loose = s.run < 0
-    near |= loose
-    part = np.flatnonzero(near | _beside(s, loose))
+    part = np.flatnonzero(loose | _beside(s, loose))
     if len(part) >= chars:
         h = _grams(s.sign[part], chars)
         last = len(part) - chars + 1
-        ok = (s.doc[part[:last]] == s.doc[part[chars - 1 :]]) & (part[chars - 1 :] - part[:last] == chars - 1)
-        starts = np.flatnonzero(ok)
-        key = (h[starts] ^ (s.doc[part[starts]].astype(np.uint64) * B2)) * B1
-        hit = part[starts[_seen_before(key)]]
-        out |= _cover(hit, chars, size)
+        starts = np.flatnonzero((s.doc[part[:last]] == s.doc[part[chars - 1 :]]) & (part[chars - 1 :] - part[:last] == chars - 1))
+        doc = s.doc[part[starts]]
+        yield Phrases(starts, doc, (h[starts] ^ (doc.astype(np.uint64) * B2)) * B1, chars, part, None)
     # within one long unbroken run
-    runs = s.run >= 0
     change = np.ones(size, dtype=bool)
     change[1:] = s.run[1:] != s.run[:-1]
     heads = np.flatnonzero(change)
     lengths = np.diff(np.append(heads, size))
-    long = np.repeat(lengths > chars, lengths) & runs
-    part = np.flatnonzero(long)
+    runs = s.run >= 0
+    part = np.flatnonzero(np.repeat(lengths > chars, lengths) & runs)
     if len(part) > chars:
         h = _grams(s.sign[part], chars)
         last = len(part) - chars + 1
         starts = np.flatnonzero(s.run[part[:last]] == s.run[part[chars - 1 :]])
         key = (h[starts] ^ (s.run[part[starts]].astype(np.uint64) * B2)) * B1
-        out |= _cover(part[starts[_seen_before(key)]], chars, size)
+        yield Phrases(starts, s.doc[part[starts]], key, chars, part, None)
     # words
     spaced = runs[heads]
     w_head, w_len, w_no = heads[spaced], lengths[spaced], np.flatnonzero(spaced)
@@ -172,16 +183,25 @@ def repeated(s: Stream, words: int, chars: int) -> np.ndarray:
         place = np.arange(size) - np.repeat(heads, lengths)
         mixed = (s.sign + np.uint64(1)) * (B2 * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)))
         mixed ^= mixed >> np.uint64(31)
-        sums = np.add.reduceat(mixed * B1, heads)[spaced]
-        h = _grams(sums, words)
+        h = _grams(np.add.reduceat(mixed * B1, heads)[spaced], words)
         last = len(w_head) - words + 1
-        ok = (s.doc[w_head[:last]] == s.doc[w_head[words - 1 :]]) & (w_no[words - 1 :] - w_no[:last] == words - 1)
-        starts = np.flatnonzero(ok)
-        key = (h[starts] ^ (s.doc[w_head[starts]].astype(np.uint64) * B2)) * B1
-        covered = _cover(starts[_seen_before(key)], words, len(w_head))
-        at = np.zeros(size, dtype=bool)
-        at[np.repeat(w_head[covered], w_len[covered]) + _within(w_len[covered])] = True
-        out |= at
+        starts = np.flatnonzero((s.doc[w_head[:last]] == s.doc[w_head[words - 1 :]]) & (w_no[words - 1 :] - w_no[:last] == words - 1))
+        doc = s.doc[w_head[starts]]
+        yield Phrases(starts, doc, (h[starts] ^ (doc.astype(np.uint64) * B2)) * B1, words, w_head, w_len)
+
+
+def repeated(s: Stream, words: int, chars: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Which signs lie in a repeated phrase of ``words`` words or ``chars`` characters, in the texts ``among``."""
+    size = len(s.sign)
+    out = np.zeros(size, dtype=bool)
+    for p in phrases(s, words, chars):
+        asked = slice(None) if among is None else among[p.doc]
+        hit = p.starts[asked][_seen_before(p.key[asked])]
+        if p.lengths is not None:
+            covered = _cover(hit, p.span, len(p.part))
+            out[np.repeat(p.part[covered], p.lengths[covered]) + _within(p.lengths[covered])] = True
+        else:
+            out |= _cover(p.part[hit], p.span, size)
     return out
 
 
@@ -205,14 +225,14 @@ def _beside(s: Stream, loose: np.ndarray) -> np.ndarray:
     return np.repeat(before | after, lengths) & ~loose
 
 
-def shares(s: Stream, words: int = WORDS, chars: int = CHARS) -> np.ndarray:
-    """Share of repeated letters and digits of each text."""
-    hit = repeated(s, words, chars)
+def shares(s: Stream, among: np.ndarray | None = None, words: int = WORDS, chars: int = CHARS) -> np.ndarray:
+    """Share of repeated letters and digits of each text; 0 for texts that are not ``among`` those asked for."""
+    hit = repeated(s, words, chars, among)
     got = np.bincount(s.doc[hit], weights=s.weight[hit], minlength=s.n_docs)
     return got / np.maximum(s.total, 1)
 
 
-def _length_bound(s: Stream) -> np.ndarray:
+def _length_bound(s: Stream, among: np.ndarray) -> np.ndarray:
     """Texts shorter than two of the shortest phrases repeat nothing."""
     signs = np.bincount(s.doc, minlength=s.n_docs)
     heads = np.ones(len(s.run), dtype=bool)
@@ -221,27 +241,77 @@ def _length_bound(s: Stream) -> np.ndarray:
     return np.where((signs <= CHARS) & (pieces <= WORDS), 0.0, 1.0)
 
 
+#: Bits of a hash that stay when the number of its document stands before them.
+HASH_BITS = 40
+
+
+def _count_bound(s: Stream, among: np.ndarray) -> np.ndarray:
+    """As many phrases as stood before cover no more than so many times the heaviest phrase of a text.
+
+    Hashes that agree by chance can only raise the bound.
+    """
+    most = np.zeros(s.n_docs)
+    heaviest = np.zeros(s.n_docs)
+    np.maximum.at(heaviest, s.doc[s.weight > 1], s.weight[s.weight > 1])
+    heaviest = np.maximum(heaviest, 1)
+    for p in phrases(s, WORDS, CHARS):
+        asked = among[p.doc]
+        keys = (p.doc[asked].astype(np.uint64) << np.uint64(HASH_BITS)) | (p.key[asked] >> np.uint64(64 - HASH_BITS))
+        keys.sort()
+        doc = (keys[1:][keys[1:] == keys[:-1]] >> np.uint64(HASH_BITS)).astype(np.int64)
+        if not len(doc):
+            continue
+        n = np.bincount(doc, minlength=s.n_docs)
+        unit = heaviest
+        if p.lengths is not None:
+            longest = np.zeros(s.n_docs)
+            some = n[s.doc[p.part]] > 0
+            np.maximum.at(longest, s.doc[p.part[some]], p.lengths[some])
+            unit = heaviest * longest
+        most += n * p.span * unit
+    return np.minimum(most / np.maximum(s.total, 1), 1)
+
+
 #: Rules by name: an upper bound of the share each.
 BOUNDS = {
     "length": _length_bound,
-    "parts of 2 words or 4 characters": lambda s: shares(s, 2, 4),
-    "parts of 3 words or 6 characters": lambda s: shares(s, 3, 6),
-    "parts of 4 words or 8 characters": lambda s: shares(s, 4, 8),
+    "number of repeated phrases": _count_bound,
+    "parts of 3 words or 6 characters": lambda s, among: shares(s, among, 3, 6),
+    "parts of 4 words or 8 characters": lambda s, among: shares(s, among, 4, 8),
 }
 
 
+def _fresh(s: Stream, order: list[str]) -> Stream:
+    """The stream as the rules of ``order`` leave it: phrases that one of them made are there, no others."""
+    out = copy(s)
+    out.known = {} if "number of repeated phrases" not in order else {(WORDS, CHARS): phrases(s, WORDS, CHARS)}
+    return out
+
+
 def measured_order(s: Stream, least: float) -> list[str]:
-    """Rules in order of rejections per second on a sample; rules that reject nothing are left out."""
-    worth = {}
-    for name, bound in BOUNDS.items():
+    """Rules in order of rejections per second on a sample, each measured on what those before it leave.
+
+    The order ends where no rule rejects faster than the exact measure decides.
+    """
+    left, order, rules = s.total > 0, [], dict(BOUNDS)
+    while rules and left.any():
+        worth, kept = {}, {}
+        for name, bound in rules.items():
+            fresh = _fresh(s, order)
+            began = time.perf_counter()
+            kept[name] = left & (bound(fresh, left) >= least)
+            worth[name] = int(left.sum() - kept[name].sum()) / (time.perf_counter() - began + 1e-6)
+        fresh = _fresh(s, order)
         began = time.perf_counter()
-        rejected = int((bound(s) < least).sum())
-        worth[name] = rejected / (time.perf_counter() - began + 1e-6)
-    began = time.perf_counter()
-    shares(s)
-    exact = s.n_docs / (time.perf_counter() - began + 1e-6)
-    # a rule pays only if it rejects faster than the exact measure decides
-    return [name for name in sorted(worth, key=worth.get, reverse=True) if worth[name] > exact]
+        shares(fresh, left)
+        exact = int(left.sum()) / (time.perf_counter() - began + 1e-6)
+        best = max(worth, key=worth.get)
+        if worth[best] <= exact:
+            break
+        order.append(best)
+        left = kept[best]
+        del rules[best]
+    return order
 
 
 def much_repeated(s: Stream, order: list[str], least: float) -> np.ndarray:
@@ -250,8 +320,8 @@ def much_repeated(s: Stream, order: list[str], least: float) -> np.ndarray:
     for name in order:
         if not left.any():
             return left
-        left &= BOUNDS[name](s.take(left)) >= least
-    return left & (shares(s.take(left)) >= least) if left.any() else left
+        left &= BOUNDS[name](s, left) >= least
+    return left & (shares(s, left) >= least) if left.any() else left
 
 
 def _batches(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
