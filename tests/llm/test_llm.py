@@ -61,6 +61,15 @@ def test_p1_blocks_of_several_lines(spark):
     assert {(1, 0), (1, 1), (2, 0)} <= got and all(n < 4 for n, _ in got)
 
 
+def test_p1_maximal_blocks(spark):
+    rows = [(i, f"https://s.example/{i}", "t", f"<p>own {'q' * i}</p>\n" + "\n".join(f"<p>{c}</p>" for c in "abcdefg") + f"\n<p>{'z' * i}</p>\n<p>c</p>\n<p>d</p>") for i in range(5)]
+    at = site_lines.symbols(frame(spark, rows + rows[:1] + [(9, None, None, "<p>a</p>"), (10, "https://s.example/0", None, None)], ARTICLE))
+    got = {(r["pos"], r["length"], r["pages"]) for r in site_lines.maximal_blocks(at, site_lines.block_rounds(at)).where("article_id = 3").collect()}
+    assert got == {(1, 7, 5), (9, 2, 5)}
+    assert {r["block_lines"] for r in site_lines.block_report(frame(spark, rows, ARTICLE)).collect()} == {2, 7}
+    assert site_lines.block_report(frame(spark, rows[:2], ARTICLE)).count() == 0
+
+
 def test_p2_restores(spark):
     good = [(i, s) for i, s in enumerate(SENTENCES * 4)] + [(1000 + i, f"Le café numéro {i} était déjà fermé à l’heure.") for i in range(60)]
     bad = [

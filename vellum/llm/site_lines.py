@@ -14,6 +14,8 @@ whole.  Empty tables give empty results; columns other than those named are igno
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,30 +36,32 @@ def _line_kernel():
         if site is None:
             return
         site_key, page_key = key(site), key(page)
+        yield article_id, None, -1, site_key, page_key, None
         for pos, line in enumerate(lines_of(content)):
             yield article_id, line.no, pos, site_key, page_key, key(site, same_text(line.text))
 
     return kernel
 
 
-def line_symbols(articles: DataFrame) -> DataFrame:
-    """One row per line with visible text: its place, site, page and symbol (equal texts, equal symbols)."""
-    return map_rows(articles.select("article_id", "url", "content_html"), _line_kernel, LINES)
+def symbols(articles: DataFrame) -> DataFrame:
+    """One row per line with visible text (its place, site, page and symbol: equal texts, equal symbols), and
+    one with ``pos`` -1 per article, so that pages without lines are counted.  Pages are parsed once: the
+    rows, keys and numbers only, are written and read by every later step."""
+    return cut_lineage(map_rows(articles.select("article_id", "url", "content_html"), _line_kernel, LINES))
 
 
-def site_pages(articles: DataFrame) -> DataFrame:
-    """``site_key``, ``site`` and number of different pages of each site, over all rows."""
+def site_pages(at: DataFrame) -> DataFrame:
+    """``site_key, n_pages``: number of different pages of each site, over all rows of symbols()."""
+    return at.where("pos = -1").select("site_key", "page_key").distinct().groupBy("site_key").agg(F.count(F.lit(1)).alias("n_pages"))
 
-    def make():
-        def kernel(url):
-            site, page = site_and_page(url)
-            if site is not None:
-                yield key(site), site, key(page)
 
-        return kernel
+def _site_kernel():
+    def kernel(url):
+        site, _ = site_and_page(url)
+        if site is not None:
+            yield key(site), site
 
-    pages = map_rows(articles.select("url"), make, "site_key long, site string, page_key long").distinct()
-    return pages.groupBy("site_key").agg(F.first("site").alias("site"), F.count(F.lit(1)).alias("n_pages"))
+    return kernel
 
 
 def wide_ranks(
@@ -71,66 +75,103 @@ def wide_ranks(
     spans = ranked.select("site_key", "rank", "page_key").distinct().groupBy("site_key", "rank")
     counts = spans.agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     return (
-        counts.join(pages.select("site_key", "n_pages"), "site_key")
+        counts.join(pages, "site_key")
         .where(F.col("pages") >= min_share * F.col("n_pages"))
         .select("site_key", "rank", "pages")
     )
 
 
-def repeated_blocks(
-    articles: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, rounds: int = 12
-) -> DataFrame:
-    """Suffix ranks of every round: ``article_id, pos, site_key, rank, length, pages`` of each block start.
+def block_rounds(at: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> list[DataFrame]:
+    """Suffix ranks by round, each ``article_id, line_no, pos, site_key, page_key, rank, pages``: the starts of
+    blocks of 1, 2, 4 ... lines that span enough pages.
 
-    A round doubles the length; the work ends when no block of that length is repeated widely enough.
-    ``rounds`` bounds the doubling at blocks of 2**rounds lines, more than any page holds.
+    ``at`` comes from symbols().  The rounds end when no block of that length is repeated widely enough,
+    whatever its length.
     """
-    pages = site_pages(articles)
-    at = line_symbols(articles).withColumnRenamed("line_key", "rank")
-    columns = ["article_id", "pos", "site_key", "page_key", "rank"]
-    wide = wide_ranks(at, pages, min_pages, min_share)
-    ranks = cut_lineage(at.select(*columns).join(wide, ["site_key", "rank"]))
+    pages = cut_lineage(site_pages(at))
+    columns = ["article_id", "line_no", "pos", "site_key", "page_key", "rank"]
+    lines = at.where("pos >= 0").withColumnRenamed("line_key", "rank")
+    ranks = cut_lineage(lines.select(*columns).join(wide_ranks(lines, pages, min_pages, min_share), ["site_key", "rank"]))
     out, length = [], 1
-    for _ in range(rounds):
-        out.append(ranks.select("article_id", "pos", "site_key", "rank", F.lit(length).alias("length"), "pages"))
+    while not ranks.isEmpty():
+        out.append(ranks)
         follow = W.partitionBy("article_id").orderBy("pos").rangeBetween(length, length)
         pairs = (
             ranks.withColumn("next", F.first("rank").over(follow))
             .where(F.col("next").isNotNull())
-            .select("article_id", "pos", "site_key", "page_key", F.xxhash64("rank", "next").alias("rank"))
+            .select("article_id", "line_no", "pos", "site_key", "page_key", F.xxhash64("rank", "next").alias("rank"))
         )
-        wide = wide_ranks(pairs, pages, min_pages, min_share)
-        ranks = cut_lineage(pairs.join(wide, ["site_key", "rank"]))
-        if ranks.isEmpty():
-            break
+        ranks = cut_lineage(pairs.join(wide_ranks(pairs, pages, min_pages, min_share), ["site_key", "rank"]))
         length *= 2
-    whole = out[0]
-    for part in out[1:]:
-        whole = whole.unionByName(part)
-    return whole
+    return out
+
+
+def repeated_blocks(articles: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``article_id, pos, line_no, length, pages``: where blocks of 1, 2, 4 ... lines begin that span enough pages."""
+    rounds = block_rounds(symbols(articles), min_pages, min_share)
+    columns = ["article_id", "pos", "line_no", "length", "pages"]
+    parts = [ranks.withColumn("length", F.lit(1 << k)).select(*columns) for k, ranks in enumerate(rounds)]
+    none = articles.select("article_id", *(F.lit(0).alias(c) for c in columns[1:])).limit(0)
+    return reduce(DataFrame.unionByName, parts) if parts else none
+
+
+def maximal_blocks(at: DataFrame, rounds: list[DataFrame], min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """``site_key, article_id, pos, length, pages``: the longest widely repeated block that begins at each place
+    and isn't the rest of one that begins a line earlier.
+
+    The length is found by binary lifting: a block of 2^k lines is extended by 2^j lines, for j from k - 1
+    down, wherever the interval of the longer prefix is still wide.
+    """
+    pages = cut_lineage(site_pages(at))
+    best = None
+    for k in range(len(rounds) - 1, -1, -1):
+        here = rounds[k].select("article_id", "pos", "site_key", "page_key", "rank", "pages")
+        fresh = here.withColumn("length", F.lit(1 << k))
+        if best is not None:
+            part = here.select("article_id", F.col("pos").alias("at"), F.col("rank").alias("more"))
+            longer = (
+                best.withColumn("at", F.col("pos") + F.col("length")).join(part, ["article_id", "at"])
+                .select("article_id", "pos", "site_key", "page_key", F.xxhash64("rank", "more").alias("rank"), (F.col("length") + (1 << k)).alias("length"))
+            )
+            wide = wide_ranks(longer, pages, min_pages, min_share)
+            grown = longer.join(wide, ["site_key", "rank"])
+            columns = ["article_id", "pos", "site_key", "page_key", "rank", "pages", "length"]
+            every = grown.select(*columns).unionByName(best.select(*columns)).unionByName(fresh.select(*columns))
+            last = W.partitionBy("article_id", "pos").orderBy(F.desc("length"))
+            best = cut_lineage(every.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n"))
+        else:
+            best = fresh
+    if best is None:
+        return at.select("site_key", "article_id", "pos", F.lit(1).alias("length"), F.lit(0).cast("long").alias("pages")).limit(0)
+    before = W.partitionBy("article_id").orderBy("pos").rangeBetween(-1, -1)
+    end = F.first(F.col("pos") + F.col("length")).over(before)
+    return (
+        best.withColumn("end", end).where(F.col("end").isNull() | (F.col("end") < F.col("pos") + F.col("length")))
+        .select("site_key", "article_id", "pos", "length", "pages")
+    )
 
 
 def found_lines(articles: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """``article_id, line_no`` of every line inside a widely repeated block.
+    """``article_id, line_no`` of every line inside a widely repeated block, of one line or several.
 
-    A block spans no more pages than any of its lines, so the lines of all blocks are those whose
-    suffix lies in a wide interval with a common prefix of one line: the first round decides.
+    Along an article each block reaches as many lines on as it is long; a line is inside a block if one that
+    begins at it or before it reaches beyond it.
     """
-    at = line_symbols(articles).withColumnRenamed("line_key", "rank")
-    wide = wide_ranks(at, site_pages(articles), min_pages, min_share)
-    return at.join(wide, ["site_key", "rank"], "left_semi").select("article_id", "line_no")
+    starts = repeated_blocks(articles, min_pages, min_share)
+    so_far = W.partitionBy("article_id").orderBy("pos").rangeBetween(W.unboundedPreceding, 0)
+    reach = F.max(F.col("pos") + F.col("length")).over(so_far)
+    return starts.withColumn("reach", reach).where("length = 1 and reach > pos").select("article_id", "line_no")
 
 
 def block_report(articles: DataFrame) -> DataFrame:
-    """Repeated blocks per site and length: how many there are and the widest one's pages."""
-    blocks = repeated_blocks(articles).select("site_key", "rank", "length", "pages").distinct()
-    names = site_pages(articles).select("site_key", "site")
+    """Maximal repeated blocks per site and length: how many places they have and the widest one's pages."""
+    at = symbols(articles)
+    blocks = maximal_blocks(at, block_rounds(at))
+    names = map_rows(articles.select("url"), _site_kernel, "site_key long, site string").distinct()
     return (
-        blocks.groupBy("site_key", "length")
-        .agg(F.count(F.lit(1)).alias("n_blocks"), F.max("pages").alias("max_pages"))
-        .join(names, "site_key")
-        .select("site", F.col("length").alias("block_lines"), "n_blocks", "max_pages")
-    )
+        blocks.groupBy("site_key", "length").agg(F.count(F.lit(1)).alias("n_places"), F.max("pages").alias("max_pages"))
+        .join(names, "site_key").select("site", F.col("length").alias("block_lines"), "n_places", "max_pages")
+    )
 
 
 def without_lines(articles: DataFrame, lines: DataFrame) -> DataFrame:
