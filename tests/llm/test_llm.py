@@ -174,6 +174,32 @@ def test_p5_pairs(spark):
     assert lookalike.look("x²") != lookalike.look("x2") and lookalike.look("ｶﾞ") == lookalike.look("ガ")
 
 
+def test_p5_automaton():
+    trie = lookalike.Trie(["paper", "caf\u00e9", "ﬁne", "第一", "pa\u200bper"])
+    for raw in ("paper", "ｐａｐｅｒ", "pа\u200bper", "рарer", "\u00adpaper"):
+        assert trie.walk(raw) == ("paper", 0) and trie.spell(raw) == "paper"
+    assert trie.walk("cafe\u0301") == ("caf\u00e9", 0) and trie.walk("fine") == ("ﬁne", 0) and trie.walk("第⼀") == ("第一", 0)
+    assert trie.walk("papers") is None and trie.walk("papers", 1) == ("paper", 1) and trie.walk("pper", 1) == ("paper", 1) and trie.walk("pyper", 1) == ("paper", 1)
+    assert trie.walk("") is None and trie.spell("\u200b") == "" and trie.canonical(" \u200b ｐaper\u3000x ") == "paper x"
+    marks = lookalike.Trie(["a\u0323\u0301"])
+    assert marks.walk("a\u0301\u034f\u0323") is None and marks.spell("a\u0301\u034f\u0323") == "a\u0323\u0301"
+
+
+def test_p5_forms_agree_where_looks_agree(spark):
+    rnd = random.Random(2)
+    alike = {"a": "aа\uff41ɑ", "e": "eе\uff45", "o": "oоο", "s": "sѕ", " ": " \u00a0\u3000"}
+    texts = ["".join(rnd.choice(alike.get(c, c)) + rnd.choice(("", "", "\u200b")) for c in rnd.choice(("some paper", "a rose", "one two", "ones"))) for _ in range(300)]
+    trie = lookalike.Trie(lookalike.vocabulary(frame(spark, [(t,) for t in texts], "text string")))
+    assert trie.by_look and len({(lookalike.look(t), trie.canonical(t)) for t in texts}) == len({lookalike.look(t) for t in texts}) == len({trie.canonical(t) for t in texts})
+    assert lookalike.vocabulary(frame(spark, [(t,) for t in texts], "text string"), size=0) == [] and lookalike.vocabulary(frame(spark, [], "text string")) == []
+
+
+def test_p5_a_spelling_of_many_rows(spark):
+    runs = [(i, "paper") for i in range(300)] + [(1000, "рaper"), (1001, "pap\u0435r"), (1, "paper")]
+    got = {tuple(r)[1:] for r in lookalike.equal_looking_pairs(frame(spark, runs, "run_id long, text string"), frame(spark, [], ARTICLE)).collect()}
+    assert got == {(i, k) for i in range(300) for k in (1000, 1001)} | {(1000, 1001)}
+
+
 @pytest.mark.parametrize(
     "text,kind",
     [("a<br/>b", "html"), ("&lt;b", "html"), ("</div>", "html"), ("<!-- x -->", "html"), ("**粗**", "markdown"), ("# 题", "markdown"), ("> 引", "markdown"), ("[a](/b)", "markdown"), ("`x`", "markdown"),
