@@ -17,14 +17,16 @@ run_id; texts are read whole; empty tables give empty results; other columns are
 
 from __future__ import annotations
 
+import codecs
 import re
-from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, ship_package, spread
 from .arrow import map_rows
 
 MODEL_BITS = 23
@@ -86,37 +88,48 @@ def _gb_user_defined(cp: int) -> bytes | None:
     return None
 
 
+def _replaced(error: UnicodeEncodeError) -> tuple[bytes, int]:
+    """A byte that no charset completes for a replacement character, a question mark for others that a charset lacks."""
+    lacking = error.object[error.start : error.end]
+    return b"".join(b"\xff" if c == "\ufffd" else b"?" for c in lacking), error.end
+
+
+codecs.register_error("vellum-lacking", _replaced)
+USER_DEFINED = re.compile("[\ue000-\ue765\ufffd]")
+
+
 def to_bytes(text: str, codec: str) -> tuple[bytes, int]:
     """Bytes that ``codec`` would have read as ``text``, and how many characters it can't have produced."""
     if codec in SINGLE:
-        text = text.replace("�", "?")
-        table = SINGLE[codec]
-        out = [table.get(ord(c)) for c in text]
-        return bytes(0x3F if b is None else b for b in out), sum(b is None for b in out)
+        text = text.replace("\ufffd", "?")
+        raw = codecs.charmap_encode(text, "replace", SINGLE[codec])[0]
+        return raw, 0 if SHOWN[codec].issuperset(text) else sum(c not in SHOWN[codec] for c in text)
+    if codec == "gb18030":
+        if not USER_DEFINED.search(text):
+            return text.encode(codec, "vellum-lacking"), 0
+        parts = []
+        for c in text:
+            if c == "\ufffd":
+                parts.append(b"\xff")
+            else:
+                parts.append((_gb_user_defined(ord(c)) if "\ue000" <= c < "\ue766" else None) or c.encode(codec, "vellum-lacking"))
+        return b"".join(parts), 0
     try:
-        if codec != "gb18030" or not ("\ue000" <= max(text) and any("\ue000" <= c < "\ue766" for c in text)):
-            return text.encode(codec), 0  # what follows gives the same, character by character
-    except (UnicodeEncodeError, ValueError):
-        pass
-    parts, bad = [], 0
-    for c in text:
-        if c == "�":
-            parts.append(b"\xff")  # a byte that no charset completes
-            continue
-        b = _gb_user_defined(ord(c)) if codec == "gb18030" and "" <= c < "" else None
-        if b is None:
-            try:
-                b = c.encode(codec)
-            except UnicodeEncodeError:
-                b, bad = b"?", bad + 1
-        parts.append(b)
-    return b"".join(parts), bad
+        return text.encode(codec), 0
+    except UnicodeEncodeError:
+        kept = len(text.encode(codec, "ignore").decode(codec, "replace"))
+        return text.encode(codec, "vellum-lacking"), max(0, len(text) - kept - text.count("\ufffd"))
+
+
+#: The class of the sign between two texts.
+NUL = 0x110000
 
 
 def _fold(codes: np.ndarray) -> np.ndarray:
-    """ASCII letters, digits and the rest of ASCII fall into classes; Han keeps its characters."""
+    """ASCII letters, digits and the rest of ASCII fall into classes; Han keeps its characters, NUL is apart."""
     out = codes.copy()
-    low = codes < 128
+    low = (codes < 128) & (codes > 0)
+    out[codes == 0] = NUL
     letters = low & (((codes | 32) >= 97) & ((codes | 32) <= 122))
     digits = low & (codes >= 48) & (codes <= 57)
     out[letters] = 97
@@ -129,7 +142,7 @@ def _folded(c: str) -> int:
     """The same for one character."""
     if c >= "\x80" or c == " ":
         return ord(c)
-    return 97 if c.isalpha() else 48 if c.isdigit() else 46
+    return 97 if c.isalpha() else 48 if c.isdigit() else 46 if c != "\0" else NUL
 
 
 def _codes(text: str) -> np.ndarray:
@@ -141,29 +154,47 @@ def bucket(x, y):
     return ((x * 0x9E3779B1) ^ (y * 0x85EBCA6B)) >> 7 & ((1 << MODEL_BITS) - 1)
 
 
-def _pair_kernel() -> Callable[..., Iterator[tuple]]:
-    def kernel(texts):
-        joined = np.concatenate([np.append(_fold(_codes(t)), 0) for t in texts]) if texts else np.zeros(0, np.int64)
-        x, y = joined[:-1], joined[1:]
-        keep = ((x >= 128) | (y >= 128)) & (x > 0) & (y > 0)
-        pairs, counts = np.unique((x[keep] << 21) | y[keep], return_counts=True)
-        for p, n in zip(pairs.tolist(), counts.tolist()):
-            yield p >> 21, p & 0x1FFFFF, n
+#: Pairs that a task adds up before it passes them on.
+PAIRS_HELD = 1 << 20
 
-    return kernel
+
+def _counted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``x, y, n``: pairs with one side outside ASCII, added up batch by batch within a task."""
+    held_pairs, held_counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        pairs, place = np.unique(np.concatenate(held_pairs), return_inverse=True)
+        return pairs, np.bincount(place, weights=np.concatenate(held_counts), minlength=len(pairs)).astype(np.int64)
+
+    def rows(pairs: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs >> 21), pa.array(pairs & 0x1FFFFF), pa.array(counts)], names=["x", "y", "n"])
+
+    for batch in batches:
+        codes = _fold(_codes("\x00".join(t for t in batch.column(0).to_pylist() if t)))
+        x, y = codes[:-1], codes[1:]
+        keep = ((x >= 128) | (y >= 128)) & (x != NUL) & (y != NUL)
+        pairs, counts = np.unique((x[keep] << 21) | y[keep], return_counts=True)
+        held_pairs.append(pairs)
+        held_counts.append(counts)
+        if sum(map(len, held_pairs)) >= PAIRS_HELD:
+            pairs, counts = added()
+            if len(pairs) * 2 > PAIRS_HELD:
+                yield rows(pairs, counts)
+                pairs, counts = pairs[:0], counts[:0]
+            held_pairs, held_counts = [pairs], [counts]
+    pairs, counts = added()
+    if len(pairs):
+        yield rows(pairs, counts)
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
     """``x, y, n``: adjacent characters with at least one outside ASCII, counted over all texts.
 
-    Texts are packed by the thousand before they are counted, so that most of the adding is done ahead
-    of the shuffle.
+    A task adds up its own pairs first, so no text is shuffled.
     """
-    packed = texts.where("text is not null").select("text").withColumn(
-        "pack", (F.monotonically_increasing_id() / 2000).cast("long")
-    )
-    grouped = packed.groupBy("pack").agg(F.collect_list("text").alias("texts")).select("texts")
-    return map_rows(grouped, _pair_kernel, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
+    ship_package(texts.sparkSession)
+    counted = spread(texts.where("text is not null").select("text")).mapInArrow(_counted_pairs, "x long, y long, n long")
+    return counted.groupBy("x", "y").agg(F.sum("n").alias("n"))
 
 
 def pair_model(texts: DataFrame) -> np.ndarray:
@@ -173,7 +204,7 @@ def pair_model(texts: DataFrame) -> np.ndarray:
     which the threshold is found has one row per tenth of a bit; the bit map arrives as at most
     2**(MODEL_BITS - 6) words.
     """
-    pairs = pair_counts(texts).cache()
+    pairs = cut_lineage(pair_counts(texts))
     total = F.sum("n")
     n_all = pairs.agg(total).first()[0] or 0
     words = np.zeros(1 << (MODEL_BITS - 6), dtype=np.uint64)
@@ -196,19 +227,28 @@ def pair_model(texts: DataFrame) -> np.ndarray:
         )
         for w, v in rows.collect():
             words[w] = np.uint64(v & 0xFFFFFFFFFFFFFFFF)
-    pairs.unpersist()
     return words
 
 
+#: A character of several bytes.
+UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+
+
+def _wide(text: str) -> int:
+    """Characters outside ASCII."""
+    return len(text) - len(text.encode("ascii", "ignore"))
+
+
 class Judge:
     """Reads texts by the pair model."""
 
-    #: Pairs remembered at most.
-    SEEN = 1 << 18
+    #: Pairs, and runs with their inverse mappings, remembered at most.
+    SEEN, TRIED = 1 << 18, 1 << 14
 
     def __init__(self, words: np.ndarray):
         self.words = words
         self.seen: dict[tuple[str, str], int] = {}
+        self.tried: dict[tuple[str, bool], tuple[str, float] | None] = {}
 
     def probable(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """For each adjacent pair: whether it counts (one side outside ASCII), and whether it is probable."""
@@ -218,9 +258,10 @@ class Judge:
         hit = (self.words[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1)
         return (x >= 128) | (y >= 128), hit.astype(bool)
 
-    def share(self, text: str) -> tuple[float, int]:
-        """Share of probable pairs among those that count, and their number."""
+    def share(self, text: str, least: float = 0.0) -> tuple[float, int]:
+        """Share of probable pairs among those that count, and their number; (0, 0) as soon as the share can't reach ``least``."""
         n = good = 0
+        bad = (1 - least) * (len(text) - 1) + 1e-9 if least else len(text)
         seen = self.seen
         for pair in zip(text, text[1:]):
             v = seen.get(pair)
@@ -228,7 +269,10 @@ class Judge:
                 v = self._look(*pair)
             if v:
                 n += 1
-                good += v - 1
+                if v == 2:
+                    good += 1
+                elif n - good > bad:
+                    return 0.0, 0
         return (good / n if n else 0.0), n
 
     def _look(self, x: str, y: str) -> int:
@@ -290,70 +334,137 @@ class Judge:
                 spans.append([*m.span()])
         return ((a, b) for a, b in spans if b - a > 2 or self._lone(text, a, b))
 
-    def inverse(self, run: str, lone: bool = True) -> tuple[str, float] | None:
+    def inverse(self, run: str, lone: bool = True, ways: frozenset[tuple[str, str]] | None = None) -> tuple[str, float] | None:
         """Best inverse mapping of a run: the text restored (with replacement characters where bytes are
         lost) and its share of probable pairs; None if none reads markedly better.  ``lone``: one letter
-        misread by cp1251 is evidence enough."""
-        now, n_now = self.share(run)
-        wide = sum(c >= "\x80" for c in run)
+        misread by cp1251 is evidence enough; ``ways``: what ways() gave for a run that begins with this one."""
+        if (run, lone) not in self.tried:
+            if len(self.tried) >= self.TRIED:
+                self.tried.clear()
+            self.tried[run, lone] = self._inverse(run, lone, ways)
+        return self.tried[run, lone]
+
+    def _good(self, text: str, need: int) -> bool:
+        """Whether a text has at least ``need`` probable pairs."""
+        seen = self.seen
+        for pair in zip(text, text[1:]):
+            v = seen.get(pair)
+            if v is None:
+                v = self._look(*pair)
+            if v == 2:
+                need -= 1
+                if not need:
+                    return True
+        return False
+
+    def ways(self, run: str, shortest: int) -> frozenset[tuple[str, str]]:
+        """Pairs of charsets by which any part of ``run`` that begins where it begins and has at least
+        ``shortest`` characters may read better.
+
+        What the bytes of such a part decode to is the beginning of what those of the whole run do, so a
+        pair of charsets that gives the whole run fewer probable pairs than a mapping needs is out for all
+        its parts, and they needn't be decoded one by one.
+        """
+        out = []
+        wide, head = _wide(run), run[:shortest]
+        for wrong in WRONG:
+            if wrong in SINGLE:
+                if SHOWN[wrong].issuperset(head):
+                    out += [(wrong, right) for right in RIGHT]
+                continue
+            if to_bytes(head, wrong)[1] * 5 > wide:
+                continue
+            raw, _ = to_bytes(run, wrong)
+            for right in RIGHT:
+                if wrong == right or right in SINGLE or FAMILY.get(wrong, 1) == FAMILY.get(right, 2) or (right == "utf-8" and not UTF8.search(raw)):
+                    continue
+                if self._good(raw.decode(right, "replace").replace("\ufffd", " "), 2 if right == "utf-8" else 3):
+                    out.append((wrong, right))
+        return frozenset(out)
+
+    def _inverse(self, run: str, lone: bool, ways: frozenset[tuple[str, str]] | None) -> tuple[str, float] | None:
+        now, _ = self.share(run)
+        wide = _wide(run)
         found = None
+        least = max(0.6, now + 0.2)  # what a mapping must reach that isn't sure by its form
+        single = [wrong for wrong in SINGLE if SHOWN[wrong].issuperset(run)]
+        long_latin = LONG_LATIN.search(run) is not None
         for wrong in WRONG:
-            if wrong in SINGLE and not SHOWN[wrong].issuperset(run):
+            narrow = wrong in SINGLE
+            if narrow and wrong not in single:
                 continue
+            if not narrow and (least > 1 or (ways is not None and not any(way[0] == wrong for way in ways))):
+                continue  # nothing reads better than the run itself
             raw, bad = to_bytes(run, wrong)
-            if bad * 5 > wide or (bad and wrong in SINGLE):
+            if bad * 5 > wide or (bad and narrow):
                 continue
+            utf8 = None if narrow else UTF8.search(raw)
             for right in RIGHT:
-                if wrong == right or FAMILY.get(wrong, 1) == FAMILY.get(right, 2) or (right in SINGLE and (wrong not in SINGLE or wide < 6)):
+                if wrong == right or FAMILY.get(wrong, 1) == FAMILY.get(right, 2) or (right in SINGLE and (not narrow or wide < 6)):
+                    continue
+                if ways is not None and (wrong, right) not in ways:
                     continue
+                if right == "utf-8" and not narrow and not utf8:
+                    continue  # no character would come of it
                 text = raw.decode(right, "replace")
                 if right != "utf-8" and len(text) < 3:
                     continue
-                lost = text.count("�")
+                lost = text.count("\ufffd")
                 if lost * 2 > len(text):
                     continue
-                gained = sum(c >= "\x80" for c in text) - lost
+                gained = _wide(text) - lost
                 if gained < 1 or lost > gained or (right != "utf-8" and (lost * 8 > gained or gained < 3)):
                     continue
                 strict = right == "utf-8" and not lost and not bad
-                if wrong not in SINGLE and right != "utf-8" and 2 * len(set(text) & set(run)) > len(set(text)):
+                if not narrow and right != "utf-8" and 2 * len(set(text) & set(run)) > len(set(text)):
                     continue  # charsets that agree on these characters tell nothing
-                share, n = self.share(text.replace("�", " "))
-                sure = strict and wrong in SINGLE and (gained > 1 or (wrong in COMMON and (lone or wrong != "cp1251")))  # random bytes are hardly ever UTF-8, but two-byte characters may be
+                sure = strict and narrow and (gained > 1 or (wrong in COMMON and (lone or wrong != "cp1251")))  # random bytes are hardly ever UTF-8, but two-byte characters may be
                 # nor does any language put so many accented letters in a row
-                sure = sure or (wrong in SINGLE and not lost and right not in SINGLE and share >= max(0.5, now - 0.2) and LONG_LATIN.search(run) is not None)
+                dense = narrow and not lost and right not in SINGLE and long_latin
+                if not (sure or dense) and least > 1:
+                    continue
+                share, n = self.share(text.replace("\ufffd", " ") if lost else text, 0.0 if sure else max(0.5, now - 0.2) if dense else least)
+                sure = sure or (dense and share >= max(0.5, now - 0.2))
                 if sure or (share >= 0.6 and share > now + 0.2 and n >= (2 if gained > 2 and right == "utf-8" else 4)):
                     rank = share + 0.3 * strict - 0.2 * lost / (gained + lost) - 0.05 * bad
                     if (n or sure) and (found is None or rank > found[2]):
                         found = (text, share, rank)
         return found and found[:2]
 
-    def windows(self, run: str) -> Iterator[tuple[int, int]]:
-        """A run and its inner windows, as garbling may begin or end inside a stretch of good text."""
+    def within(self, run: str, lone: bool) -> tuple[int, int, str] | None:
+        """First inverse mapping of a run or of its inner windows, as garbling may begin or end inside a stretch of good text."""
         n = len(run)
-        yield 0, n
+        if better := self.inverse(run, lone):
+            return 0, n, better[0]
         for m in NARROW.finditer(run):
-            if m.end() - m.start() < n:
-                yield m.span()
-                if m.end() - m.start() > 3:
-                    yield m.start(), m.end() - 1
-                    yield m.start() + 1, m.end()
+            a, b = m.span()
+            if b - a < n:
+                for i, k in ((a, b), (a, b - 1), (a + 1, b)) if b - a > 3 else ((a, b),):
+                    if better := self.inverse(run[i:k], lone):
+                        return i, k, better[0]
         counts, hit = self.probable(run)
         bad = np.flatnonzero(counts & ~hit)
         if not len(bad):
-            return
+            return None
         first, last = int(bad[0]), int(bad[-1]) + 2  # the garbled part begins and ends near an improbable pair
-        for a in {first, max(first - 1, 0), first + 1, min(first + 2, n)}:
-            for b in {last, min(last + 1, n), last - 1, last - 2}:
-                if (a or b < n) and b - a >= 3:
-                    yield a, b
+        ends = sorted({last, min(last + 1, n), last - 1, last - 2}, key=lambda b: abs(b - last))
+        for a in sorted({first, max(first - 1, 0), first + 1, min(first + 2, n)}, key=lambda a: abs(a - first)):
+            some = [b for b in ends if (a or b < n) and b - a >= 3]
+            if some and (ways := self.ways(run[a : max(some)], min(some) - a)):
+                for b in some:
+                    if better := self.inverse(run[a:b], lone, ways):
+                        return a, b, better[0]
+        return None
 
     def around(self, text: str, a: int, b: int, least: int, most: int) -> tuple[int, int, str] | None:
         """Best inverse mapping of a segment whose borders may be off by BORDER characters: (start, end, restored)."""
         best = None
         for i in range(max(least, a - BORDER), min(a + BORDER, b) + 1):
-            for k in range(max(i + 3, b - BORDER), min(most, b + BORDER) + 1):
-                if better := self.inverse(text[i:k], lone=False):
+            low, high = max(i + 3, b - BORDER), min(most, b + BORDER)
+            if high < low or not (ways := self.ways(text[i:high], low - i)):
+                continue
+            for k in range(low, high + 1):
+                if better := self.inverse(text[i:k], False, ways):
                     rank = ("\ufffd" not in better[0], better[1] + 0.02 * (k - i))
                     if best is None or rank > best[0]:
                         best = rank, i, k, better[0]
@@ -363,7 +474,8 @@ class Judge:
         """(garbled, best restored text)."""
         lost = bool(LOST.search(QUOTED.sub(" ", text)))
         garbled, out = lost, text
-        for _ in range(3):  # text can be wrongly decoded more than once
+        earlier = {text}
+        while True:  # text can be wrongly decoded more than once
             cores = self.segments(out) if not out.isascii() else []
             spans = [m.span() for pattern in (BYTES_1252, BYTES_437, BYTES_LATIN) for m in pattern.finditer(out)]
             spans += (misread := list(self._misread_1251(out)))
@@ -376,19 +488,18 @@ class Judge:
                 if quoted and b - a < 8:
                     continue
                 lone = any(a <= c < b for c, _ in misread)
-                for i, k in self.windows(out[a:b]):
-                    better = self.inverse(out[a + i : a + k], lone)
-                    if better:
-                        out, garbled, changed = out[: a + i] + better[0] + out[a + k :], True, True
-                        break
+                if found := self.within(out[a:b], lone):
+                    i, k, better = found
+                    out, garbled, changed = out[: a + i] + better + out[a + k :], True, True
                 else:
                     # a rare pair elsewhere in the run may have hidden the borders of the garbled part
                     for i, k in reversed([c for c in cores if a <= c[0] and c[1] <= b]):
                         if best := self.around(out, i, min(k, b), a, b):
                             i, k, better = best
                             out, b, garbled, changed = out[:i] + better + out[k:], i, True, True
-            if not changed:
+            if not changed or out in earlier or len(out) > len(text):
                 break
+            earlier.add(out)
         return garbled, out
 
 
