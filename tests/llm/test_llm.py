@@ -174,6 +174,14 @@ def test_p5_pairs(spark):
     assert lookalike.look("x²") != lookalike.look("x2") and lookalike.look("ｶﾞ") == lookalike.look("ガ")
 
 
+def test_p2_any_text_is_read():
+    judge = charset.Judge(np.zeros(1 << (charset.MODEL_BITS - 6), dtype=np.uint64))
+    signs = [chr(c) for c in (*range(0x80, 0x500), *range(0x2000, 0x2700, 3), 0xFFFD, 0xE000, 0xE765, 0x1F600, 0xD800)]
+    for a in signs[::5] + ["Р", "С", "В", "Г"]:
+        for b in "\xb8\xa0°ёЂ\x98�":
+            judge.repair(f"x{a}{b}y {b}{a}")
+
+
 def test_p5_automaton():
     trie = lookalike.Trie(["paper", "caf\u00e9", "ﬁne", "第一", "pa\u200bper"])
     for raw in ("paper", "ｐａｐｅｒ", "pа\u200bper", "рарer", "\u00adpaper"):

@@ -318,8 +318,9 @@ class Judge:
     @staticmethod
     def _lone(text: str, a: int, b: int) -> bool:
         """Whether what may be one letter misread by cp1251 is none of a text in Cyrillic letters."""
-        seen = text[a:b].encode("cp1251").decode("utf-8", "replace")
-        if not seen.isprintable() or seen.isspace() or "\ufffd" in seen or (a and text[a - 1] in OPEN_QUOTES):
+        raw, bad = to_bytes(text[a:b], "cp1251")
+        seen = raw.decode("utf-8", "replace")
+        if bad or not seen.isprintable() or seen.isspace() or "\ufffd" in seen or (a and text[a - 1] in OPEN_QUOTES):
             return False
         others = CYRILLIC.search(BYTES_1251.sub("", text))
         return not others or (seen.isalpha() and text[b - 1] != "\xa0" and "a" <= text[a - 1 : a].lower() <= "z")
