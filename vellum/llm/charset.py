@@ -88,14 +88,27 @@ def _gb_user_defined(cp: int) -> bytes | None:
     return None
 
 
-def _replaced(error: UnicodeEncodeError) -> tuple[bytes, int]:
-    """A byte that no charset completes for a replacement character, a question mark for others that a charset lacks."""
-    lacking = error.object[error.start : error.end]
-    return b"".join(b"\xff" if c == "\ufffd" else b"?" for c in lacking), error.end
+class Encoding(dict):
+    """Bytes of each character in a charset of several bytes, worked out once; ``lacking``: those it hasn't got."""
 
+    def __init__(self, codec: str):
+        super().__init__({"\ufffd": b"\xff"})  # a byte that no charset completes
+        self.codec = codec
+        self.lacking: set[str] = set()
 
-codecs.register_error("vellum-lacking", _replaced)
-USER_DEFINED = re.compile("[\ue000-\ue765\ufffd]")
+    def __missing__(self, c: str) -> bytes:
+        b = _gb_user_defined(ord(c)) if self.codec == "gb18030" and "\ue000" <= c < "\ue766" else None
+        if b is None:
+            try:
+                b = c.encode(self.codec)
+            except UnicodeEncodeError:
+                self.lacking.add(c)
+                b = b"?"
+        self[c] = b
+        return b
+
+
+ENCODINGS = {c: Encoding(c) for c in WRONG if c not in SINGLE}
 
 
 def to_bytes(text: str, codec: str) -> tuple[bytes, int]:
@@ -104,21 +117,9 @@ def to_bytes(text: str, codec: str) -> tuple[bytes, int]:
         text = text.replace("\ufffd", "?")
         raw = codecs.charmap_encode(text, "replace", SINGLE[codec])[0]
         return raw, 0 if SHOWN[codec].issuperset(text) else sum(c not in SHOWN[codec] for c in text)
-    if codec == "gb18030":
-        if not USER_DEFINED.search(text):
-            return text.encode(codec, "vellum-lacking"), 0
-        parts = []
-        for c in text:
-            if c == "\ufffd":
-                parts.append(b"\xff")
-            else:
-                parts.append((_gb_user_defined(ord(c)) if "\ue000" <= c < "\ue766" else None) or c.encode(codec, "vellum-lacking"))
-        return b"".join(parts), 0
-    try:
-        return text.encode(codec), 0
-    except UnicodeEncodeError:
-        kept = len(text.encode(codec, "ignore").decode(codec, "replace"))
-        return text.encode(codec, "vellum-lacking"), max(0, len(text) - kept - text.count("\ufffd"))
+    known = ENCODINGS[codec]
+    raw = b"".join(map(known.__getitem__, text))
+    return raw, sum(map(known.lacking.__contains__, text))
 
 
 #: The class of the sign between two texts.
@@ -197,13 +198,14 @@ def pair_counts(texts: DataFrame) -> DataFrame:
     return counted.groupBy("x", "y").agg(F.sum("n").alias("n"))
 
 
-def pair_model(texts: DataFrame) -> np.ndarray:
-    """Bit map of the probable pairs.
+def pair_model(texts: DataFrame) -> tuple[np.ndarray, frozenset[int]]:
+    """Bit map of the probable pairs, and the characters that stand in them.
 
     Code points are at most 1.1 million, so their marginal counts may be broadcast; the histogram by
     which the threshold is found has one row per tenth of a bit; the bit map arrives as at most
-    2**(MODEL_BITS - 6) words.
+    2**(MODEL_BITS - 6) words, the characters as at most 1.1 million code points.
     """
+    alive: frozenset[int] = frozenset()
     pairs = cut_lineage(pair_counts(texts))
     total = F.sum("n")
     n_all = pairs.agg(total).first()[0] or 0
@@ -221,13 +223,22 @@ def pair_model(texts: DataFrame) -> np.ndarray:
                 break
             mass, limit = mass + n, grade + 1
         b = F.shiftrightunsigned((F.col("x") * 0x9E3779B1).bitwiseXOR(F.col("y") * 0x85EBCA6B), 7).bitwiseAND((1 << MODEL_BITS) - 1)
-        bits = scored.where(F.col("grade") >= limit).select(b.alias("b"))
+        probable = scored.where(F.col("grade") >= limit)
+        sides = probable.select(F.explode(F.array("x", "y")).alias("c")).distinct()
+        alive = frozenset(r["c"] for r in sides.collect())
+        bits = probable.select(b.alias("b"))
         rows = bits.groupBy(F.shiftright("b", 6).alias("w")).agg(
             F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("v")
         )
         for w, v in rows.collect():
             words[w] = np.uint64(v & 0xFFFFFFFFFFFFFFFF)
-    return words
+    return words, alive
+
+
+def _stretches(alive: frozenset[int]) -> re.Pattern:
+    """Stretches of two and more characters each of which stands in some probable pair."""
+    signs = {97: "A-Za-z", 48: "0-9", 46: "\\x01-\\x1f!-/:-@\\[-`{-\\x7f"}
+    return re.compile("[" + "".join(signs[c] if c in signs else re.escape(chr(c)) for c in sorted(alive) if c < NUL) + "]{2,}") if alive else re.compile(r"(?!)")
 
 
 #: A character of several bytes.
@@ -245,8 +256,9 @@ class Judge:
     #: Pairs, and runs with their inverse mappings, remembered at most.
     SEEN, TRIED = 1 << 18, 1 << 14
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, alive: frozenset[int] | None = None):
         self.words = words
+        self.stretches = None if alive is None else _stretches(alive)
         self.seen: dict[tuple[str, str], int] = {}
         self.tried: dict[tuple[str, bool], tuple[str, float] | None] = {}
 
@@ -346,7 +358,13 @@ class Judge:
         return self.tried[run, lone]
 
     def _good(self, text: str, need: int) -> bool:
-        """Whether a text has at least ``need`` probable pairs."""
+        """Whether a text has at least ``need`` probable pairs.
+
+        Only characters that stand in some probable pair can make one, and text decoded at random holds
+        few of them side by side.
+        """
+        if self.stretches is not None and sum(map(len, found := self.stretches.findall(text))) - len(found) < need:
+            return False
         seen = self.seen
         for pair in zip(text, text[1:]):
             v = seen.get(pair)
@@ -373,12 +391,20 @@ class Judge:
                 if SHOWN[wrong].issuperset(head):
                     out += [(wrong, right) for right in RIGHT]
                 continue
-            if to_bytes(head, wrong)[1] * 5 > wide:
+            first, bad = to_bytes(head, wrong)
+            if bad * 5 > wide:
                 continue
-            raw, _ = to_bytes(run, wrong)
+            raw = first + to_bytes(run[shortest:], wrong)[0]
+            more = len(run) - shortest
             for right in RIGHT:
                 if wrong == right or right in SINGLE or FAMILY.get(wrong, 1) == FAMILY.get(right, 2) or (right == "utf-8" and not UTF8.search(raw)):
                     continue
+                begun = first.decode(right, "replace")
+                if lost := begun.count("\ufffd"):
+                    # too much is lost at the beginning, even if all that follows is gained
+                    gained = _wide(begun) - lost
+                    if lost - 1 > gained + more + 1 if right == "utf-8" else (lost - 1) * 8 > gained + 2 * more + 1:
+                        continue
                 if self._good(raw.decode(right, "replace").replace("\ufffd", " "), 2 if right == "utf-8" else 3):
                     out.append((wrong, right))
         return frozenset(out)
@@ -517,7 +543,7 @@ def _merged(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _repair_kernel(words):
     def make():
-        judge = Judge(words.value)
+        judge = Judge(*words.value)
 
         def kernel(run_id, text):
             garbled, restored = judge.repair(text)
