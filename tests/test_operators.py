@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.functions import urls as U
-from vellum.operators import html_blocks, lines, links, outline, runs, tables, txt, volumes
+from vellum.operators import articles, html_blocks, lines, links, outline, page_setting, runs, tables, txt, volumes
 from vellum.sources import decode, formats
 
 
@@ -151,3 +152,65 @@ def test_glyph_lines(spark):
     assert [r[4] for r in rows(lines.without_running_heads(found, 400.0), "line_no")] == []
     para = spark.createDataFrame([(1, 0, 0, "甲"), (1, 0, 1, "乙"), (1, 0, 2, " "), (1, 0, 3, "丙")], "doc_id long, page int, line_no int, text string")
     assert [r[3] for r in rows(lines.paragraphs(para), "par_no")] == ["甲乙", "丙"]
+
+
+def test_image_choice_skips_what_cannot_be_used(spark):
+    rows = [
+        (1, "http://x.y/a/b.html", '<img data-src="about:blank" src="https://x.y/1.png">'), (2, "http://x.y/a/b.html", '<img data-original="data:image/svg+xml,x" data-src="c.png">'),
+        (3, "http://x.y", '<img src="//cdn.x/1.png?a=1&amp;b=2"><img src="/r.png"><img src="r.png">'), (4, None, '<img src="r.png"><img src="//cdn.x/2.png">'), (5, "http://x.y/", None),
+        (6, "http://x.y/", '<img data-ks-lazyload="https://no/1.png">'),
+    ]
+    got = {(r[0], r[1]): r[2] for r in articles.image_urls(spark.createDataFrame(rows, "article_id long, url string, content_html string")).collect()}
+    assert got == {
+        (1, 0): "https://x.y/1.png", (2, 0): "http://x.y/a/c.png", (3, 0): "http://cdn.x/1.png?a=1&b=2", (3, 1): "http://x.y/r.png", (4, 0): "https://cdn.x/2.png",
+    }
+
+
+def test_outline_of_any_depth(spark):
+    rows = [(1, 0, "a", 2), (1, 1, "b", 9), (1, 2, "c", 10), (1, 3, "d", 10), (1, 4, "e", 3), (1, 5, "f", None), (1, 6, "g", 12), (1, 7, "h", 0), (2, 0, "x", 5)]
+    got = {(r["doc_id"], r["toc_ord"]): r["parent_ord"] for r in outline.parents(spark.createDataFrame(rows, "doc_id long, toc_ord int, title string, level int")).collect()}
+    assert got == {(1, 0): None, (1, 1): 0, (1, 2): 1, (1, 3): 1, (1, 4): 0, (1, 5): None, (1, 6): 4, (1, 7): None, (2, 0): None}
+
+
+def test_bookmarks_look_ahead(spark):
+    toc = [(1, 0, "One", 1, 0), (1, 1, "Two!", 1, None), (1, 2, "One", 2, None), (1, 3, "One", 1, 5), (1, 4, "…", 1, None), (1, 5, "Nowhere", 1, None)]
+    lines = [(1, 0, 0, "One"), (1, 2, 3, "T w o"), (1, 3, 5, "One"), (1, 4, 6, "Two")]
+    got = [(r["toc_ord"], r["page_index"]) for r in outline.bookmarks(
+        spark.createDataFrame(toc, "doc_id long, toc_ord int, title string, level int, block_index int"), None,
+        spark.createDataFrame(lines, "doc_id long, page_index int, block_index int, text string"),
+    ).orderBy("toc_ord").collect()]
+    assert got == [(0, 0), (1, 2), (2, 3)]
+
+
+def test_fallbacks_a_font_has(spark):
+    row = spark.createDataFrame([("╭✓ₓℝ○a",)], "t string")
+    assert row.select(page_setting.with_fallbacks(F.col("t"))).first()[0] == "+vxR·a"
+    assert row.select(page_setting.with_fallbacks(F.col("t"), "╭ℝ")).first()[0] == "┌✓ₓR○a"
+    assert row.select(page_setting.with_fallbacks(F.col("t"), "")).first()[0] == "╭✓ₓℝ○a"
+
+
+def test_image_headers(spark):
+    import base64 as b64
+    import struct
+
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sIIBBBBB", 13, b"IHDR", 640, 480, 8, 2, 0, 0, 0)
+    gif, bmp = b"GIF89a" + struct.pack("<HH", 3, 4) + b"\0" * 6, b"BM" + b"\0" * 16 + struct.pack("<II", 10, 20) + b"\0" * 4
+    jpg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"JFIF\0" + b"\0" * 9 + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 200, 300) + b"\3"
+    rows = [(1, png), (2, gif), (3, bmp), (4, jpg), (5, b"nothing"), (6, None), (7, b"")]
+    df = spark.createDataFrame(rows, "id long, content binary")
+    got = {r["id"]: tuple(r["s"]) if r["s"] else None for r in df.select("id", formats.image_size(F.col("content")).alias("s")).collect()}
+    assert got == {1: (640, 480), 2: (3, 4), 3: (10, 20), 4: (300, 200), 5: None, 6: None, 7: None}
+    assert {r["id"] for r in formats.shown_images(df).collect()} == {1, 3, 4}
+    url = "data:image/png;base64," + b64.b64encode(png).decode()
+    urls = spark.createDataFrame([(url,), ("data:image/png;base64,@@",), ("https://x",), (None,)], "u string")
+    assert [r[0] and bytes(r[0]) for r in urls.select(formats.inline_image(F.col("u"))).collect()] == [png, None, None, None]
+
+
+def test_page_setting_by_brute_force(spark):
+    rows = [(1, 0, 0, 0, 0.0, 12.0, 200.0, 0.0, "x" * 21), (1, 0, 1, 0, 18.0, 12.0, 250.0, 0.0, "y" * 11), (1, 0, 2, 0, 36.0, 12.0, 262.0, 9.0, "z" * 5), (1, 0, 3, 0, 54.0, 12.0, 100.0, 0.0, "w")]
+    df = spark.createDataFrame(rows, "doc_id long, page_index int, elem_ord int, block_index int, y double, font_size double, width double, hang double, text string")
+    got = {r["elem_ord"]: (round(r["spacing"], 4), round(r["shift"], 4)) for r in page_setting.justified(df, 255.0).collect()}
+    assert got == {0: (0.0, 0.0), 1: (0.5, 0.0), 2: (0.5, 0.0), 3: (0.0, 0.0)}
+    ys = [r["new_y"] for r in page_setting.aligned_vertically(df, 340.0).orderBy("elem_ord").collect()]
+    free = 340.0 - 72.0
+    assert ys == pytest.approx([0.0, 18.0 + free / 3, 36.0 + 2 * free / 3, 54.0 + free])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,11 +71,49 @@ def glob_regex(glob: Column) -> Column:
     return F.concat(F.lit("^"), F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("$"))
 
 
-def referer(url: Column) -> Column:
-    """Referer that an image host expects, null for the others."""
+def referer(url: Column, hint: Column | None = None) -> Column:
+    """Referer with which an image is asked for: the site of its image host, else ``hint``, else its own host."""
     h = F.coalesce(host(url), F.lit(""))
+
+    def has(*names: str) -> Column:
+        return reduce(Column.__or__, [F.contains(h, F.lit(n)) for n in names])
+
+    own = F.concat(F.lit("https://"), h, F.lit("/"))
+    return (
+        F.when(has("zhimg.com"), F.lit("https://www.zhihu.com/"))
+        .when(has("qpic.cn", "weixin.qq.com"), F.lit("https://mp.weixin.qq.com/"))
+        .when(has("csdnimg.cn", "csdn.net"), F.lit("https://blog.csdn.net/"))
+        .when(has("sinaimg.cn", "weibo.com"), F.lit("https://weibo.com/"))
+        .otherwise(own if hint is None else F.coalesce(F.nullif(F.trim(hint), F.lit("")), own))
+    )
+
+
+#: Parts of addresses of pages that are no articles, and schemes that are no pages.
+NOT_CLIPPED = ("login", "signin", "passport", "account", "unhuman", "captcha", "verify", "security", "search?", "/search")
+NO_PAGES = ("about:", "chrome://", "javascript:")
+#: Least characters of a page that is clipped by itself; most bytes of a page that is fetched.
+CLIP_LENGTH, MOST_BYTES = 80, 8 * 1024 * 1024
+
+
+def clip_candidate(url: Column) -> Column:
+    """Whether an address may be that of an article."""
+    low = F.lower(url)
+    barred = [F.startswith(low, F.lit(s)) for s in NO_PAGES] + [F.contains(low, F.lit(k)) for k in NOT_CLIPPED]
+    return F.coalesce(~reduce(Column.__or__, barred), F.lit(False))
+
+
+def clipped_by_itself(url: Column, text: Column) -> Column:
+    """Whether a page is clipped without being asked for: an article by its address, with text enough."""
+    long = F.octet_length(F.encode(F.trim(F.coalesce(text, F.lit(""))), "UTF-16BE")) / 2 >= CLIP_LENGTH
+    return clip_candidate(url) & long
+
+
+def fetch_error(status: Column, content_type: Column, size: Column) -> Column:
+    """Why a response is no page: its status, its type or its size; null for a page."""
+    kind = F.coalesce(content_type, F.lit(""))
+    page = F.contains(F.lower(kind), F.lit("html")) | F.contains(F.lower(kind), F.lit("xml")) | (F.trim(kind) == "")
     return (
-        F.when(F.contains(h, F.lit("zhimg.com")), F.lit("https://www.zhihu.com/"))
-        .when(F.contains(h, F.lit("qpic.cn")), F.lit("https://mp.weixin.qq.com/"))
-        .when(F.contains(h, F.lit("sinaimg.cn")), F.lit("https://weibo.com/"))
+        F.when(~status.between(200, 299), F.concat(F.lit("HTTP "), status.cast("string")))
+        .when(~page, F.concat(F.lit("非网页内容（"), kind, F.lit("）")))
+        .when(size > MOST_BYTES, F.lit("页面过大（超过 8MB）"))
     )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from urllib.parse import urljoin
 
-from ..operators.articles import FOLD_MARKERS, FOLDED_LENGTH, LAZY, OVERLAY_KEYWORDS
+from ..operators.articles import FOLD_MARKERS, FOLDED_LENGTH, LAZY, OVERLAY_KEYWORDS, RESTORED
 from ..schemas import block, merged, numbered, run
 from .tree import Element, parse
 
@@ -18,15 +19,22 @@ ITALIC = frozenset({"i", "em", "cite", "var"})
 STRUCK = frozenset({"s", "del", "strike"})
 
 
-def image_address(node: Element) -> str | None:
+def image_address(node: Element, page: str | None = None) -> str | None:
     """Address of an image: the first usable of the attributes in which pages keep it."""
-    for name in LAZY:
-        url = node.attrs.get(name, "").strip()
-        if url.startswith("//"):
-            url = "https:" + url
-        if url.startswith(("http://", "https://", "data:")):
-            return url
-    return None
+    return next((url for name in LAZY if (url := usable_address(node.attrs.get(name, ""), page))), None)
+
+
+def usable_address(raw: str, page: str | None = None) -> str | None:
+    """An image address made absolute; None for drawings, blank pages and whatever is neither of the web nor inline."""
+    raw = raw.strip()
+    if not raw or raw.lower().startswith("data:image/svg") or raw == "about:blank":
+        return None
+    try:
+        url = urljoin(page, raw) if page else raw
+    except ValueError:
+        url = raw
+    url = "https:" + url if url.startswith("//") else url
+    return url if url.lower().startswith(("http://", "https://", "data:image/")) else None
 
 
 def inline_runs(node: Element, bold=False, italic=False, strike=False) -> list[dict]:
@@ -150,23 +158,34 @@ def article_blocks(article_id, title, content) -> Iterator[dict]:
         yield {"doc_id": article_id, **b}
 
 
-#: Elements of the page's frame, and parts of names of advertisements.
-STRUCTURE = frozenset("script style noscript iframe svg canvas form nav header footer aside".split())
-NOISE = re.compile(r"advert|recommend|related|share-bar|social-share", re.I)
+#: Elements of the page's frame; parts of class names and of ids of advertisements; names of the main text.
+STRUCTURE = ("script", "style", "noscript", "iframe", "svg", "canvas", "form", "nav", "header", "footer", "aside")
+NOISE_CLASSES = ("advert", "recommend", "related", "share-bar", "social-share")
+NOISE_IDS = ("advert",)
 FALLBACKS = ("RichContent-inner", "Post-RichText", "RichText", "js_content", "article-content")
 LEAST_TEXT = 50
+#: Hidden elements with more text than this hold folded text and are shown.
+FOLDED_TEXT = 200
 
 
-def cleaned_page(root: Element) -> Element:
-    """Without frame, advertisements and overlays; long hidden parts stay, they hold folded text."""
+def cleaned_page(root: Element, page: str | None = None) -> Element:
+    """Without frame, advertisements and overlays; hidden parts with much text are shown, they hold folded text."""
 
     def keep(node: Element) -> bool:
-        names = (node.attrs.get("class", "") + " " + node.attrs.get("id", "")).lower()
-        return node.tag not in STRUCTURE and not NOISE.search(names) and not any(k in names for k in OVERLAY_KEYWORDS)
+        classes, name = node.attrs.get("class", ""), node.attrs.get("id", "")
+        if node.tag in STRUCTURE or any(k in classes for k in NOISE_CLASSES) or any(k in name for k in NOISE_IDS):
+            return False
+        return not any(k in classes.lower() or k in name.lower() for k in OVERLAY_KEYWORDS)
+
+    def show(node: Element) -> None:
+        if is_hidden(node) and len(" ".join(node.text().split())) > FOLDED_TEXT:
+            node.attrs.pop("hidden", None)
+            node.attrs["style"] = re.sub(r"(?i)display\s*:\s*none", "display:block", node.attrs.get("style", ""))
 
     def prune(node: Element) -> None:
         node.children = [c for c in node.children if isinstance(c, str) or keep(c)]
         for c in node.elements():
+            show(c)
             prune(c)
 
     for image in [e for n in root.walk() if n.tag == "noscript" for e in n.elements() if e.tag == "img"]:
@@ -175,10 +194,27 @@ def cleaned_page(root: Element) -> Element:
         holder.parent.children.insert(at, image)
         holder.children.remove(image)
         image.parent = holder.parent
+    for image in [e for e in root.walk() if e.tag == "img"]:
+        if url := next((u for name in RESTORED if (u := usable_address(image.attrs.get(name, ""), page))), None):
+            image.attrs["src"] = url
+        elif image.attrs.get("src", "").strip().startswith("//"):
+            image.attrs["src"] = "https:" + image.attrs["src"].strip()
     prune(root)
     return root
 
 
+def is_hidden(node: Element) -> bool:
+    style = node.attrs.get("style", "").lower()
+    return "hidden" in node.attrs or "display:none" in style or "display: none" in style
+
+
+def without_hidden(root: Element) -> Element:
+    """Without what a page still hides once folded text is shown."""
+    for node in root.walk():
+        node.children = [c for c in node.children if isinstance(c, str) or not is_hidden(c)]
+    return root
+
+
 def _score(node: Element) -> float:
     """Text of the node's own paragraphs, weighed by commas and against links."""
     own = [c for c in node.elements() if c.tag in ("p", "pre", "blockquote", "ul", "ol", "table", "h2", "h3")]
@@ -194,7 +230,7 @@ def main_content(html: str) -> tuple[str | None, list[dict], bool, str | None]:
     page_text = " ".join(root.text().split())
     head = root.find("title")
     title_of_head = " ".join(head.text().split()) if head is not None else None
-    cleaned_page(root)
+    without_hidden(cleaned_page(root))
     candidates = [e for e in root.walk() if e.tag in ("article", "main", "section", "div", "body", "td")] or [root]
     best = max(candidates, key=_score)
     if len("".join(best.text().split())) < LEAST_TEXT:

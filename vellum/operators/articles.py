@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.text import decode_entities, trim_unicode, utf16_length
+from ..session import cut_lineage
 
 #: Attributes in which pages keep the address of an image that is loaded late, in order of trust.
-LAZY = ("data-actualsrc", "data-original", "data-src", "data-origin-src", "data-lazy-src", "data-echo", "data-url", "data-original-src", "data-ks-lazyload", "src")
+LAZY = ("data-actualsrc", "data-original", "data-src", "data-origin-src", "data-lazy-src", "data-echo", "data-url", "data-original-src", "src")
+#: The same where a page's own source is restored.
+RESTORED = (*LAZY[:-1], "data-ks-lazyload")
 #: Prompts that show that a page is folded.
 FOLD_MARKERS = ("展开全文", "显示全部", "查看更多", "加载全文", "继续阅读", "打开App阅读", "打开APP阅读", "App内查看", "APP内查看", "打开百度APP", "下载APP", "下载客户端阅读")
 #: Parts of class and id names of overlays.
@@ -43,16 +46,35 @@ def titles(articles: DataFrame) -> DataFrame:
     return articles.select("article_id", F.coalesce(own, F.nullif(h1, F.lit("")), urls.domain(F.col("url"))).alias("title"))
 
 
+def usable_image(raw: Column, page: Column) -> Column:
+    """An image address as it stands in an attribute, made absolute; null where it can't be used."""
+    url = F.replace(F.trim(raw), F.lit("&amp;"), F.lit("&"))
+    scheme = F.regexp_extract(page, r"^(https?:)//", 1)
+    origin = F.regexp_extract(page, r"^(https?://[^/?#]+)", 1)
+    folder = F.regexp_extract(page, r"^(https?://[^/?#]+/(?:[^?#]*/)?)", 1)
+    known = F.coalesce(page, F.lit("")).rlike(r"^https?://[^/?#]+")
+    whole = (
+        F.when(F.startswith(url, F.lit("//")), F.concat(F.when(known, scheme).otherwise(F.lit("https:")), url))
+        .when(url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | ~known | (url == ""), url)
+        .when(F.startswith(url, F.lit("/")), F.concat(origin, url))
+        .otherwise(F.concat(F.when(folder != "", folder).otherwise(F.concat(origin, F.lit("/"))), url))
+    )
+    barred = url.rlike(r"(?i)^data:image/svg") | (url == "about:blank")
+    return F.when(~barred & whole.rlike(r"(?i)^(https?://|data:image/)"), whole)
+
+
 def image_urls(articles: DataFrame) -> DataFrame:
-    """``article_id, img_ord, url``: addresses of the images of each page, distinct, in order of appearance."""
+    """``article_id, img_ord, url``: addresses of the images of each page, distinct, in order of appearance.
+
+    An image has the first usable address of its attributes: resolved against the page, of the web or
+    inline, no drawing and no blank page.  Images without one, and null pages, give no row.
+    """
     tags = F.regexp_extract_all("content_html", F.lit(r"(?i)<img\b[^>]*>"), F.lit(0))
 
     def address(tag: Column) -> Column:
-        found = [F.nullif(F.regexp_extract(tag, rf"(?i)\s{a}\s*=\s*[\"']([^\"']+)[\"']", 1), F.lit("")) for a in LAZY]
-        url = F.coalesce(*found)
-        return F.when(F.startswith(url, F.lit("//")), F.concat(F.lit("https:"), url)).otherwise(url)
+        return F.coalesce(*[usable_image(F.regexp_extract(tag, rf"(?i)\s{a}\s*=\s*[\"']([^\"']+)[\"']", 1), F.col("url")) for a in LAZY])
 
-    good = F.filter(F.transform(tags, address), lambda u: u.rlike(r"^(https?://|data:)"))
+    good = F.filter(F.transform(tags, address), lambda u: u.isNotNull())
     return articles.select("article_id", F.posexplode(F.array_distinct(good)).alias("img_ord", "url"))
 
 
@@ -61,9 +83,10 @@ def image_files(images: DataFrame) -> DataFrame:
 
     Numbers run over the whole book, so they need a total order; it is taken over the distinct addresses
     only, by range-partitioned sort and a running count per partition rather than one unpartitioned window.
+    The sorted addresses are written with the numbers of their partitions, so that both uses see the same.
     """
     first = images.groupBy("url").agg(F.min(F.struct("article_id", "img_ord")).alias("at"))
-    spread = first.repartitionByRange("at").sortWithinPartitions("at").withColumn("part", F.spark_partition_id())
+    spread = cut_lineage(first.repartitionByRange("at").sortWithinPartitions("at").withColumn("part", F.spark_partition_id()))
     sizes = spread.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     offsets = sizes.select("part", (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))).alias("offset"))  # one row per partition
     number = F.row_number().over(W.partitionBy("part").orderBy("at")) + F.coalesce("offset", F.lit(0))

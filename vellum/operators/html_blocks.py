@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_entities, trim_unicode
@@ -12,51 +11,44 @@ from ..session import spread
 SKIPPED = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<head[^>]*>.*?</head>"
 TOKEN = r"(<[^>]*>?|[^<]+)"
 BOUNDARY = r"(?i)^(<img|</h\d|<h\d|</(p|div|li|blockquote|section|article|ul|ol)\s*>$|<br(>|/| )|<hr(>|/| ))"
+#: Text and the boundary that closes it, once all other tags are gone.
+SEGMENT = r"[^<]*<[^>]*>?|[^<]+"
+
+
+def _parts(segment: Column) -> Column:
+    """Block of a segment's text, and mark of the boundary that closes it."""
+    closing = F.regexp_extract(segment, r"<[^>]*>?$", 0)
+    text = trim_unicode(decode_entities(F.substring_index(segment, "<", 1)))
+    level = F.regexp_extract(closing, r"(?i)^</h(\d)", 1)
+    return F.struct(text.alias("text"), F.when(level != "", level.cast("int")).otherwise(0).alias("level"), closing.alias("closing"))
+
+
+def _block(kind: Column, level: Column, text: Column) -> Column:
+    return F.struct(kind.alias("kind"), level.alias("level"), text.alias("text"))
+
+
+def _blocks_of(part: Column) -> Column:
+    """The blocks that a part gives, with nulls for those it doesn't."""
+    none = F.lit(None).cast("int")
+    head = part["level"] > 0
+    mark = F.when(part["closing"].rlike(r"(?i)^<hr(>|/| )"), "hr").when(part["closing"].rlike(r"(?i)^<img"), "image")
+    source = F.regexp_extract(part["closing"], r"(?i)src\s*=\s*[\"']([^\"']+)[\"']", 1)
+    return F.array(
+        F.when(part["text"] != "", _block(F.when(head, "heading").otherwise("paragraph"), F.when(head, part["level"]), part["text"])),
+        F.when((mark == "hr") | ((mark == "image") & (F.trim(source) != "")), _block(mark, none, source)),
+    )
 
 
 def blocks(pages: DataFrame, key: str = "article_id", html: str = "content_html") -> DataFrame:
     """``key, block_index, kind, level, text``: headings, paragraphs, rules and images of each page.
 
-    Tokens of a page are numbered by ``posexplode``; a running count of boundaries gives every token its
-    segment.  The windows and the ordered gathering share one partitioning by the page.  Null and empty
-    pages give no blocks.
+    A page is one row from beginning to end, so nothing is shuffled: its tokens are an array, tags that
+    bound no block are dropped from it, and what is left is cut behind every boundary.  Null and empty
+    pages give no blocks; a repeated row gives its blocks again.
     """
-    clean = F.regexp_replace(html, SKIPPED, "")
-    tokens = spread(pages.select(key, html)).select(
-        key, F.posexplode(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(1))).alias("pos", "tok")
-    )
-    boundary = F.col("tok").rlike(BOUNDARY).cast("int")
-    before = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    segments = tokens.withColumn("seg", F.coalesce(F.sum(boundary).over(before), F.lit(0)))
-    text = F.when(~F.startswith("tok", F.lit("<")), F.col("tok"))
-    gathered = segments.groupBy(key, "seg").agg(
-        F.sort_array(F.collect_list(F.when(text.isNotNull(), F.struct("pos", F.col("tok").alias("t"))))).alias("parts"),
-        F.max_by("tok", "pos").alias("closing"),
-    )
-    joined = F.array_join(F.transform("parts", lambda p: p["t"]), "")
-    level = F.when(F.col("closing").rlike(r"(?i)^</h\d"), F.substring("closing", 4, 1).cast("int")).otherwise(0)
-    body = gathered.select(key, "seg", trim_unicode(decode_entities(joined)).alias("text"), level.alias("level"), "closing")
-    mark = (
-        F.when(F.col("closing").rlike(r"(?i)^<hr(>|/| )"), "hr")
-        .when(F.col("closing").rlike(r"(?i)^<img"), "image")
-    )
-    source = F.regexp_extract("closing", r"(?i)src\s*=\s*[\"']([^\"']+)[\"']", 1)
-    rows = body.select(
-        key, "seg",
-        F.filter(
-            F.array(
-                F.when(
-                    F.col("text") != "",
-                    F.struct(F.when(F.col("level") > 0, "heading").otherwise("paragraph").alias("kind"),
-                             F.when(F.col("level") > 0, F.col("level")).alias("level"), F.col("text").alias("text")),
-                ),
-                F.when(
-                    (mark == "hr") | ((mark == "image") & (F.trim(source) != "")),
-                    F.struct(mark.alias("kind"), F.lit(None).cast("int").alias("level"), source.alias("text")),
-                ),
-            ),
-            lambda x: x.isNotNull(),
-        ).alias("xs"),
-    ).select(key, "seg", F.posexplode("xs").alias("k", "x"))
-    index = F.row_number().over(W.partitionBy(key).orderBy("seg", "k")) - 1
-    return rows.select(key, index.alias("block_index"), "x.kind", "x.level", "x.text")
+    tokens = F.regexp_extract_all(F.regexp_replace(html, SKIPPED, ""), F.lit(TOKEN), F.lit(1))
+    kept = F.filter(tokens, lambda t: ~F.startswith(t, F.lit("<")) | t.rlike(BOUNDARY))
+    segments = F.regexp_extract_all(F.array_join(kept, ""), F.lit(SEGMENT), F.lit(0))
+    parts = F.transform(segments, _parts)
+    found = F.filter(F.flatten(F.transform(parts, _blocks_of)), lambda b: b.isNotNull())
+    return spread(pages.select(key, html)).select(key, F.posexplode(found).alias("block_index", "b")).select(key, "block_index", "b.kind", "b.level", "b.text")

@@ -61,4 +61,4 @@ def paragraphs(lines: DataFrame) -> DataFrame:
 def page_outline(outline: DataFrame, blocks: DataFrame) -> DataFrame:
     """Outline of pages as outline of blocks: each entry points at the first block of its page."""
     first = blocks.groupBy("doc_id", "page").agg(F.min("block_index").alias("block_index"))
-    return outline.join(first, ["doc_id", "page"]).select("doc_id", "toc_ord", "title", "level", "block_index")
+    return outline.select("doc_id", "page", "toc_ord", "title", "level").join(first, ["doc_id", "page"]).select("doc_id", "toc_ord", "title", "level", "block_index")

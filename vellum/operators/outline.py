@@ -20,14 +20,23 @@ SEARCHED_BLOCKS = 50
 def parents(toc: DataFrame) -> DataFrame:
     """``doc_id, toc_ord, title, level, parent_ord``: the parent is the nearest earlier entry of a lower level.
 
-    For every level the last place is carried along the outline (levels are at most nine), and the
-    latest of those below an entry's level is its parent: one window, no self join.
+    The outline of a document is folded over a stack that holds an entry for each open level, whatever the
+    levels are; entries of equal level replace each other.  An entry without a level has no parent and is none.
     """
-    w = W.partitionBy("doc_id").orderBy("toc_ord").rowsBetween(W.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("level") == k, F.col("toc_ord")), ignorenulls=True).over(w) for k in range(0, 9)]
-    staged = toc.select("doc_id", "toc_ord", "title", "level", F.array(*last).alias("seen"))
-    lower = F.filter("seen", lambda x, i: (i < F.col("level")) & x.isNotNull())
-    return staged.select("doc_id", "toc_ord", "title", "level", F.array_max(lower).alias("parent_ord"))
+    entry = F.struct("toc_ord", "title", "level")
+    docs = toc.groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("xs"))
+    pair = "array<struct<level:int,ord:int>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        above = F.filter(acc["open"], lambda o: o["level"] < x["level"])
+        parent = F.try_element_at(F.transform(above, lambda o: o["ord"]), F.lit(-1))
+        grown = F.concat(above, F.array(F.struct(x["level"].cast("int").alias("level"), x["toc_ord"].cast("int").alias("ord"))))
+        known = x["level"].isNotNull()
+        return F.struct(F.when(known, grown).otherwise(acc["open"]).alias("open"), F.array_append(acc["parents"], F.when(known, parent)).alias("parents"))
+
+    start = F.struct(F.array().cast(pair).alias("open"), F.array().cast("array<int>").alias("parents"))
+    each = docs.select("doc_id", F.arrays_zip("xs", F.aggregate("xs", start, step)["parents"].alias("parent")).alias("zs"))
+    return each.select("doc_id", F.explode("zs").alias("z")).select("doc_id", "z.xs.toc_ord", "z.xs.title", "z.xs.level", F.col("z.parent").alias("parent_ord"))
 
 
 def located(toc: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -47,6 +56,44 @@ def first_pages(placed: DataFrame) -> DataFrame:
     return placed.groupBy("doc_id", "block_index").agg(F.min("page_index").alias("page_index"))
 
 
+def bookmarks(toc: DataFrame, blocks: DataFrame, lines: DataFrame) -> DataFrame:
+    """``doc_id, toc_ord, title, level, page_index``: outline entries with the pages they open.
+
+    An entry stands on the page of its block.  One without a block is looked for by the first twelve letters
+    and digits of its title, on the pages from the furthest one found so far on, then on those before; one
+    that is nowhere found is left out, as are repeated titles of one level.  What an entry looks for depends
+    on those before it, so the entries of a document are folded, over the pages on which each title stands.
+    """
+    letters = r"[^\p{L}\p{N}]"
+    places = first_pages(lines)
+    wanted = toc.join(places, ["doc_id", "block_index"], "left").select("doc_id", "toc_ord", "title", "level", "page_index")
+    wanted = wanted.withColumn("sought", F.substring(F.regexp_replace(F.coalesce("title", F.lit("")), letters, ""), 1, 12))
+    open_ones = wanted.where("page_index is null and sought <> ''").select("doc_id", "toc_ord", "sought")
+    shown = lines.select("doc_id", "page_index", F.regexp_replace("text", letters, "").alias("t")).where("t <> ''")
+    hits = (
+        open_ones.join(shown, "doc_id").where(F.contains("t", F.col("sought"))).groupBy("doc_id", "toc_ord")
+        .agg(F.sort_array(F.collect_set("page_index")).alias("on"))
+    )
+    entry = F.struct("toc_ord", "title", "level", "page_index", "on")
+    docs = wanted.join(hits, ["doc_id", "toc_ord"], "left").groupBy("doc_id").agg(F.sort_array(F.collect_list(entry)).alias("xs"))
+
+    def step(acc: Column, x: Column) -> Column:
+        named = F.concat_ws(":", x["level"].cast("string"), F.trim(F.coalesce(x["title"], F.lit(""))))
+        ahead = F.array_min(F.filter(x["on"], lambda p: p >= acc["last"]))
+        page = F.when(F.array_contains(acc["seen"], named), F.lit(None)).otherwise(F.coalesce(x["page_index"], ahead, F.array_min(x["on"])))
+        found = page.isNotNull()
+        return F.struct(
+            F.when(found, F.greatest(acc["last"], page)).otherwise(acc["last"]).alias("last"),
+            F.when(found, F.array_append(acc["seen"], named)).otherwise(acc["seen"]).alias("seen"),
+            F.array_append(acc["pages"], page).alias("pages"),
+        )
+
+    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<string>").alias("seen"), F.array().cast("array<int>").alias("pages"))
+    each = docs.select("doc_id", F.arrays_zip("xs", F.aggregate("xs", start, step)["pages"].alias("page")).alias("zs"))
+    rows = each.select("doc_id", F.explode("zs").alias("z")).where("z.page is not null")
+    return rows.select("doc_id", "z.xs.toc_ord", "z.xs.title", "z.xs.level", F.col("z.page").alias("page_index"))
+
+
 def contents_span(blocks: DataFrame) -> DataFrame:
     """``doc_id, start_pos, end_pos`` of a printed table of contents at the front of a document.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,16 +81,28 @@ def code_grid(blocks: DataFrame, inner: float, font: float = 12.0) -> DataFrame:
     return code.select("doc_id", "block_index", "columns", target.alias("target"), size.alias("size"))
 
 
-#: Signs that fonts often lack, and the first sign to use instead.
-FALLBACKS = dict(
-    (pair[0], pair[1]) for pair in (
-        "►→ ▶→ ◄← ◀← ▲↑ △↑ ▼↓ ▽↓ ◦· ○· ▪• ▫· ■• ✓√ ✔√ ✗× ✘× ─— ━— │| ┃| ┌+ ┐+ └+ ┘+ ├+ ┤+ ┬+ ┴+ ┼+ ╭┌ ╮┐ ╰└ ╯┘ ☐□ ☑■ ±+ ×* ÷/ ≠= ≤< ≥> ≈~ ≡= "
-        "∞o √v ∛v ∜v ∫S ∬S ∭S ∮S ∑Σ ∏Π ∂d ∇V ∈e ∉e ⊂< ⊆< ∩n ∪u ∀A ∃E ⇒> ⇐< ⇔= ↦> ⁰0 ¹1 ²2 ³3 ⁴4 ⁵5 ⁶6 ⁷7 ⁸8 ⁹9 ⁺+ ⁻- ⁿn ⁱi "
-        "₀0 ₁1 ₂2 ₃3 ₄4 ₅5 ₆6 ₇7 ₈8 ₉9 ₊+ ₋-"
-    ).split()
-)
+#: Signs that fonts often lack, and the signs to use instead, in order of preference.
+FALLBACKS = {
+    "►": "→>", "▶": "→>", "◄": "←<", "◀": "←<", "▲": "↑^", "△": "↑^", "▼": "↓v", "▽": "↓v", "◦": "·•-", "○": "·o",
+    "▪": "•·*", "▫": "·-", "■": "•#", "✓": "√v", "✔": "√v", "✗": "×x", "✘": "×x", "─": "—-", "━": "—-", "│": "|",
+    "┃": "|", "┌": "+", "┐": "+", "└": "+", "┘": "+", "├": "+", "┤": "+", "┬": "+", "┴": "+", "┼": "+",
+    "╭": "┌+", "╮": "┐+", "╰": "└+", "╯": "┘+", "☐": "□o-", "☑": "■vx", "±": "+", "×": "*", "÷": "/", "≠": "=",
+    "≤": "<", "≥": ">", "≈": "~", "≡": "=", "∞": "o", "√": "v", "∛": "v", "∜": "v", "∫": "S", "∬": "S",
+    "∭": "S", "∮": "S", "∑": "ΣS", "∏": "ΠP", "∂": "d", "∇": "V", "∈": "e", "∉": "e", "⊂": "<", "⊆": "<",
+    "∩": "n", "∪": "u", "∀": "A", "∃": "E", "⇒": ">", "⇐": "<", "⇔": "=", "↦": ">", "⁰": "0", "¹": "1",
+    "²": "2", "³": "3", "⁴": "4", "⁵": "5", "⁶": "6", "⁷": "7", "⁸": "8", "⁹": "9", "⁺": "+", "⁻": "-",
+    "ⁿ": "n", "ⁱ": "i", "₀": "0", "₁": "1", "₂": "2", "₃": "3", "₄": "4", "₅": "5", "₆": "6", "₇": "7",
+    "₈": "8", "₉": "9", "₊": "+", "₋": "-", "ₐ": "a", "ₑ": "e", "ᵢ": "i", "ₙ": "n", "ₘ": "m", "ᵣ": "r",
+    "ₛ": "s", "ₜ": "t", "ᵤ": "u", "ᵥ": "v", "ₓ": "x", "ℝ": "R", "ℕ": "N", "ℤ": "Z", "ℚ": "Q", "ℂ": "C",
+}
+
 
+def with_fallbacks(text: Column, lacking: Iterable[str] = FALLBACKS) -> Column:
+    """Text with each sign that a font lacks replaced by the first of its substitutes that the font has.
 
-def with_fallbacks(text: Column) -> Column:
-    """Text with each such sign replaced."""
-    return F.translate(text, "".join(FALLBACKS), "".join(FALLBACKS.values()))
+    ``lacking``: what the font lacks, by default all signs that fonts often lack.  A sign none of whose
+    substitutes the font has is kept.
+    """
+    missing = frozenset(lacking)
+    found = {c: next((f for f in FALLBACKS[c] if f not in missing), c) for c in FALLBACKS if c in missing}
+    return F.translate(text, "".join(found), "".join(found.values())) if found else text

@@ -66,6 +66,16 @@ def formula_texts(blocks: DataFrame) -> DataFrame:
     )
 
 
+def page_texts(files: DataFrame) -> DataFrame:
+    """``doc_id, n_chars, crc`` of files decoded as fetched pages; null content gives null."""
+
+    def kernel(doc_id, content):
+        text = decode.decode_page(content)
+        yield {"doc_id": doc_id, "n_chars": None if text is None else len(text), "crc": None if text is None else zlib.crc32(text.encode("utf-8", "replace"))}
+
+    return per_row(files.select("doc_id", "content"), kernel, "doc_id long, n_chars long, crc long")
+
+
 def file_documents(files: DataFrame) -> DataFrame:
     """Blocks of stored files of every format; a file that can't be read is a paragraph that says so."""
     routed = formats.routed(files, "content")

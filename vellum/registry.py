@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import plans
 from .functions import text as T
 from .functions import urls as U
-from .operators import articles, links, outline, page_setting, runs, tables, txt, volumes
+from .operators import articles, lines, links, outline, page_setting, runs, tables, txt, volumes
 from .operators import html_blocks as html
 from .session import table
 from .sources import decode, formats, presets
@@ -156,12 +156,22 @@ def resolved_titles(spark: SparkSession, d: str) -> DataFrame:
     return articles.titles(table(spark, d, "web_articles"))
 
 
+def _image_sql(attribute: str) -> str:
+    """SQL of one attribute's usable address in tag ``g`` of the page at ``o`` (origin) and ``f`` (folder)."""
+    raw = rf"replace(trim(regexp_extract(g, '(?i)[\t\n\f\r ]{attribute}\s*=\s*[\"'']([^\"'']+)[\"'']', 1)), '&amp;', '&')"
+    whole = f"""CASE WHEN starts_with({raw}, '//') THEN CASE WHEN o <> '' THEN string_split(o, '//')[1] ELSE 'https:' END || {raw}
+      WHEN regexp_matches({raw}, '^[A-Za-z][A-Za-z0-9+.\\-]*:') OR o = '' OR {raw} = '' THEN {raw}
+      WHEN starts_with({raw}, '/') THEN o || {raw} WHEN f <> '' THEN f || {raw} ELSE o || '/' || {raw} END"""
+    return f"""CASE WHEN NOT regexp_matches({raw}, '(?i)^data:image/svg') AND {raw} <> 'about:blank' AND regexp_matches({whole}, '(?i)^(https?://|data:image/)') THEN {whole} END"""
+
+
 IMG_SQL = rf"""
-WITH t AS (SELECT article_id, list_transform(regexp_extract_all(content_html, '(?i)<img\b[^>]*>'), lambda g: coalesce(
-  {", ".join(f"nullif(regexp_extract(g, '(?i)[\\t\\n\\f\\r ]{a}\\s*=\\s*[\"'']([^\"'']+)[\"'']', 1), '')" for a in articles.LAZY)})) AS us FROM web_articles),
-f AS (SELECT article_id, list_filter(list_transform(us, lambda u: CASE WHEN starts_with(u, '//') THEN 'https:' || u ELSE u END), lambda u: regexp_matches(u, '^(https?://|data:)')) AS us FROM t),
-e AS (SELECT article_id, generate_subscripts(us, 1) AS k, unnest(us) AS url FROM f),
-m AS (SELECT article_id, url, min(k) AS k FROM e GROUP BY ALL)
+WITH a AS (SELECT article_id, coalesce(regexp_extract(url, '^(https?://[^/?#]+)', 1), '') AS o, coalesce(regexp_extract(url, '^(https?://[^/?#]+/(?:[^?#]*/)?)', 1), '') AS f,
+  regexp_extract_all(content_html, '(?i)<img\b[^>]*>') AS gs FROM web_articles),
+t AS (SELECT article_id, o, f, generate_subscripts(gs, 1) AS k, unnest(gs) AS g FROM a),
+e AS (SELECT article_id, k, coalesce({_image_sql("data-actualsrc")}, {_image_sql("data-original")}, {_image_sql("data-src")}, {_image_sql("data-origin-src")},
+  {_image_sql("data-lazy-src")}, {_image_sql("data-echo")}, {_image_sql("data-url")}, {_image_sql("data-original-src")}, {_image_sql("src")}) AS url FROM t),
+m AS (SELECT article_id, url, min(k) AS k FROM e WHERE url IS NOT NULL GROUP BY ALL)
 SELECT article_id, (row_number() OVER (PARTITION BY article_id ORDER BY k) - 1)::INT AS img_ord, url FROM m"""
 
 
@@ -185,14 +195,31 @@ def overlay_counts(spark: SparkSession, d: str) -> DataFrame:
     return articles.overlay_elements(table(spark, d, "web_articles"))
 
 
-@query()
+TABLE_CELLS = rf"""
+WITH f AS (SELECT article_id, list_transform(regexp_extract_all(content_html, '(?is)<table[^>]*>.*?</table>'), lambda x: regexp_replace(x, '(?is)^.*(<table)', '\1')) AS ts FROM web_articles WHERE content_html IS NOT NULL),
+t AS (SELECT article_id, generate_subscripts(ts, 1) - 1 AS n, unnest(ts) AS html FROM f),
+r AS (SELECT article_id || '-' || n AS table_id, regexp_extract_all(html, '(?is)<tr[^>]*>(.*?)</tr>', 1) AS rs FROM t),
+u AS (SELECT table_id, generate_subscripts(rs, 1) - 2 AS row_no, unnest(rs) AS tr FROM r WHERE len(list_filter(rs, lambda x: regexp_matches(x, '(?i)<th[ >]'))) > 0),
+d AS (SELECT table_id, row_no, regexp_extract_all(tr, '(?is)<t[hd][^>]*>(.*?)</t[hd]>', 1) AS cs FROM u),
+e AS (SELECT table_id, row_no, generate_subscripts(cs, 1) - 1 AS col_no, unnest(cs) AS cell FROM d),
+c AS (SELECT table_id, row_no, col_no, {_visible("cell")} AS text FROM e),
+n AS (SELECT table_id, max(row_no) + 1 AS n_rows FROM u GROUP BY 1),
+w AS (SELECT table_id, max(col_no) + 1 AS n_columns, coalesce(bool_or(row_no >= 0 AND {UTF16.format(x="text")} > 16), false) AS long FROM c GROUP BY 1),
+k AS (SELECT table_id, n_rows::INT AS n_rows, coalesce(n_columns, 0)::INT AS n_columns, n_columns >= 3 OR (n_columns = 2 AND long) AS as_cards FROM n LEFT JOIN w USING (table_id))"""
+
+
+@query(f"""{TABLE_CELLS}, h AS (SELECT table_id, col_no, text AS header FROM c WHERE row_no = -1)
+SELECT c.table_id, c.row_no::INT AS row_no, c.col_no::INT AS line_no, CASE WHEN c.col_no = 0 THEN 'title' ELSE 'field' END AS role,
+  CASE WHEN c.col_no = 0 THEN CASE WHEN trim(text) <> '' THEN text ELSE '第 ' || (row_no + 1) || ' 项' END
+    WHEN coalesce(header, '') <> '' THEN '【' || header || '】 ' || text ELSE text END AS text
+FROM c JOIN k USING (table_id) LEFT JOIN h ON h.table_id = c.table_id AND h.col_no = c.col_no WHERE k.as_cards AND row_no >= 0 AND (c.col_no = 0 OR trim(text) <> '')""")
 def table_cards(spark: SparkSession, d: str) -> DataFrame:
     """Tables of pages as cards: a title and one line per filled cell."""
     t = articles.page_tables(table(spark, d, "web_articles"))
     return tables.cards(t.where(tables.shows_as_cards(F.col("headers"), F.col("rows"))))
 
 
-@query()
+@query(f"{TABLE_CELLS} SELECT table_id, n_rows, n_columns, as_cards FROM k")
 def table_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Rows, columns and layout of the tables of pages."""
     t = articles.page_tables(table(spark, d, "web_articles"))
@@ -200,7 +227,13 @@ def table_shapes(spark: SparkSession, d: str) -> DataFrame:
                     tables.shows_as_cards(F.col("headers"), F.col("rows")).alias("as_cards"))
 
 
-@query()
+@query(f"""{TABLE_CELLS}, x AS (SELECT table_id, col_no, max((length(text) + length(text) - length(regexp_replace(text, '[\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}\\x{{f900}}-\\x{{faff}}“”‘’—…·～–―′″‰℃℉\\x{{3000}}-\\x{{303f}}\\x{{ff00}}-\\x{{ffef}}\\x{{3040}}-\\x{{30ff}}]', '', 'g'))) / 2) AS em FROM c GROUP BY ALL),
+y AS (SELECT *, count(*) OVER (PARTITION BY table_id) AS n FROM x),
+z AS (SELECT table_id, col_no, em * 12 * CASE WHEN n <= 2 THEN 0.90 WHEN n = 3 THEN 0.85 WHEN n = 4 THEN 0.78 ELSE 0.72 END AS nat, 340.0 / n AS even FROM y),
+l AS (SELECT *, nat <= 0.95 * even AS locked FROM z),
+q AS (SELECT table_id, col_no, nat, CASE WHEN locked THEN nat ELSE (340.0 - coalesce(sum(nat) FILTER (locked) OVER (PARTITION BY table_id), 0))
+  * pow(greatest(nat, 1), 0.72) / sum(pow(greatest(nat, 1), 0.72)) FILTER (NOT locked) OVER (PARTITION BY table_id) END AS raw FROM l)
+SELECT table_id, col_no::INT AS col_no, round(nat::DOUBLE, 3) AS "natural", round((raw * 340.0 / sum(raw) OVER (PARTITION BY table_id))::DOUBLE, 3) AS width FROM q""")
 def table_column_widths(spark: SparkSession, d: str) -> DataFrame:
     """Widths of grid columns."""
     w = tables.column_widths(articles.page_tables(table(spark, d, "web_articles")).select("table_id", "headers", "rows"), inner=340.0)
@@ -387,13 +420,43 @@ def volumes_in_two(spark: SparkSession, d: str) -> DataFrame:
     return volumes.volumes(table(spark, d, "blocks"), table(spark, d, "toc"), 2)
 
 
-@query()
+def _volumes_sql(n: int) -> str:
+    """SQL of ``n`` volumes: cuts follow one another in a recursion."""
+    return f"""
+WITH RECURSIVE r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY block_index) - 1)::INT AS pos, (count(*) OVER (PARTITION BY doc_id))::INT AS n FROM blocks),
+h AS (SELECT doc_id, any_value(n) AS n, coalesce(list(DISTINCT pos) FILTER (kind = 'heading' AND pos > 0), []) AS hs FROM r GROUP BY doc_id),
+e AS (SELECT r.doc_id, list(r.pos) AS es FROM toc t JOIN r ON r.doc_id = t.doc_id AND r.block_index = t.block_index WHERE r.pos > 0 GROUP BY 1),
+c AS (SELECT h.doc_id, n, CASE WHEN len(coalesce(es, [])) >= {n} THEN es WHEN len(hs) >= {n} THEN hs ELSE [] END AS ps FROM h LEFT JOIN e USING (doc_id)),
+cut AS (SELECT doc_id, n, ps, 0 AS v, 0 AS a FROM c WHERE n >= {n} UNION ALL
+  SELECT doc_id, n, ps, v + 1, CASE WHEN len(ps) = 0 THEN n // {n} * (v + 1) ELSE coalesce(
+    list_min(list_transform(list_filter(ps, lambda p: p > a), lambda p: {{'d': abs(p - floor((v + 1) * (n::FLOAT / {n}::FLOAT))::INT), 'p': p}})).p,
+    greatest(least(greatest((a + floor((v + 1) * (n::FLOAT / {n}::FLOAT))::INT) // 2, a + 1), n - 1), a)) END FROM cut WHERE v < {n - 1}),
+w AS (SELECT doc_id, v AS vol_index, a AS start_pos, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY v), n) AS end_pos, {n} AS total FROM cut
+  UNION ALL SELECT doc_id, 0, 0, n, 1 FROM c WHERE n < {n}),
+vols AS (SELECT doc_id, vol_index::INT AS vol_index, total, CASE WHEN total = 1 THEN '全一卷' WHEN total = 3 THEN ['上册', '中册', '下册'][vol_index + 1] ELSE '第' || (vol_index + 1) || '卷' END AS label,
+  start_pos::INT AS start_pos, end_pos::INT AS end_pos FROM w WHERE start_pos < end_pos)"""
+
+
+@query(_volumes_sql(3) + " SELECT * FROM vols")
+def volumes_in_three(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in three volumes."""
+    return volumes.volumes(table(spark, d, "blocks"), table(spark, d, "toc"), 3)
+
+
+@query(_volumes_sql(5) + " SELECT * FROM vols")
+def volumes_in_five(spark: SparkSession, d: str) -> DataFrame:
+    """Documents in five volumes."""
+    return volumes.volumes(table(spark, d, "blocks"), table(spark, d, "toc"), 5)
+
+
+@query(_volumes_sql(4) + " SELECT * FROM vols")
 def volumes_in_four(spark: SparkSession, d: str) -> DataFrame:
     """Documents in four volumes."""
     return volumes.volumes(table(spark, d, "blocks"), table(spark, d, "toc"), 4)
 
 
-@query()
+@query(_volumes_sql(3) + """ SELECT t.doc_id, vol_index, toc_ord, title, t.level, (r.pos - start_pos)::INT AS block_index FROM toc t
+JOIN r ON r.doc_id = t.doc_id AND r.block_index = t.block_index JOIN vols v ON v.doc_id = t.doc_id AND r.pos >= v.start_pos AND r.pos < v.end_pos""")
 def volume_outlines(spark: SparkSession, d: str) -> DataFrame:
     """Outlines of three volumes, counted from each volume's start."""
     return volumes.volume_outline(table(spark, d, "blocks"), table(spark, d, "toc"), 3)
@@ -521,10 +584,9 @@ def block_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bookmarks(spark: SparkSession, d: str) -> DataFrame:
-    """Outline entries with their pages; those without a block point at the first page."""
-    places = outline.first_pages(plans.pages(table(spark, d, "blocks")))
-    toc = outline.located(table(spark, d, "toc"), table(spark, d, "blocks"))
-    return toc.join(places, ["doc_id", "block_index"], "left").select("doc_id", "toc_ord", "title", "level", F.coalesce("page_index", F.lit(0)).alias("page_index"))
+    """Outline entries with the pages they open."""
+    blocks = table(spark, d, "blocks")
+    return outline.bookmarks(table(spark, d, "toc"), blocks, plans.pages(blocks))
 
 
 @query()
@@ -556,7 +618,8 @@ def code_grids(spark: SparkSession, d: str) -> DataFrame:
     return g.select("doc_id", "block_index", F.col("columns").cast("long").alias("columns"), F.col("target"), F.round("size", 4).alias("size"))
 
 
-@query(f"SELECT doc_id, translate(text, '{''.join(page_setting.FALLBACKS)}', '{''.join(page_setting.FALLBACKS.values())}') AS text FROM documents WHERE text IS NOT NULL")
+@query("""SELECT doc_id, translate(text, '►▶◄◀▲△▼▽◦○▪▫■✓✔✗✘─━│┃┌┐└┘├┤┬┴┼╭╮╰╯☐☑±×÷≠≤≥≈≡∞√∛∜∫∬∭∮∑∏∂∇∈∉⊂⊆∩∪∀∃⇒⇐⇔↦⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻ⁿⁱ₀₁₂₃₄₅₆₇₈₉₊₋ₐₑᵢₙₘᵣₛₜᵤᵥₓℝℕℤℚℂ',
+  '→→←←↑↑↓↓··•·•vvxx——||+++++++++++++□v+*/=<>~=ovvvSSSSΣΠdVee<<nuAE><=>0123456789+-ni0123456789+-aeinmrstuvxRNZQC') AS text FROM documents WHERE text IS NOT NULL""")
 def glyph_fallbacks(spark: SparkSession, d: str) -> DataFrame:
     """Texts with signs replaced that fonts often lack."""
     return table(spark, d, "documents").where("text is not null").select("doc_id", page_setting.with_fallbacks(F.col("text")).alias("text"))
@@ -589,3 +652,163 @@ def parameter_sets(spark: SparkSession, d: str) -> DataFrame:
     own = F.when(F.col("lang") == "zh", F.lit('{"textAlignment": "JUSTIFY", "fontSize": 13}')).otherwise(F.lit('{"textAlignment": "SIDEWAYS"}'))
     sets = table(spark, d, "documents").select("lang").distinct().select("lang", own.alias("json"))
     return sets.select("lang", presets.params_to_json(presets.params_from_json(F.col("json"))).alias("params"))
+
+
+@query(r"""SELECT doc_id, coalesce(CASE WHEN n >= 3 AND starts_with(h, 'FFD8') THEN 'jpg' WHEN n >= 8 AND starts_with(h, '89504E47') THEN 'png' WHEN n >= 6 AND starts_with(h, '474946') THEN 'gif'
+    WHEN n >= 12 AND starts_with(h, '5249') AND substr(h, 17, 8) = '57454250' THEN 'webp' END, CASE WHEN ext = 'jpeg' THEN 'jpg' WHEN ext IN ('jpg', 'png', 'gif', 'webp', 'bmp') THEN ext END, 'png') AS by_name,
+  CASE WHEN n > 3 AND starts_with(h, 'FFD8') THEN 'jpg' WHEN n > 8 AND starts_with(h, '8950') THEN 'png' WHEN n > 6 AND starts_with(h, '4749') THEN 'gif' WHEN n > 12 AND substr(h, 17, 4) = '5745' THEN 'webp'
+    WHEN n > 2 AND starts_with(h, '424D') THEN 'bmp' ELSE 'jpg' END AS stored_as,
+  starts_with(h, 'FFD8FF') OR starts_with(h, '89504E47') OR starts_with(h, '47494638') OR starts_with(h, '424D') OR (starts_with(h, '52494646') AND substr(h, 17, 8) = '57454250') AS image
+FROM (SELECT doc_id, hex(coalesce(content, ''::BLOB)) AS h, octet_length(coalesce(content, ''::BLOB)) AS n, lower(regexp_extract(string_split(coalesce(file_name, ''), '?')[1], '\\.([^.]*)$', 1)) AS ext FROM text_sources)""".replace("\\\\", "\\"))
+def image_formats(spark: SparkSession, d: str) -> DataFrame:
+    """What stored files would be as images, by the three rules for downloads, packages and archives."""
+    content, name = F.coalesce("content", F.lit(b"")), F.coalesce("file_name", F.lit(""))
+    return table(spark, d, "text_sources").select(
+        "doc_id", formats.image_format_or_suffix(content, name).alias("by_name"), formats.image_suffix(content).alias("stored_as"), formats.is_image(content).alias("image")
+    )
+
+
+@query("""SELECT link_id, url, coalesce(NOT (starts_with(lower(url), 'about:') OR starts_with(lower(url), 'chrome://') OR starts_with(lower(url), 'javascript:') OR
+  regexp_matches(lower(url), 'login|signin|passport|account|unhuman|captcha|verify|security|search\\?|/search')), false) AS candidate FROM links""".replace("\\\\", "\\"))
+def clip_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Links that may be articles."""
+    return table(spark, d, "links").select("link_id", "url", U.clip_candidate(F.col("url")).alias("candidate"))
+
+
+@query(rf"""SELECT article_id, coalesce(NOT (starts_with(lower(url), 'about:') OR starts_with(lower(url), 'chrome://') OR starts_with(lower(url), 'javascript:') OR
+  regexp_matches(lower(url), 'login|signin|passport|account|unhuman|captcha|verify|security|search\?|/search')), false) AND {UTF16.format(x="t")} >= 80 AS clipped
+FROM (SELECT article_id, url, trim({_visible("coalesce(content_html, '')")}) AS t FROM web_articles)""")
+def pages_clipped_by_themselves(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that are clipped without being asked for."""
+    text = articles.visible_text(F.coalesce("content_html", F.lit("")))
+    return table(spark, d, "web_articles").select("article_id", U.clipped_by_itself(F.col("url"), text).alias("clipped"))
+
+
+@query(f"""SELECT url, CASE WHEN contains(h, 'zhimg.com') THEN 'https://www.zhihu.com/' WHEN contains(h, 'qpic.cn') OR contains(h, 'weixin.qq.com') THEN 'https://mp.weixin.qq.com/'
+  WHEN contains(h, 'csdnimg.cn') OR contains(h, 'csdn.net') THEN 'https://blog.csdn.net/' WHEN contains(h, 'sinaimg.cn') OR contains(h, 'weibo.com') THEN 'https://weibo.com/'
+  ELSE 'https://' || h || '/' END AS referer FROM (SELECT DISTINCT url, coalesce(lower({HOST.format(x="url")}), '') AS h FROM ({IMG_SQL}))""")
+def image_referers(spark: SparkSession, d: str) -> DataFrame:
+    """Referer for each image."""
+    return page_images(spark, d).select("url").distinct().select("url", U.referer(F.col("url")).alias("referer"))
+
+
+@query("""WITH f AS (SELECT doc_id, octet_length(content) AS size, CASE WHEN content IS NULL THEN 404 ELSE 200 END AS status,
+  CASE lower(regexp_extract(file_name, '[.]([^.]*)$', 1)) WHEN 'html' THEN 'text/html' WHEN 'htm' THEN 'TEXT/HTML; charset=gbk' WHEN 'txt' THEN 'text/plain' ELSE '' END AS kind FROM text_sources)
+SELECT doc_id, CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'HTTP ' || status WHEN kind <> '' AND NOT contains(lower(kind), 'html') AND NOT contains(lower(kind), 'xml') THEN '非网页内容（' || kind || '）'
+  WHEN size > 8388608 THEN '页面过大（超过 8MB）' END AS error FROM f""")
+def fetch_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Why files, taken for responses, would be no pages."""
+    ext = formats.extension(F.col("file_name"))
+    kind = F.when(ext == "html", "text/html").when(ext == "htm", "TEXT/HTML; charset=gbk").when(ext == "txt", "text/plain").otherwise("")
+    status = F.when(F.col("content").isNull(), 404).otherwise(200)
+    return table(spark, d, "text_sources").select("doc_id", U.fetch_error(status, kind, F.octet_length("content")).alias("error"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+b AS (SELECT doc_id, line_no, regexp_replace(line, '^[\t-\r\x{1c}-\x{1f}\p{Z}]+|[\t-\r\x{1c}-\x{1f}\p{Z}]+$', '', 'g') AS line FROM l WHERE contains(line, '|')),
+m AS (SELECT doc_id, line_no, string_split(regexp_replace(regexp_replace(replace(line, '\|', chr(1)), '^[|]', ''), '[|]$', ''), '|') AS cs FROM b)
+SELECT doc_id, line_no::INT AS line_no, len(cs)::INT AS n_cells, array_to_string(list_transform(cs, lambda c:
+  regexp_replace(replace(c, chr(1), '|'), '^[\t-\r\x{1c}-\x{1f}\p{Z}]+|[\t-\r\x{1c}-\x{1f}\p{Z}]+$', '', 'g')), ' ¦ ') AS cells FROM m""")
+def pipe_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Cells of lines with pipes."""
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    cells = tables.pipe_cells(F.col("line"))
+    return lines.where(F.contains("line", F.lit("|"))).select("doc_id", "line_no", F.size(cells).alias("n_cells"), F.array_join(cells, " ¦ ").alias("cells"))
+
+
+def _glyphs(spark: SparkSession, d: str) -> DataFrame:
+    """Outline titles as if printed: ten lines a page, a glyph per character, blanks as gaps."""
+    toc = table(spark, d, "toc").where("title is not null")
+    chars = F.filter(F.transform(F.split("title", ""), lambda c, i: F.struct(i.alias("i"), c.alias("ch"))), lambda g: (F.trim(g["ch"]) != "") & (g["ch"] != "\u3000"))
+    each = toc.select("doc_id", "toc_ord", F.explode(chars).alias("g"))
+    return each.select(
+        "doc_id", (F.floor(F.col("toc_ord") / 10)).cast("int").alias("page"), ((F.col("toc_ord") % 10) * 80.0 + F.col("g.i") % 2).alias("y"),
+        (F.col("g.i") * 10.0).alias("x"), F.lit(10.0).alias("w"), F.lit(9.0).alias("h"), F.col("g.ch").alias("ch"),
+    )
+
+
+GLYPH_LINES_SQL = """
+g0 AS (SELECT doc_id, (toc_ord // 10)::INT AS page, toc_ord % 10 AS row_at, generate_subscripts(cs, 1) - 1 AS i, unnest(cs) AS ch FROM (SELECT doc_id, toc_ord, string_split(title, '') AS cs FROM toc WHERE title IS NOT NULL)),
+g1 AS (SELECT *, row_at * 80.0 + i % 2 AS y, lag(i) OVER (PARTITION BY doc_id, page, row_at ORDER BY i) AS before FROM g0 WHERE trim(ch) <> '' AND ch <> '\u3000'),
+g2 AS (SELECT doc_id, page, row_at, min(y) AS y, string_agg(CASE WHEN (i - before - 1) * 10 > 9 THEN ' ' || ch ELSE ch END, '' ORDER BY i) AS text FROM g1 GROUP BY ALL),
+g3 AS (SELECT doc_id, page, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY row_at) - 1)::BIGINT AS line_no, y::DOUBLE AS y, text FROM g2)"""
+
+
+@query(f"WITH {GLYPH_LINES_SQL} SELECT * FROM g3")
+def printed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of positioned glyphs."""
+    return lines.glyph_lines(_glyphs(spark, d))
+
+
+PRINTED_SQL = f"""WITH {GLYPH_LINES_SQL},
+m AS (SELECT *, line_no = min(line_no) OVER p AS is_first, line_no = max(line_no) OVER p AS is_last FROM g3 WINDOW p AS (PARTITION BY doc_id, page)),
+j AS (SELECT m.*, b.text AS before FROM m LEFT JOIN m b ON b.doc_id = m.doc_id AND b.page = m.page - 1 AND b.is_first),
+kept AS (SELECT doc_id, page, line_no, y, text FROM j WHERE NOT coalesce((is_first AND y < 80) OR (is_last AND y > 720) OR (is_first AND text = before AND length(text) <= 24)
+  OR ((is_first OR is_last) AND regexp_matches(text, '(?i)^\\s*(?:[-–—]?\\s*\\d{{1,4}}\\s*[-–—]?|第\\s*\\d{{1,4}}\\s*页|page\\s+\\d{{1,4}}(?:\\s+of\\s+\\d{{1,4}})?|\\d{{1,4}}\\s*/\\s*\\d{{1,4}})\\s*$')), false))"""
+
+
+@query(PRINTED_SQL + " SELECT * FROM kept")
+def lines_without_running_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Printed lines without page numbers and running heads."""
+    return lines.without_running_heads(printed_lines(spark, d), 800.0)
+
+
+@query(PRINTED_SQL + " SELECT doc_id, page, 0 AS par_no, string_agg(text, '' ORDER BY line_no) AS text FROM kept GROUP BY doc_id, page")
+def printed_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Printed lines as paragraphs; no line is blank here, so a page is one."""
+    return lines.paragraphs(lines_without_running_heads(spark, d))
+
+
+@query("""SELECT t.doc_id, t.toc_ord, t.title, t.level, f.b AS block_index FROM toc t JOIN (SELECT doc_id, block_index // 10 AS page, min(block_index) AS b FROM blocks GROUP BY ALL) f
+  ON f.doc_id = t.doc_id AND f.page = t.toc_ord // 3""")
+def outline_by_page(spark: SparkSession, d: str) -> DataFrame:
+    """An outline of pages as an outline of blocks, with ten blocks and three entries to a page."""
+    paged = table(spark, d, "blocks").withColumn("page", F.floor(F.col("block_index") / 10))
+    return lines.page_outline(table(spark, d, "toc").withColumn("page", F.floor(F.col("toc_ord") / 3)), paged)
+
+
+@query("""WITH l AS (SELECT DISTINCT link_id, coalesce(article_id, -1) % 7 AS batch FROM links), o AS (SELECT batch, link_id, (row_number() OVER (PARTITION BY batch ORDER BY link_id) - 1)::INT AS ord, (count(*) OVER (PARTITION BY batch))::INT AS n FROM
+  (SELECT link_id, min(batch) AS batch FROM l GROUP BY 1)), m AS (SELECT batch, ord AS a, n FROM o WHERE link_id = 20)
+SELECT o.batch, link_id, ord, CASE WHEN m.a IS NULL OR m.a + 3 >= m.n THEN ord WHEN ord = m.a THEN ord + 3 WHEN ord > m.a AND ord <= m.a + 3 THEN ord - 1 ELSE ord END::INT AS new_ord FROM o LEFT JOIN m USING (batch)""")
+def moved_links(spark: SparkSession, d: str) -> DataFrame:
+    """The order of links after one has moved down by three places."""
+    batch = F.coalesce("article_id", F.lit(-1)) % 7
+    each = table(spark, d, "links").groupBy("link_id").agg(F.min(batch).alias("batch"))
+    placed = each.withColumn("ord", F.row_number().over(W.partitionBy("batch").orderBy("link_id")) - 1)
+    return links.moved(placed, 20, 3).select("batch", "link_id", "ord", "new_ord")
+
+
+@query("""SELECT 'set ' || coalesce(lang, 'none') AS name, '{"fontSize":' || (10 + length(coalesce(lang, ''))) || '.0}' AS params FROM (SELECT DISTINCT lang FROM documents)""")
+def settings_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Presets after a backup was written and read again."""
+    langs = table(spark, d, "documents").select("lang").distinct()
+    size = (10 + F.length(F.coalesce("lang", F.lit("")))).cast("double")
+    sets = langs.select(F.concat(F.lit("set "), F.coalesce("lang", F.lit("none"))).alias("name"), F.to_json(F.struct(size.alias("fontSize"))).alias("params"))
+    settings = spark.createDataFrame([("concurrency", "3")], "key string, value string")
+    return presets.restored(presets.backup(sets, settings))
+
+
+SCRIPT = """// ==UserScript==
+// @name         {name}
+// @version      {version}
+// @match        https://*.example/p/*
+// @match        https://{name}.example/*
+// ==/UserScript==
+run();"""
+
+
+@query("""SELECT doc_id, 'script ' || doc_id AS name, '1.' || (doc_id % 4) AS version, '' AS author, 'https://*.example/p/* https://script ' || doc_id || '.example/*' AS matches, 'document-idle' AS run_at
+  FROM documents WHERE lang IS NOT NULL UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL FROM documents WHERE lang IS NULL""")
+def script_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Headers of userscripts, one made for each document with a language."""
+    name, version = F.concat(F.lit("script "), "doc_id"), F.concat(F.lit("1."), F.col("doc_id") % 4)
+    script = F.replace(F.replace(F.lit(SCRIPT), F.lit("{name}"), name), F.lit("{version}"), version)
+    meta = presets.script_meta(F.when(F.col("lang").isNotNull(), script).otherwise(F.lit("run();")))
+    m = table(spark, d, "documents").select("doc_id", meta.alias("m"))
+    return m.select("doc_id", "m.name", "m.version", "m.author", F.when(F.col("m").isNotNull(), F.array_join("m.matches", " ")).alias("matches"), "m.run_at")
+
+
+@query()
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Stored files decoded as pages: charset of a meta element, UTF-8, GB18030."""
+    return plans.page_texts(table(spark, d, "text_sources"))

@@ -23,7 +23,7 @@ def _known(name: str | None) -> str | None:
 
 
 def decode_file(data: bytes | None, with_utf16: bool = True) -> str | None:
-    """Text of a file: byte-order mark, strict UTF-8, GBK, Latin-1 as the last resort."""
+    """Text of a file: byte-order mark, strict UTF-8, else GBK with replacement characters for what can't be read."""
     if data is None:
         return None
     if data.startswith(codecs.BOM_UTF8):

@@ -70,6 +70,79 @@ def charset(content: Column, with_utf16: bool = True) -> Column:
     return rule.when(F.is_valid_utf8(content), "utf-8").otherwise("gbk")
 
 
+def image_format_or_suffix(content: Column, path: Column) -> Column:
+    """Image format by first bytes, else by the suffix of the path, else png."""
+    head = F.hex(F.substring(content, 1, 12))
+    size = F.octet_length(content)
+    ext = F.lower(F.regexp_extract(F.substring_index(path, "?", 1), r"\.([^.]*)$", 1))
+    known = F.when(ext == "jpeg", "jpg").when(ext.isin("jpg", "png", "gif", "webp", "bmp"), ext)
+    return F.coalesce(
+        F.when((size >= 3) & F.startswith(head, F.lit("FFD8")), "jpg")
+        .when((size >= 8) & F.startswith(head, F.lit("89504E47")), "png")
+        .when((size >= 6) & F.startswith(head, F.lit("474946")), "gif")
+        .when((size >= 12) & F.startswith(head, F.lit("5249")) & (F.substring(head, 17, 6) == "574542") & (F.substring(head, 23, 2) == "50"), "webp"),
+        known, F.lit("png"),
+    )
+
+
+def image_suffix(content: Column) -> Column:
+    """Suffix under which an image is stored: by first bytes, jpg where they tell nothing."""
+    head = F.hex(F.substring(content, 1, 12))
+    size = F.octet_length(content)
+    rule = (
+        F.when((size > 3) & F.startswith(head, F.lit("FFD8")), "jpg").when((size > 8) & F.startswith(head, F.lit("8950")), "png")
+        .when((size > 6) & F.startswith(head, F.lit("4749")), "gif").when((size > 12) & (F.substring(head, 17, 4) == "5745"), "webp")
+        .when((size > 2) & F.startswith(head, F.lit("424D")), "bmp")
+    )
+    return F.coalesce(rule, F.lit("jpg"))
+
+
+def is_image(content: Column) -> Column:
+    """Whether a record of an archive is an image."""
+    head = F.hex(F.substring(content, 1, 12))
+    return F.coalesce(
+        F.startswith(head, F.lit("FFD8FF")) | F.startswith(head, F.lit("89504E47")) | F.startswith(head, F.lit("47494638")) | F.startswith(head, F.lit("424D"))
+        | (F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250")),
+        F.lit(False),
+    )
+
+
+def image_size(content: Column) -> Column:
+    """Struct ``width, height`` in pixels by the header of a PNG, GIF, BMP or JPEG; null where it can't be read."""
+    head = F.hex(F.substring(content, 1, 32))
+
+    def number(text: Column, at: int, size: int, little: bool) -> Column:
+        digits = [F.substring(text, at + 1 + 2 * i, 2) for i in range(size)]
+        return F.conv(F.concat(*(reversed(digits) if little else digits)), 16, 10).cast("int")
+
+    def pair(width: Column, height: Column) -> Column:
+        return F.struct(width.alias("width"), height.alias("height"))
+
+    # the frame header of a JPEG follows its other segments, each of which tells its length
+    frame = F.regexp_extract(F.hex(content), r"^FFD8(?:[0-9A-F]{2})*?FF(?:C[0-35-79A-BD-F])[0-9A-F]{4}08([0-9A-F]{8})", 1)
+    found = (
+        F.when(F.startswith(head, F.lit("89504E470D0A1A0A")) & (F.length(head) >= 48), pair(number(head, 32, 4, False), number(head, 40, 4, False)))
+        .when(F.startswith(head, F.lit("47494638")) & (F.length(head) >= 20), pair(number(head, 12, 2, True), number(head, 16, 2, True)))
+        .when(F.startswith(head, F.lit("424D")) & (F.length(head) >= 52), pair(number(head, 36, 4, True), number(head, 44, 4, True)))
+        .when(F.startswith(head, F.lit("FFD8")) & (frame != ""), pair(number(frame, 4, 2, False), number(frame, 0, 2, False)))
+    )
+    return F.when((found["width"] > 0) & (found["height"] > 0), found)
+
+
+def shown_images(images: DataFrame, least: int = 4) -> DataFrame:
+    """Images with ``width, height``, without those that can't be read and without tracking pixels of at most
+    ``least`` pixels both ways."""
+    sized = images.withColumn("px", image_size(F.col("content")))
+    seen = sized.where("px is not null").where((F.col("px.width") > least) | (F.col("px.height") > least))
+    return seen.withColumn("width", F.col("px.width")).withColumn("height", F.col("px.height")).drop("px")
+
+
+def inline_image(url: Column) -> Column:
+    """Bytes of an inline image address, null where it is none or can't be read."""
+    data = F.regexp_replace(F.regexp_extract(F.trim(url), r"(?is)^data:image/[^,]*,(.+)$", 1), r"\s", "")
+    return F.when(data != "", F.try_to_binary(data, F.lit("base64")))
+
+
 def image_format(content: Column) -> Column:
     """Image format by first bytes, null where they tell none."""
     head = F.hex(F.substring(content, 1, 12))
