@@ -8,28 +8,28 @@ from ..functions.text import LOWERED, RAISED
 from ..schemas import merged, run
 
 #: Names of letters, signs and functions, and how they are written.
-GREEK = dict(
-    zip(
-        "alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi varpi rho varrho sigma varsigma tau "
-        "upsilon phi varphi chi psi omega Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega".split(),
-        "αβγδεεζηθϑικλμνξπϖρϱσςτυφϕχψωΓΔΘΛΞΠΣΥΦΨΩ",
-    )
-)
-OPERATORS = dict(
-    pair.split("=", 1)
-    for pair in (
-        "pm=± mp=∓ times=× div=÷ cdot=· circ=° bullet=• star=⋆ ast=∗ le=≤ leq=≤ ge=≥ geq=≥ neq=≠ ne=≠ approx=≈ equiv=≡ sim=∼ simeq=≃ cong=≅ "
-        "propto=∝ ll=≪ gg=≫ in=∈ notin=∉ subset=⊂ supset=⊃ subseteq=⊆ supseteq=⊇ cap=∩ cup=∪ setminus=∖ forall=∀ exists=∃ nexists=∄ lor=∨ "
-        "land=∧ neg=¬ partial=∂ nabla=∇ infty=∞ sum=∑ prod=∏ coprod=∐ int=∫ iint=∬ iiint=∭ oint=∮ to=→ rightarrow=→ gets=← leftarrow=← "
-        "leftrightarrow=↔ Rightarrow=⇒ Leftarrow=⇐ Leftrightarrow=⇔ iff=⇔ uparrow=↑ downarrow=↓ mapsto=↦ dots=… ldots=… cdots=… vdots=⋮ "
-        "ddots=⋱ angle=∠ perp=⊥ parallel=∥ hbar=ℏ ell=ℓ prime=′"
-    ).split()
-) | {"quad": "  ", "qquad": "    ", ",": " ", ";": " ", ":": " ", "!": "", " ": " "}
+GREEK = {
+    "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "varepsilon": "ε", "zeta": "ζ", "eta": "η", "theta": "θ", "vartheta": "ϑ", "iota": "ι", "kappa": "κ",
+    "lambda": "λ", "mu": "μ", "nu": "ν", "xi": "ξ", "pi": "π", "varpi": "ϖ", "rho": "ρ", "varrho": "ϱ", "sigma": "σ", "varsigma": "ς", "tau": "τ", "upsilon": "υ",
+    "phi": "φ", "varphi": "ϕ", "chi": "χ", "psi": "ψ", "omega": "ω", "Gamma": "Γ", "Delta": "Δ", "Theta": "Θ", "Lambda": "Λ", "Xi": "Ξ", "Pi": "Π", "Sigma": "Σ",
+    "Upsilon": "Υ", "Phi": "Φ", "Psi": "Ψ", "Omega": "Ω",
+}
+OPERATORS = {
+    "pm": "±", "mp": "∓", "times": "×", "div": "÷", "cdot": "·", "circ": "°", "bullet": "•", "star": "⋆", "ast": "∗", "le": "≤", "leq": "≤", "ge": "≥",
+    "geq": "≥", "neq": "≠", "ne": "≠", "approx": "≈", "equiv": "≡", "sim": "∼", "simeq": "≃", "cong": "≅", "propto": "∝", "ll": "≪", "gg": "≫", "in": "∈",
+    "notin": "∉", "subset": "⊂", "supset": "⊃", "subseteq": "⊆", "supseteq": "⊇", "cap": "∩", "cup": "∪", "setminus": "∖", "forall": "∀", "exists": "∃", "nexists": "∄", "lor": "∨",
+    "land": "∧", "neg": "¬", "partial": "∂", "nabla": "∇", "infty": "∞", "sum": "∑", "prod": "∏", "coprod": "∐", "int": "∫", "iint": "∬", "iiint": "∭", "oint": "∮",
+    "to": "→", "rightarrow": "→", "gets": "←", "leftarrow": "←", "leftrightarrow": "↔", "Rightarrow": "⇒", "Leftarrow": "⇐", "Leftrightarrow": "⇔", "iff": "⇔", "uparrow": "↑", "downarrow": "↓", "mapsto": "↦",
+    "dots": "…", "ldots": "…", "cdots": "…", "vdots": "⋮", "ddots": "⋱", "angle": "∠", "perp": "⊥", "parallel": "∥", "hbar": "ℏ", "ell": "ℓ", "prime": "′", "quad": "  ",
+    "qquad": "    ", ",": " ", ";": " ", ":": " ", "!": "", " ": " ",
+}
 FUNCTIONS = frozenset(
     "sin cos tan arcsin arccos arctan cot sec csc sinh cosh tanh exp log ln lg lim max min sup inf det gcd dim ker deg arg".split()
 )
 BLACKBOARD = {"R": "ℝ", "N": "ℕ", "Z": "ℤ", "Q": "ℚ", "C": "ℂ"}
-VULGAR = dict(zip("1/2 1/3 2/3 1/4 3/4 1/5 2/5 3/5 4/5 1/6 5/6 1/8 3/8 5/8 7/8".split(), "½⅓⅔¼¾⅕⅖⅗⅘⅙⅚⅛⅜⅝⅞"))
+VULGAR = {
+    "1/2": "½", "1/3": "⅓", "2/3": "⅔", "1/4": "¼", "3/4": "¾", "1/5": "⅕", "2/5": "⅖", "3/5": "⅗", "4/5": "⅘", "1/6": "⅙", "5/6": "⅚", "1/8": "⅛", "3/8": "⅜", "5/8": "⅝", "7/8": "⅞",
+}
 ACCENTS = {"vec": "\u20d7", "hat": "\u0302", "bar": "\u0304", "overline": "\u0304", "dot": "\u0307", "ddot": "\u0308", "tilde": "\u0303"}
 BIG = frozenset({"sum", "prod", "coprod", "int", "iint", "iiint", "oint", "lim", "max", "min", "sup", "inf"})
 
