@@ -111,12 +111,39 @@ def test_p3_code_is_no_residue():
     assert residue.line_residue("<%= x %>", "", True) == (False, False) and residue.line_residue("<p><%= body %></p>", "", False)[0]
 
 
-def verdict(content, **kw):
-    row = next(mainbody.features(1, "https://a.example/1", "t", content))
-    lines = [(x["line_no"], x["flags"], x["width"], x["ending"], False, False, x["tail"], x["chars"], x["bytes"]) for x in row[4]]
+def verdict(content, title="t", url="https://a.example/1", hosts=()):
+    row = next(mainbody.features(1, url, title, content))
+    lines = [(x["line_no"], x["flags"], x["width"], x["ending"], False, x["line_no"] in hosts, x["tail"], x["chars"], x["bytes"]) for x in row[4]]
     return mainbody.decide(lines)
 
 
+PROSE = "<p>The old house near the border was rebuilt in the spring, and the history of the place is told by the people of the town who were there.</p>"
+
+
+def test_p3_messages_in_long_lines_need_the_page():
+    long = "<p>Error 404: the page could not be found on this server, please go back to where you came from and try again in a little while.</p>"
+    assert verdict(long)[0] and verdict("<p>We are sorry. " + long[3:])[0]
+    assert not verdict(long + "\n" + PROSE)[0]
+
+
+def test_p3_titles_of_prose_about_messages():
+    assert verdict(PROSE, "Access denied")[0] and verdict(PROSE, "404 Not Found")[0]
+    assert not verdict(PROSE, "Access denied: a history of the border")[0] and verdict("<p>short</p>", "Access denied: a history of the border")[0]
+    assert verdict(PROSE, "{{ title }} of the border history")[0]
+
+
+def test_p3_responses_of_many_hosts():
+    page = "<p>Zugriff auf diesen Inhalt leider gerade nicht vorgesehen</p>"
+    assert verdict(page, "Der alte Garten", hosts=(0,))[0] and not verdict(page, "Der alte Garten")[0]
+    assert not verdict(page, "Zugriff und Inhalt", hosts=(0,))[0] and not verdict(page, "x", "https://a.example/inhalt-der-seite.html", hosts=(0,))[0]
+    assert not verdict(page + "\n" + PROSE, "Der alte Garten", hosts=(0,))[0]
+
+
+@pytest.mark.parametrize("text", ["[YOUR NAME]", "ページが見つかりませんでした", "undefined undefined", "null, null", "<<NAME>>"])
+def test_p3_more_residue(text):
+    assert residue.is_residue(text)
+
+
 def test_p4_ends():
     whole = "<p>这是一个完整的长段落，它把话说完了，没有留下什么。</p>\n"
     assert verdict(whole)[2][0] == mainbody.WHOLE

@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .arrow import map_rows
-from .residue import is_residue, line_residue, width
+from .residue import MESSAGE_WIDTH, PLACEHOLDER, is_residue, line_residue, message, says_message, terms, width
 from .web import brand, key, lines_of, same_text, site_and_page
 
-LIST, CODE, PAGE, HEAD, QUOTE, TABLE, ITEM, LINKED, LONG, CHROME, CRUMB, NOSCRIPT, RESIDUE, WEAK, IMAGE, TITLE, NEXT, SIGN, UNFOLD, OPEN, LAST, STYLED = (
-    1 << i for i in range(22)
+LIST, CODE, PAGE, HEAD, QUOTE, TABLE, ITEM, LINKED, LONG, CHROME, CRUMB, NOSCRIPT, RESIDUE, WEAK, IMAGE, TITLE, NEXT, SIGN, UNFOLD, OPEN, LAST, STYLED, SAID, MATCHED = (
+    1 << i for i in range(24)
 )
 #: How a line ends.
 END_NONE, END_STOP, END_DOTS, END_WORD, END_CUT = 0, 1, 2, 3, 4
@@ -44,7 +44,7 @@ MENU = re.compile(
     r"^(?:[^\s/|·•.。，！？]{1,12}(?: [^\s/|·•.。，！？]{1,12})?\s*[/|·•]\s*){2,}[^\s/|·•.。，！？]{1,12}(?: [^\s/|·•.。，！？]{1,12})?$"
     r"|^(?:[぀-鿿]{2,8} ){2,}[぀-鿿]{2,8}$|^(?:[A-Z][a-z]+ ){3,}[A-Z][a-z]+$"
 )
-#: Parts of class and id names that mark a line as the site's.
+#: Parts of class and id names that mark a line as the site's.
 ASIDE = re.compile(
     r"""<\w+[^>]*\b(?:class|id)\s*=\s*["']?[^"'>]*(?:\btip|meta|share|notice|advert|related|nav|menu|foot|sidebar|copyright|cookie|consent|promo|unfold|more-box|banner|subscribe|breadcrumb)""",
     re.I,
@@ -53,7 +53,7 @@ ASIDE = re.compile(
 APART = re.compile(r"""^\s*(?:<section\b|<p\b[^>]*\bstyle\s*=\s*["'][^"']*color|<p[^>]*>\s*<(strong|b|em)\b[^>]*>.*</\1>\s*</p>\s*$)|^\s{2,}<p>\s""", re.I)
 BARE = re.compile(r"^(?:\s*<(?:a|b|em|i|span|strong)\b[^>]*>|[^<]).*<br\s*/?>\s*$", re.I)
 CRUMBS = re.compile(r"\S\s*(?:>|»|›|→)\s*\S[^>»›→]*\s*(?:>|»|›|→)\s*\S")
-#: Words of a site's own notices, prompts and bylines, for sites too small for counts.
+#: Words of a site's own notices, prompts and bylines, for sites too small for counts.
 NOTICE = re.compile(
     r"cookie|©|\(c\) ?\d|copyright|all rights|privacy|terms of|newsletter|subscri|sign in|log in|follow us|share (?:this|on)|rss\b|"
     r"site map|read more|^(?:words|text|photos?|drawings|edited|written|posted|published|filed|reprinted|by)\b.{0,60}$|readers found|"
@@ -65,19 +65,19 @@ NOTICE = re.compile(
     r"クッキー|規約|転載|無断|編集室|新着|栞|友だち|人が読みました|公開$|会社案内|個人情報|^(?:文|図|写真|編集|校正)\s*[:：]|ページの先頭",
     re.I,
 )
-#: Prompts to go on reading elsewhere.
+#: Prompts to go on reading elsewhere.
 UNFOLDS = re.compile(
     r"^[\s.…·]*(?:(?:展开|显示|查看|阅读|加载|点击|打开)[^。，]{0,12}(?:全文|更多|全部|APP|加载|展开|原文)[^。，]{0,8}|继续(?:阅读|浏览|看)[^。，]{0,8}|(?:剩余|还有|余下)\s*\d[^。]{0,24}|"
     r"read (?:the )?(?:full|more|rest)\b.{0,20}|show (?:more|all)|continue (?:reading|in)\b.{0,20}|load more|open in.{0,20}|see more|\d+ ?% (?:left|remaining)|"
     r"続きを?読む.{0,10}|もっと(?:見る|読む)|残り.{0,12}|全文を.{0,8})[\s.…↓»>→]*$",
     re.I,
 )
-#: Announcements of a next part, which end a whole text.
+#: Announcements of a next part, which end a whole text.
 NEXT_PART = re.compile(r"^\W*(?:未完待续|待续|下(?:篇|期|回|集|章|周|一(?:篇|期|回|章|部分))|つづく|続く|次回|to be continued|next (?:week|part|time|chapter|month)|in the next)", re.I)
 #: A line set between two dashes, as sites set their mottoes.
 FRAMED = re.compile(r"^[—–-]\s*[^—–\s].*[^—–\s]\s*[—–-]$")
 SIGNATURE = re.compile(r"^\s*(?:——|―|--|—)\s*\S")
-#: Frequent function words, by script.
+#: Frequent function words, by script.
 FUNCTION_CJK = "的了在是和把为之のをにがはとる"
 FUNCTION_WORDS = (" the ", " of ", " and ", " a ", " to ", " in ", " was ", " is ", " that ", " и ", " на ", " не ", " в ", " le ", " la ", " de ", " et ", " der ", " die ", " und ", " o ", " e ")
 
@@ -150,15 +150,36 @@ def _prose(text: str) -> bool:
     return sum(padded.count(w) for w in FUNCTION_WORDS) * 15 >= text.count(" ")
 
 
+def _matched(wanted: set[str], texts: list[str]) -> bool:
+    """Whether any of the terms stands in the texts."""
+    whole = "\n".join(texts)
+    return any(t in whole for t in wanted)
+
+
+def _about(title: str, prose: list[str]) -> bool:
+    """Whether a title that begins like a message is that of prose which goes on about it: half of the terms
+    that follow the message stand in long lines of the body."""
+    if not prose or PLACEHOLDER.search(title):
+        return False
+    rest = message(title)
+    asked = terms(rest) if rest else set()
+    whole = "\n".join(prose)
+    return bool(asked) and 2 * sum(t in whole for t in asked) >= len(asked)
+
+
+def slug_terms(url: str | None) -> set[str]:
+    """Terms of the last part of an address that has words."""
+    path = (url or "").split("?")[0].split("#")[0].rsplit("/", 1)[-1]
+    return terms(path.rsplit(".", 1)[0].replace("-", " ").replace("_", " "))
+
+
 def features(article_id, url, title, content) -> Iterator[tuple]:
     """The features of one article: its keys and a row for the title (line_no -1) and for every line that
     shows text or an image.  Only lines on which the counts can have a say carry keys to be counted."""
     site, page = site_and_page(url)
     site_key, page_key, name = (key(site), key(page), brand(site)) if site else (None, None, None)
     plain_title = " ".join(title.split()) if title else ""
-    out = [(-1, TITLE | (RESIDUE if is_residue(plain_title) else 0), len(plain_title), 0, None, 0, 0, None, None)]
     content = content or ""
-    raws = content.split("\n")
     shown = {}
     finals = set()
     raws = content.split("\n")
@@ -170,7 +191,8 @@ def features(article_id, url, title, content) -> Iterator[tuple]:
     last_no = len(raws) - 1
     while last_no > 0 and not raws[last_no].strip():
         last_no -= 1
-    for line in lines_of(content):
+    lines = lines_of(content)
+    for line in lines:
         text, raw = line.text, line.raw
         w = width(text)
         flags = (LIST if line.in_list else 0) | (CODE if line.in_code else 0) | (PAGE if line.in_page_tag else 0) | (NOSCRIPT if line.noscript else 0)
@@ -188,7 +210,8 @@ def features(article_id, url, title, content) -> Iterator[tuple]:
             if linked * 2 > len(text):
                 flags |= LINKED
         residue, weak = line_residue(raw, text, line.in_code, line.in_list)
-        flags |= (RESIDUE if residue else 0) | (WEAK if weak else 0)
+        said = w > MESSAGE_WIDTH and not (residue or line.in_code or line.in_list) and says_message(text)
+        flags |= (RESIDUE if residue else 0) | (WEAK if weak else 0) | (SAID if said else 0)
         ending = _ending(text)
         if w <= 72 and UNFOLDS.match(text):
             flags |= UNFOLD
@@ -235,7 +258,10 @@ def features(article_id, url, title, content) -> Iterator[tuple]:
         for no, raw in enumerate(raws):
             if no not in shown and "<" in raw and MEDIA.search(raw):
                 shown[no] = (no, IMAGE, 0, 0, None, 0, 0, None, None)
-    out += shown.values()
+    prose = [x.text.lower() for x in lines if shown[x.no][1] & LONG]
+    own = [x.text.lower() for x in lines if not shown[x.no][1] & (CHROME | CRUMB | PAGE | NOSCRIPT | UNFOLD) and not (plain_title and plain_title in x.text)]
+    flags = TITLE | (RESIDUE if is_residue(plain_title) and not _about(plain_title, prose) else 0) | (MATCHED if _matched(terms(plain_title) | slug_terms(url), own) else 0)
+    out = [(-1, flags, len(plain_title), 0, None, 0, 0, key(plain_title) if plain_title else None, None), *shown.values()]
     yield article_id, site_key, page_key, sorted(finals), [dict(zip(COLUMNS, r)) for r in out]
 
 
@@ -301,6 +327,22 @@ def second_pass(labels: list[int], widths: list[int]) -> list[int]:
     return out
 
 
+def response(shown: list[tuple[tuple, int]], matched: bool) -> bool:
+    """Whether a page without long text of its own is a response in place of an article.
+
+    A sign in a line is confirmed where the line stands on many hosts, or where it is a message within a long
+    line.  Without a sign, a line is a response if many hosts show it but the pages of the site don't, it
+    isn't set apart as the site's, and no term of address and title stands in the body.
+    """
+    if any(x == BODY_LABEL and r[1] & LONG and not r[1] & (WEAK | SAID) and not r[5] for r, x in shown):
+        return False
+    if any((r[1] & WEAK and r[5]) or r[1] & SAID for r, _ in shown):
+        return True
+    return not matched and any(
+        r[5] and not r[4] and not r[1] & (CHROME | CRUMB | ITEM | LIST | HEAD | PAGE | NOSCRIPT | UNFOLD | LINKED | STYLED | NEXT | SIGN | CODE) for r, _ in shown
+    )
+
+
 def decide(lines: list[tuple]) -> tuple[bool, list[tuple[int, int]], tuple[int, int | None, int, int]]:
     """(residue page, [(line_no, label)], (verdict, tail, chars, bytes)) of one article.
 
@@ -312,9 +354,9 @@ def decide(lines: list[tuple]) -> tuple[bool, list[tuple[int, int]], tuple[int,
     body = [r for r in rows if r[0] >= 0]
     labels = second_pass([first_pass(r[1], r[2], r[4], r[5]) for r in body], [r[2] for r in body])
     if not residue:
-        # a weak sign counts where the same short response stands for the article on many sites
         shown = [(r, x) for r, x in zip(body, labels) if not r[1] & IMAGE]
-        residue = any(r[1] & WEAK and r[5] for r, _ in shown) and not any(x == BODY_LABEL and r[1] & LONG for r, x in shown)
+        matched = any(r[1] & MATCHED for r in rows if r[0] < 0)
+        residue = response(shown, matched)
     return residue, [(r[0], x) for r, x in zip(body, labels) if not r[1] & IMAGE], end_of_body(body, labels)
 
 

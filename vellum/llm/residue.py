@@ -1,8 +1,10 @@
 """Problem 3: detectors of template residue, filler, error messages and demands for scripts in one line.
 
 The patterns look at form where there is one (placeholder syntax, repeated units, status codes) and at
-the wording of messages otherwise.  A message counts only if it is the line: text that writes about
-such things continues, and code that shows them stands in code elements, which are left out here.
+the wording of messages otherwise.  A message that is its whole line decides by itself.  A longer line
+that only holds one, in any of its sentences, is a sign that the page has to confirm: by the lack of other
+long text, or by how many hosts show the line.  Code that shows such things stands in code elements,
+which are left out here.  The word lists are this module's own.
 """
 
 from __future__ import annotations
@@ -26,23 +28,23 @@ PLACEHOLDER = re.compile(
     | (?<![\w])__[A-Z][A-Z_]*__(?![\w])
     | \[\[[A-Z][A-Z_]*\]\]
     | (?<![\\\w^}{$\#])\{[a-z][a-z_]*\}(?!\})
-    | \[(?:[A-Z]+\ )+HERE\]
+    | \[(?:[A-Z]+\ )+HERE\] | \[(?:YOUR|INSERT|ENTER|ADD)(?:\ [A-Z]+)+\] | <<[A-Z][A-Z_\ ]*>>
     | \[(?:在此|此处|在这里)[^\[\]]{1,12}\]
     | %\([A-Za-z_]\w*\)[sd](?![\w])
     | \[object\ Object\]
     """,
     re.X,
 )
-PLACEHOLDER_SIGNS = re.compile(r"[{\[%@]|__[A-Z]")
+PLACEHOLDER_SIGNS = re.compile(r"[{\[%@]|__[A-Z]|<<")
 
-#: The words of the usual filler text.
+#: The words of the usual filler text.
 LOREM = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore "
     "magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat".split()
 )
 UNIT = re.compile(r"^(.{2,24}?)(?:[\s,，.。、]*\1){2,}[\s,，.。、0-9]*(?:\w+ ?){0,2}$", re.S)
 
-#: Wording of filler, errors and notices, each at the start of its line or title.
+#: Wording of filler, errors and notices, each at the start of its sentence.
 MESSAGE = re.compile(
     r"""^(?:
     # filler
@@ -55,7 +57,7 @@ MESSAGE = re.compile(
     | (?:http\ )?error\ \d+\b | (?:internal\ )?server\ error | bad\ gateway | service\ (?:temporarily\ )?unavailable | page\ not\ found
     | access\ denied | access\ to\ this\ page | the\ connection\ (?:timed\ out|was\ reset) | (?:sorry,?\ |oops!?,?\ )?something\ went\ wrong
     | this\ (?:post|page|article|content)\ is\ (?:no\ longer|not)\ available | the\ (?:page|article)\ you
-    | too\ many\ requests | your\ session\ has\ expired | undefined\ -\ undefined | undefined$ | null$ | nan$
+    | too\ many\ requests | your\ session\ has\ expired | (?:undefined|null|nan)(?:[\s,:|/\-]+(?:undefined|null|nan))*$
     | (?:抱歉|对不起)[，,\ ].{0,20}(?:删除|不存在|无法|找不到|出错) | (?:该|此|您访问的|你访问的)?(?:页面|链接|网页|内容)(?:不存在|已失效|已被删除|无法|找不到|出错)
     | (?:该|此|本)(?:文章|内容|页面)(?:审核中|已被?删除|暂时?无法|不存在) | 系统(?:繁忙|错误|异常|维护) | 服务器(?:繁忙|错误|开小差|内部错误)
     | (?:您|你)?(?:没有|暂无|无)(?:访问)?权限 | 登录已(?:过期|失效) | 访问(?:过于频繁|被拒绝|受限) | 请求(?:过于频繁|超时|失败) | 网络(?:错误|异常|超时)
@@ -69,17 +71,15 @@ MESSAGE = re.compile(
     )""",
     re.X | re.I,
 )
-#: First characters of those messages, to leave out most lines at once.
-MESSAGE_STARTS = frozenset("yYiItTaAqQpPuUnNhHeE0123456789sSbBoOjJcCvV这占此请示标测正无未ダタ本題お抱对该您你页链网内系服没暂登访安サアエブスwW無")
-#: A demand for scripts anywhere in the line.
+#: A demand for scripts anywhere in the line.
 DEMAND = re.compile(
     r"\b(?:enable|turn on|allow|activate) (?:javascript|scripts?|cookies and javascript)\b"
     r"|(?:需要|请先?|必须)(?:开启|启用|打开|允许).{0,3}(?:脚本|javascript)|浏览器.{0,6}(?:不支持|版本过低|禁用|未启用)",
     re.I,
 )
-#: A notice about one feature of the page, not about its content.
+#: A notice about one feature of the page, not about its content.
 SIDE_FEATURE = re.compile(r"comment|评论|コメント|留言|播放器|player|share button|分享", re.I)
-#: Words that make a line worth a look at how many hosts show it.
+#: Words that make a line worth a look at how many hosts show it.
 WEAK = re.compile(
     r"error|denied|expired|unavailable|timed? ?out|not found|\bjavascript|\bscripts?\b|reload|retry|forbidden|captcha|"
     r"错误|失败|异常|超时|失效|过期|禁止|拒绝|刷新|重试|脚本|验证|无法(?:显示|访问|查看|加载)|エラー|見つかり|失敗|スクリプト|再読み込み",
@@ -92,8 +92,11 @@ WEAK_PARTS = (
     "错误", "失败", "异常", "超时", "失效", "过期", "禁止", "拒绝", "刷新", "重试", "脚本", "验证", "无法", "エラー", "見つかり", "失敗", "スクリプト", "再読み込み",
 )
 
-#: Longest line, in columns of width, that can be a message and not prose.
+#: A line up to so many columns is a message if it begins with one; a longer one may be prose that mentions it.
 MESSAGE_WIDTH = 100
+SENTENCE = re.compile(r"[.!?。！？;；]+\s*")
+WORD = re.compile(r"[^\W\d_\u3040-\U0010ffff]{4,}")
+UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]{2,}")
 
 
 def width(text: str) -> int:
@@ -102,42 +105,63 @@ def width(text: str) -> int:
     return n if text.isascii() else n + (len(text.encode("utf-8", "replace")) - n) // 2
 
 
+def terms(text: str) -> set[str]:
+    """Words of four letters and more, and pairs of characters of unspaced text."""
+    found = set(WORD.findall(text.lower()))
+    for part in UNSPACED.findall(text):
+        found.update(map("".join, zip(part, part[1:])))
+    return found
+
+
 def _filler(text: str) -> bool:
     words = re.findall(r"[a-z]+", text.lower())
     return len(words) >= 4 and sum(w in LOREM for w in words) >= 0.75 * len(words)
 
 
+def _demand(text: str) -> bool:
+    return ("cript" in text or "脚本" in text or "浏览器" in text) and DEMAND.search(text) is not None
+
+
+def message(text: str) -> str | None:
+    """What follows the message a text begins with, empty if it demands scripts; None if it holds none of both."""
+    if SIDE_FEATURE.search(text):
+        return None
+    m = MESSAGE.match(text)
+    return text[m.end() :] if m else "" if _demand(text) else None
+
+
 def is_residue(text: str) -> bool:
     """Whether a whole line or title, code left out, is residue, filler, an error or a demand for scripts."""
     if not text:
         return False
     if PLACEHOLDER_SIGNS.search(text) and PLACEHOLDER.search(text):
         return True
-    if len(text) > MESSAGE_WIDTH:
-        return "lorem" in text.lower() and _filler(text)
-    if (text[0] in MESSAGE_STARTS and MESSAGE.match(text)) or (
-        ("cript" in text or "脚本" in text or "浏览器" in text) and DEMAND.search(text)
-    ):
-        return not SIDE_FEATURE.search(text) and width(text) <= MESSAGE_WIDTH
-    head = text[:2]
-    return text.count(head) > 2 and (UNIT.match(text) is not None) or ("orem" in text and _filler(text))
+    if "orem" in text and _filler(text):
+        return True
+    if text.count(text[:2]) > 2 and UNIT.match(text) is not None:
+        return True
+    return len(text) <= MESSAGE_WIDTH and width(text) <= MESSAGE_WIDTH and message(text) is not None
+
+
+def says_message(text: str) -> bool:
+    """Whether a line too long to be a message has one in any of its sentences."""
+    return any(message(x) is not None for x in SENTENCE.split(text) if x)
 
 
 def line_residue(raw: str, text: str, in_code: bool, in_list: bool = False) -> tuple[bool, bool]:
     """(residue, weak sign) of a raw line of ``content_html`` with the visible ``text``."""
     if in_code:
         return False, False
-    if "<code" in raw or "`" in raw or "<%" in raw:
+    if "<code" in raw or "`" in raw or "<%" in raw or "<<" in raw:
         if "<pre" in raw:
             return False, False
         bare = INLINE_CODE.sub("", raw)
-        if "<%" in bare and PLACEHOLDER.search(bare):
+        if ("<%" in bare or "<<" in bare) and PLACEHOLDER.search(bare):
             return True, True
         text = TAG.sub("", bare)
         text = " ".join((html.unescape(text) if "&" in text else text).split())
     if is_residue(text):
         return True, True
-    if in_list or len(text) > MESSAGE_WIDTH or not any(map(text.__contains__, WEAK_PARTS)):
+    if in_list or not any(map(text.__contains__, WEAK_PARTS)):
         return False, False
-    weak = WEAK.search(text) is not None and not SIDE_FEATURE.search(text)
-    return False, weak
+    return False, WEAK.search(text) is not None and not SIDE_FEATURE.search(text)
