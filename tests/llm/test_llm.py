@@ -162,6 +162,30 @@ def test_p7_labels():
     assert [n for n, x in labels.items() if x == mainbody.CHROME_LABEL] == [1, 8, 10]
 
 
+def test_p7_nearest_neighbour():
+    body, chrome, none = mainbody.BODY_LABEL, mainbody.CHROME_LABEL, mainbody.UNSURE
+    assert mainbody.second_pass([body, 0, 0, 0, 0, 0, chrome]) == [body, body, body, body, chrome, chrome, chrome]
+    assert mainbody.second_pass([chrome, 0, 0, body]) == [chrome, chrome, body, body]
+    assert mainbody.second_pass([0, body, 0]) == [body] * 3 and mainbody.second_pass([0, 0]) == [chrome] * 2 and mainbody.second_pass([]) == []
+    assert none == 0
+
+
+def test_p7_menus_of_plain_lists_and_long_notices(spark):
+    menu = "<ul>\n<li><a href='/a'>Garden</a></li>\n<li><a href='/b'>Kitchen</a></li>\n</ul>"
+    notice = "<p>" + "We and our partners keep cookies of kinds too many to list in one breath, and by reading on you agree to all of them at once. " * 4 + "</p>"
+
+    def body(i):
+        word = "".join(chr(97 + int(d)) for d in str(1000 + i))
+        return f"<p>The old house {word} near the border was rebuilt in the spring by the people of {word}, and that is the whole of the story.</p>"
+
+    rows = [(i, f"https://s{i % 20}.example/{i}", f"title {i}", f"{menu if i % 20 == 0 else ''}\n{body(i)}\n<h2>Part</h2>\n{notice if i < 20 else ''}") for i in range(200)]
+    got = {tuple(r) for r in mainbody.page_lines(frame(spark, rows, ARTICLE)).collect()}
+    assert {(i, n) for i in range(0, 200, 20) for n in (1, 2)} <= got  # the menu stands on all pages of its site
+    lines = {i: rows[i][3].split("\n") for i in range(20)}
+    assert {(i, len(lines[i]) - 1) for i in range(20)} <= got  # the notice stands on twenty sites
+    assert not any("old house" in rows[a][3].split("\n")[n] for a, n in got)
+
+
 def test_p3_p4_p7_on_frames(spark):
     def body(i):
         return f"<p>这是{chr(0x4E10 + i)}写的一个完整的长段落，它把{chr(0x5E10 + i)}的话说完了，没有留下什么。</p>"

@@ -29,6 +29,9 @@ from .web import brand, key, lines_of, same_text, site_and_page
 LIST, CODE, PAGE, HEAD, QUOTE, TABLE, ITEM, LINKED, LONG, CHROME, CRUMB, NOSCRIPT, RESIDUE, WEAK, IMAGE, TITLE, NEXT, SIGN, UNFOLD, OPEN, LAST, STYLED, SAID, MATCHED = (
     1 << i for i in range(24)
 )
+#: Lengths by which blocks are classified, in columns: a prompt, a notice by its words, one line of a page, and a block
+#: set apart by its mark-up are no longer than this; a block is long, and a whole sentence is prose, from this on.
+PROMPT_WIDTH, NOTICE_WIDTH, LINE_WIDTH, SET_WIDTH, LONG_WIDTH, SENTENCE_WIDTH = 72, 80, 120, 160, 90, 28
 #: How a line ends.
 END_NONE, END_STOP, END_DOTS, END_WORD, END_CUT = 0, 1, 2, 3, 4
 GOES_ON = frozenset(",，、:：-–—―(（[【“‘「『《<\\/&%$#@+=*_ー々〆")
@@ -83,7 +86,7 @@ FUNCTION_WORDS = (" the ", " of ", " and ", " a ", " to ", " in ", " was ", " is
 
 COLUMNS = ("line_no", "flags", "width", "ending", "tail", "chars", "bytes", "line_key", "mask_key")
 #: Flags that settle the label of a line whatever its counts.
-SETTLED = LIST | CODE | PAGE | NOSCRIPT | UNFOLD | IMAGE | HEAD | ITEM | CRUMB | CHROME
+SETTLED = CODE | PAGE | NOSCRIPT | UNFOLD | IMAGE | ITEM | CRUMB | CHROME
 FEATURES = (
     "article_id long, site_key long, page_key long, finals array<long>, lines array<struct<line_no:int,flags:int,width:int,ending:int,"
     "tail:long,chars:int,bytes:int,line_key:long,mask_key:long>>"
@@ -213,27 +216,27 @@ def features(article_id, url, title, content) -> Iterator[tuple]:
         said = w > MESSAGE_WIDTH and not (residue or line.in_code or line.in_list) and says_message(text)
         flags |= (RESIDUE if residue else 0) | (WEAK if weak else 0) | (SAID if said else 0)
         ending = _ending(text)
-        if w <= 72 and UNFOLDS.match(text):
+        if w <= PROMPT_WIDTH and UNFOLDS.match(text):
             flags |= UNFOLD
-        elif w <= 80 and not flags & (LIST | CODE | ITEM | HEAD) and _notice(text):
+        elif w <= NOTICE_WIDTH and not flags & (LIST | CODE | ITEM | HEAD) and _notice(text):
             flags |= CHROME
-        elif (w >= 90 or (w >= 28 and ending != END_WORD)) and _prose(text):
+        elif (w >= LONG_WIDTH or (w >= SENTENCE_WIDTH and ending != END_WORD)) and _prose(text):
             flags |= LONG
-        if w <= 120 and not flags & (LIST | CODE | ITEM) and (
+        if w <= LINE_WIDTH and not flags & (LIST | CODE | ITEM) and (
             (any(c in text for c in ">»›→") and CRUMBS.search(text)) or (not flags & LONG and MENU.match(text))
         ):
             flags |= CRUMB
-        if w <= 160 and "<" in raw and not flags & (LIST | CODE | ITEM) and ((("class" in raw or "id=" in raw) and ASIDE.search(raw)) or (ending == END_WORD and BARE.match(raw))):
+        if w <= SET_WIDTH and "<" in raw and not flags & (LIST | CODE | ITEM) and ((("class" in raw or "id=" in raw) and ASIDE.search(raw)) or (ending == END_WORD and BARE.match(raw))):
             flags |= CHROME
-        if w <= 120 and ending == END_WORD and "<" in raw and not flags & (LIST | CODE | ITEM | HEAD) and APART.match(raw):
+        if w <= LINE_WIDTH and ending == END_WORD and "<" in raw and not flags & (LIST | CODE | ITEM | HEAD) and APART.match(raw):
             flags |= STYLED
-        if w <= 120 and not flags & (LIST | CODE | ITEM | LONG):
+        if w <= LINE_WIDTH and not flags & (LIST | CODE | ITEM | LONG):
             if NEXT_PART.search(text):
                 flags |= NEXT
             if SIGNATURE.match(text):
                 flags |= SIGN
         tail, chars, size = None, 0, 0
-        if ending != END_STOP or (w >= 28 and not flags & (ITEM | CODE)):
+        if ending != END_STOP or (w >= SENTENCE_WIDTH and not flags & (ITEM | CODE)):
             word = _tail(text)
             tail = key(word)
             if ending == END_STOP:
@@ -245,10 +248,10 @@ def features(article_id, url, title, content) -> Iterator[tuple]:
         if line.no == last_no:
             flags |= (OPEN if open_end else 0) | LAST
         line_key = mask = None
-        if site and (flags & WEAK or not flags & SETTLED):
+        if site and not flags & OPEN and (flags & (WEAK | LIST) or not flags & SETTLED):  # beginnings of cut sentences are alike
             same = same_text(text)
             line_key = key(site, same)
-            if w <= 360:
+            if not flags & (LIST | HEAD):  # headings and list items of articles are alike on many sites
                 masked = same_text(text.replace(name, "\x01")) if name and name in text else same
                 if quoted := QUOTED.search(masked):
                     masked = masked.replace(quoted[0], "\x02")
@@ -261,7 +264,7 @@ def features(article_id, url, title, content) -> Iterator[tuple]:
     prose = [x.text.lower() for x in lines if shown[x.no][1] & LONG]
     own = [x.text.lower() for x in lines if not shown[x.no][1] & (CHROME | CRUMB | PAGE | NOSCRIPT | UNFOLD) and not (plain_title and plain_title in x.text)]
     flags = TITLE | (RESIDUE if is_residue(plain_title) and not _about(plain_title, prose) else 0) | (MATCHED if _matched(terms(plain_title) | slug_terms(url), own) else 0)
-    out = [(-1, flags, len(plain_title), 0, None, 0, 0, key(plain_title) if plain_title else None, None), *shown.values()]
+    out = [(-1, flags, len(plain_title), 0, key(plain_title) if plain_title else None, 0, 0, None, None), *shown.values()]
     yield article_id, site_key, page_key, sorted(finals), [dict(zip(COLUMNS, r)) for r in out]
 
 
@@ -270,10 +273,13 @@ def page_features(articles: DataFrame) -> DataFrame:
     return map_rows(articles.select("article_id", "url", "title", "content_html"), lambda: features, FEATURES)
 
 
-#: Least pages and least share of a site's pages on which a notice of that site stands.
-SITE_PAGES, SITE_SHARE = 4, 0.02
-#: Least number and least share of all sites on which a notice stands with the site's name masked.
-HOSTS, HOST_SHARE = 4, 0.01
+#: Least pages and least share of a site's pages on which a notice of that site stands; share for headings and
+#: list items, which articles of one site have in common.
+SITE_PAGES, SITE_SHARE, SET_SHARE = 4, 0.02, 0.1
+#: Least number of sites on which a notice stands with the site's name masked, and of different titles it stands
+#: under: the lines of an article that many sites copied stand under one or two.  Sentences of running text may
+#: agree by chance and need more sites.
+HOSTS, PROSE_HOSTS, TITLES = 4, 12, 4
 
 CHROME_LABEL, BODY_LABEL, UNSURE = 1, 2, 0
 
@@ -284,14 +290,12 @@ def first_pass(flags: int, w: int, on_site: bool, on_hosts: bool) -> int:
         return CHROME_LABEL
     if flags & (CODE | IMAGE):
         return BODY_LABEL
-    if flags & LIST:
-        return BODY_LABEL
-    if flags & NEXT and not flags & (ITEM | LINKED):
-        return BODY_LABEL
-    if flags & HEAD:
+    if flags & NEXT and not flags & (ITEM | LINKED | LIST):
         return BODY_LABEL
     if on_site or on_hosts:
         return CHROME_LABEL
+    if flags & (LIST | HEAD):
+        return BODY_LABEL
     if flags & (ITEM | CRUMB):
         return CHROME_LABEL
     if flags & CHROME:
@@ -300,30 +304,35 @@ def first_pass(flags: int, w: int, on_site: bool, on_hosts: bool) -> int:
         return BODY_LABEL
     if flags & (LINKED | STYLED):
         return CHROME_LABEL
+    if w >= LONG_WIDTH:
+        return BODY_LABEL
     return UNSURE
 
 
-def second_pass(labels: list[int], widths: list[int]) -> list[int]:
-    """Undecided lines take the label of the nearest decided line; between two, sentences side with the body."""
+def second_pass(labels: list[int]) -> list[int]:
+    """Undecided lines take the label of the nearest decided line, of two equally near ones that of the body.
+
+    Where no line is decided all are the page's.
+    """
     n = len(labels)
-    out = list(labels)
-    before, last = [-1] * n, -1
-    for i in range(n):
-        before[i] = last
-        if labels[i]:
+    far = n + 1
+    before, last = [], -far
+    for i, x in enumerate(labels):
+        if x:
             last = i
-    after = -1
+        before.append(last)
+    out, after = list(labels), n + far
     for i in range(n - 1, -1, -1):
         if labels[i]:
             after = i
             continue
-        b = before[i]
-        left = labels[b] if b >= 0 else CHROME_LABEL
-        right = labels[after] if after >= 0 else CHROME_LABEL
-        if left == right:
-            out[i] = left
+        left = labels[before[i]] if before[i] >= 0 else UNSURE
+        right = labels[after] if after < n else UNSURE
+        if left and right and left != right:
+            near, other = i - before[i], after - i
+            out[i] = BODY_LABEL if near == other else left if near < other else right
         else:
-            out[i] = BODY_LABEL
+            out[i] = left or right or CHROME_LABEL
     return out
 
 
@@ -352,7 +361,7 @@ def decide(lines: list[tuple]) -> tuple[bool, list[tuple[int, int]], tuple[int,
     rows = sorted({r[0]: r for r in lines}.values(), key=lambda r: r[0])
     residue = any(r[1] & RESIDUE for r in rows)
     body = [r for r in rows if r[0] >= 0]
-    labels = second_pass([first_pass(r[1], r[2], r[4], r[5]) for r in body], [r[2] for r in body])
+    labels = second_pass([first_pass(r[1], r[2], r[4], r[5]) for r in body])
     if not residue:
         shown = [(r, x) for r, x in zip(body, labels) if not r[1] & IMAGE]
         matched = any(r[1] & MATCHED for r in rows if r[0] < 0)
@@ -403,20 +412,20 @@ def widely_shown(pages: DataFrame) -> DataFrame:
     their measured size allows it; otherwise both are shuffled and hot keys are split at run time.
     """
     hosted = pages.where("site_key is not null")
-    each = hosted.select("article_id", "site_key", "page_key", F.explode("lines").alias("x")).select(
-        "article_id", "site_key", "page_key", "x.line_no", "x.line_key", "x.mask_key"
+    each = hosted.select("article_id", "site_key", "page_key", F.col("lines")[0]["tail"].alias("title_key"), F.explode("lines").alias("x")).select(
+        "article_id", "site_key", "page_key", "title_key", "x.line_no", "x.line_key", "x.mask_key", (F.col("x.flags").bitwiseAND(LIST | HEAD) != 0).alias("set"),
+        (F.col("x.flags").bitwiseAND(LONG) != 0).alias("prose"),
     )
     per_site = hosted.select("site_key", "page_key").distinct().groupBy("site_key").agg(F.count(F.lit(1)).alias("n_pages"))
-    least = per_site.agg(F.greatest(F.lit(HOSTS), HOST_SHARE * F.count(F.lit(1))).alias("least"))
     on_site = (
-        each.where("line_key is not null").select("site_key", "line_key", "page_key").distinct()
-        .groupBy("site_key", "line_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SITE_PAGES)
-        .join(per_site, "site_key").where(F.col("n") >= SITE_SHARE * F.col("n_pages")).select("line_key")
+        each.where("line_key is not null").groupBy("site_key", "line_key", "page_key").agg(F.bool_and("set").alias("set"))
+        .groupBy("site_key", "line_key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("set").alias("set")).where(F.col("n") >= SITE_PAGES)
+        .join(per_site, "site_key").where(F.col("n") >= F.when(F.col("set"), SET_SHARE).otherwise(SITE_SHARE) * F.col("n_pages")).select("line_key")
     )
     on_hosts = (
-        each.where("mask_key is not null").select("mask_key", "site_key").distinct()
-        .groupBy("mask_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOSTS)
-        .join(F.broadcast(least), F.col("n") >= F.col("least")).select("mask_key")  # one row
+        each.where("mask_key is not null").groupBy("mask_key", "site_key").agg(F.min("title_key").alias("a"), F.max("title_key").alias("b"), F.bool_and("prose").alias("prose"))
+        .groupBy("mask_key").agg(F.count(F.lit(1)).alias("n"), F.bool_and("prose").alias("prose"), F.approx_count_distinct("a").alias("na"), F.approx_count_distinct("b").alias("nb"))
+        .where((F.col("n") >= F.when(F.col("prose"), PROSE_HOSTS).otherwise(HOSTS)) & (F.greatest("na", "nb") >= TITLES)).select("mask_key")
     )
     none = F.lit(None).cast("int")
     hits = (
@@ -514,7 +523,7 @@ def _words_kernel(bits):
             site, page = site_and_page(url)
             words, final = set(), set()
             for line in lines_of(content):
-                if line.in_code or line.in_page_tag or width(line.text) < 28:
+                if line.in_code or line.in_page_tag or width(line.text) < SENTENCE_WIDTH:
                     continue
                 words |= tail_words(line.text)
                 at = 0
