@@ -313,6 +313,30 @@ def test_p9_weights_meet_targets():
 
 
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer files")
+def test_p9_caps():
+    cells = [("a", "en", "prose", 1000), ("b", "en", "prose", 1_000_000), ("c", "de", "notes", 500_000)]
+    for none in (0, -1):
+        w = mixing.raked(cells, {"a": (0.2, none), "b": (0.4, 1), "c": (0.4, 2)})
+        assert set(k[0] for k in w) == {"b", "c"} and w["b", "en", "prose"] * 1_000_000 == pytest.approx(w["c", "de", "notes"] * 500_000)
+    bound = mixing.raked(cells, {"a": (0.2, 5), "b": (0.4, 1), "c": (0.4, 2)})
+    assert bound["a", "en", "prose"] == pytest.approx(5) and bound["b", "en", "prose"] == pytest.approx(0.01)
+    short = mixing.raked(cells, {"a": (0.2, 5), "b": (0.4, 1), "c": (0.4, 2)}, total_tokens=1_000_000)
+    assert short["a", "en", "prose"] == pytest.approx(5) and short["b", "en", "prose"] == pytest.approx(0.4) and short["c", "de", "notes"] == pytest.approx(0.8)
+    assert mixing.raked(cells, {"a": (1.0, 0)}) == {}
+
+
+def test_p9_reports(spark):
+    docs = [(i, "word " * (10 + i % 7), "en" if i % 3 else "de", "abc"[i % 3]) for i in range(300)]
+    df = frame(spark, docs, "doc_id long, text string, lang string, source string")
+    targets = frame(spark, [("a", 0.3, 1), ("b", 0.3, 4), ("c", 0.4, 0), ("d", 0.0, 3)], "source string, target_share double, max_repeats int")
+    got = {r["source"]: r for r in mixing.actual_shares(df, targets).collect()}
+    assert got["c"]["tokens"] == 0 and got["a"]["actual_share"] == pytest.approx(0.5, abs=0.02) and got["a"]["at_cap"] and not got["b"]["at_cap"] and got["d"]["tokens"] == 0
+    margins = mixing.margins(df, targets).collect()
+    assert {r["axis"] for r in margins} == {"lang", "form"} and sum(r["actual_share"] for r in margins) == pytest.approx(2) and sum(r["wanted_share"] for r in margins) == pytest.approx(2)
+    none = mixing.actual_shares(df, frame(spark, [("a", 1.0, None)], "source string, target_share double, max_repeats int")).collect()
+    assert [(r["tokens"], r["actual_share"]) for r in none] == [(0, 0.0)] and mixing.margins(df.limit(0), targets).count() == 0
+
+
 def test_p9_mix(spark):
     rnd = random.Random(4)
     docs = [(i, "word " * rnd.randrange(5, 60), rnd.choice(["en", "EN", None]), rnd.choice(["a", "a", "b", "c", None])) for i in range(900)]

@@ -8,10 +8,14 @@ total is the largest at which every source can reach its share.  Documents are t
 calibrated weights: the whole part as often as it says, the rest by systematic sampling along the order
 of token counts, which keeps the drawn tokens close to the calibrated ones.
 
+The largest total at which every source reaches its share is bound by one source, which the report names.
+With ``total_tokens`` a mix of that size is made instead: sources that can't fill their share of it give all
+they may, fall short, and the report shows it.
+
 Documents of other sources and of no source take no part, nor do null, empty and blank texts, which have
 no tokens to give.  A language that is null or unknown is a class of its own; codes are compared without
-case and region.  Sources with a target but no tokens get nothing and the others keep their shares among
-themselves.  Repeated rows of a doc_id count as documents of their own.  Empty tables give empty results.
+case and region.  Sources with a target that have no tokens, or that may not be used at all (``max_repeats`` null, zero or
+less), get nothing and the others keep their shares among themselves.  Repeated rows of a doc_id count as documents of their own.  Empty tables give empty results.
 
 Cells are at most sources x LANGUAGES x forms, so they may be collected.
 """
@@ -53,9 +57,21 @@ def sized(documents: DataFrame, targets: DataFrame, tokenizer: str = "byte_bpe_5
     return counted.select(parsed, "n_tokens").select("k.*", "n_tokens").where("n_tokens > 0")
 
 
-def raked(cells: list[tuple[str, str, str, int]], targets: dict[str, tuple[float, int]]) -> dict[tuple[str, str, str], float]:
-    """Weight of each cell (source, language, form): mean uses of its documents."""
-    cells = [c for c in cells if c[0] in targets and c[3] > 0 and targets[c[0]][0] > 0]
+def usable(targets: dict[str, tuple[float, int]]) -> dict[str, tuple[float, int]]:
+    """Targets of the sources that may be used at all."""
+    return {s: (share, most) for s, (share, most) in targets.items() if share > 0 and most > 0}
+
+
+def raked(
+    cells: list[tuple[str, str, str, int]], targets: dict[str, tuple[float, int]], total_tokens: float | None = None
+) -> dict[tuple[str, str, str], float]:
+    """Weight of each cell (source, language, form): mean uses of its documents.
+
+    Without ``total_tokens`` all shares are met, at the largest total that allows it; with it sources that
+    can't fill their share of that total are used up and fall short.
+    """
+    targets = usable(targets)
+    cells = [c for c in cells if c[0] in targets and c[3] > 0]
     if not cells:
         return {}
     tokens = np.array([c[3] for c in cells], dtype=float)
@@ -63,18 +79,20 @@ def raked(cells: list[tuple[str, str, str, int]], targets: dict[str, tuple[float
     axes = []
     for axis in range(3):
         names = sorted({c[axis] for c in cells})
-        axes.append((np.array([names.index(c[axis]) for c in cells]), names))
+        place = {name: i for i, name in enumerate(names)}
+        axes.append((np.array([place[c[axis]] for c in cells]), names))
     src, sources = axes[0]
     share = np.array([targets[s][0] for s in sources])
     share = share / share.sum()
     have = np.bincount(src, weights=tokens, minlength=len(sources))
     caps = np.array([targets[s][1] for s in sources], dtype=float)
-    total = float((caps * have / share).min())
-    goals = [share * total]
+    total = float((caps * have / share).min()) if total_tokens is None else float(total_tokens)
+    wanted = np.minimum(share * total, caps * have)
+    goals = [wanted]
     for at, names in axes[1:]:
         part = np.bincount(at, weights=tokens, minlength=len(names))
-        goals.append(part / part.sum() * total)
-    weight = (share * total / have)[src]
+        goals.append(part / part.sum() * wanted.sum())
+    weight = (wanted / have)[src]
     for _ in range(SWEEPS):
         before = weight.copy()
         for (at, names), goal in zip(reversed(axes), reversed(goals)):  # sources last: their shares bind
@@ -92,10 +110,14 @@ def raked(cells: list[tuple[str, str, str, int]], targets: dict[str, tuple[float
     return {c[:3]: float(min(w, k)) for c, w, k in zip(cells, weight, cap)}
 
 
-def mixed(documents: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
+def mixed(documents: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: float | None = None) -> DataFrame:
     """``doc_id, source, n_tokens, repeats`` of every document that the mix uses."""
-    spark = documents.sparkSession
-    docs = cut_lineage(sized(documents, targets))
+    return drawn(cut_lineage(sized(documents, targets)), targets, seed, total_tokens).select("doc_id", "source", "n_tokens", "repeats").where("repeats > 0")
+
+
+def drawn(docs: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: float | None = None) -> DataFrame:
+    """The documents of sized() with ``weight``, the mean uses of their cell, and ``repeats``, their own."""
+    spark = docs.sparkSession
     common = docs.groupBy("lang").agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     kept = [r["lang"] for r in common.collect()]  # at most LANGUAGES
     docs = docs.withColumn("lang", F.when(F.col("lang").isin(kept), F.col("lang")).otherwise("other")) if kept else docs
@@ -104,36 +126,55 @@ def mixed(documents: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
     for r in cells:
         parts[r["source"]] = parts.get(r["source"], PART_DOCS - 1) + r["docs"]
     goals = {r["source"]: (r["target_share"] or 0.0, r["max_repeats"] or 0) for r in targets.dropDuplicates(["source"]).collect()}
-    weights = raked([tuple(r)[:4] for r in cells], goals)
+    weights = raked([tuple(r)[:4] for r in cells], goals, total_tokens)
     table = spark.createDataFrame(
-        [(*k, w, parts[k[0]] // PART_DOCS) for k, w in weights.items()],
+        [(*k, weights.get(k, 0.0), parts[k[0]] // PART_DOCS) for k in (tuple(r)[:3] for r in cells)],
         "source string, lang string, form string, weight double, parts int",
     )
-    weighed = docs.join(F.broadcast(table), ["source", "lang", "form"])  # one row per cell
+    weighed = docs.join(F.broadcast(table), ["source", "lang", "form"], )  # one row per cell
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("parts"))
     order = W.partitionBy("source", "part").orderBy("n_tokens", F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
     rest = F.col("weight") - F.floor("weight")
     run = F.sum(rest).over(order.rowsBetween(W.unboundedPreceding, 0))
     # parts begin at different offsets, so that what they round off evens out
     offset = (F.col("part") + 0.5) / F.col("parts")
-    drawn = weighed.withColumn("part", part).withColumn("run", run)
+    placed = weighed.withColumn("part", part).withColumn("run", run)
     extra = F.floor(F.col("run") + offset) - F.floor(F.col("run") - rest + offset)
     repeats = (F.floor("weight") + extra).cast("int")
-    return drawn.select("doc_id", "source", "n_tokens", repeats.alias("repeats")).where("repeats > 0")
+    return placed.withColumn("repeats", repeats)
 
 
-def actual_shares(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source: wanted and actual share of tokens, documents used, largest number of repeats."""
-    used = mixed(documents, targets)
-    by = used.groupBy("source").agg(
-        F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("repeats").alias("most_repeats")
-    )
-    every = by.agg(F.sum("tokens").alias("all_tokens"))
+def actual_shares(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
+    """Per source: wanted and actual share of tokens, documents used, largest number of repeats, and whether the
+    source is at its cap and so bounds the mix."""
+    every = cut_lineage(drawn(cut_lineage(sized(documents, targets)), targets, total_tokens=total_tokens))
+    used = F.col("n_tokens") * F.col("repeats")
+    by = every.groupBy("source").agg(
+        F.sum(used).alias("tokens"), F.count_if(F.col("repeats") > 0).alias("n_docs"), F.max("repeats").alias("most_repeats"),
+        (F.sum(F.col("n_tokens") * F.col("weight")) / F.sum("n_tokens")).alias("mean_uses"),
+    )
+    whole = by.agg(F.sum("tokens").alias("all_tokens"))
+    zero = F.lit(0)
     return (
-        targets.join(by, "source", "left").crossJoin(F.broadcast(every))  # one row
+        targets.join(by, "source", "left").crossJoin(F.broadcast(whole))  # one row
         .select(
-            "source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("actual_share"),
-            F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"),
-            F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats",
+            "source", "target_share", F.coalesce(F.try_divide(F.coalesce("tokens", zero), F.col("all_tokens")), F.lit(0.0)).alias("actual_share"),
+            F.coalesce("tokens", zero).alias("tokens"), F.coalesce("n_docs", zero).alias("n_docs"),
+            F.coalesce("most_repeats", zero).alias("most_repeats"), "max_repeats",
+            F.coalesce(F.col("mean_uses") >= F.col("max_repeats") * (1 - 1e-6), F.lit(False)).alias("at_cap"),
         )
     )
+
+
+def margins(documents: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
+    """``axis, value, wanted_share, actual_share`` of languages and forms: what they have among the sources that
+    may be used, and what they have in the mix."""
+    docs = cut_lineage(sized(documents, targets))
+    every = cut_lineage(drawn(docs, targets, total_tokens=total_tokens))
+    part = every.join(F.broadcast(targets.where("max_repeats > 0 and target_share > 0").select("source").distinct()), "source", "left_semi")  # one row per wanted source
+    each = part.select(F.explode(F.array(F.struct(F.lit("lang").alias("axis"), F.col("lang").alias("value")), F.struct(F.lit("form").alias("axis"), F.col("form").alias("value")))).alias("m"), "n_tokens", "repeats")
+    sums = each.groupBy("m.axis", "m.value").agg(F.sum("n_tokens").alias("have"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("used"))
+    axis = W.partitionBy("axis")  # two rows of sums, at most LANGUAGES values each
+    return sums.select(
+        "axis", "value", (F.col("have") / F.sum("have").over(axis)).alias("wanted_share"), F.coalesce(F.try_divide(F.col("used"), F.sum("used").over(axis)), F.lit(0.0)).alias("actual_share")
+    )

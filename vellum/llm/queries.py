@@ -90,6 +90,10 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.actual_shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
 
 
+def p9_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.margins(table(spark, sf_dir, "documents"), table(spark, sf_dir, "source_targets"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetitive(table(spark, sf_dir, "documents"))
 
