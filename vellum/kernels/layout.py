@@ -48,27 +48,33 @@ class Line:
     width: float
     hang: float = 0.0
     hard: bool = False
+    start: int = 0
 
 
-def break_lines(text: str, width: float, indent: float = 0.0) -> list[Line]:
-    """Lines of a text in a measure of ``width`` em; the first is shorter by ``indent``.
+def break_lines(text: str, width: float, indent: float = 0.0, scale: list[float] | None = None) -> list[Line]:
+    """Lines of a text in a measure of ``width`` em; the first is shorter by ``indent``.  ``scale`` gives the
+    size of each character relative to the measure's em.
 
     A mark that must not begin a line hangs beyond the measure, up to 1.05 em in all, or takes up to four
     characters with it to the next line; a mark that must not end a line goes to the next one; a Latin word
     is not broken unless it fills a line alone; newlines always break.
     """
     out: list[Line] = []
+    base = -1
     for k, part in enumerate(text.split("\n")):
+        base += 1 if k == 0 else size + 1
+        size = len(part)
         first = indent if k == 0 else 0.0
         i, n = 0, len(part)
         if not n:
-            out.append(Line("", 0.0, hard=True))
+            out.append(Line("", 0.0, hard=True, start=base))
             continue
+        sizes = scale[base : base + n] if scale else None
         while i < n:
             room = width - (first if i == 0 else 0.0)
             used, j = 0.0, i
             while j < n:
-                w = advance(part[j]) + (gap(part[j - 1], part[j]) if j > i else 0.0)
+                w = advance(part[j]) * (sizes[j] if sizes else 1.0) + (gap(part[j - 1], part[j]) if j > i else 0.0)
                 if used + w > room + 1e-9 and j > i:
                     break
                 used += w
@@ -76,10 +82,10 @@ def break_lines(text: str, width: float, indent: float = 0.0) -> list[Line]:
             if j < n:
                 j = _break_at(part, i, j, used, room)
             shown = part[i:j].rstrip(" ") if j < n else part[i:j]
-            w = sum(advance(c) for c in shown) + sum(gap(a, b) for a, b in zip(shown, shown[1:]))
+            w = sum(advance(c) * (sizes[i + m] if sizes else 1.0) for m, c in enumerate(shown)) + sum(gap(a, b) for a, b in zip(shown, shown[1:]))
             last = shown[-1:]
             hang = 0.75 * advance(last) if last in BLANK_RIGHT else 0.5 * advance(last) if last in NO_START and last else 0.0
-            out.append(Line(shown, w, hang, hard=j >= n))
+            out.append(Line(shown, w, hang, j >= n, base + i))
             i = j
             while i < n and part[i] == " ":
                 i += 1

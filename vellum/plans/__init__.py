@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import archives, articles, layout, markdown, splitting
+from ..kernels import archives, articles, layout, markdown, splitting, typeset
 from ..kernels.arrow import per_row
 from ..kernels.latex import formula_runs
 from ..operators import html_blocks, txt
@@ -118,6 +118,36 @@ def pages(blocks: DataFrame, params: layout.Params = layout.Params()) -> DataFra
     return per_row(blocks.groupBy("doc_id").agg(F.collect_list(fields).alias("rows")), kernel, LINES)
 
 
+ELEMENTS = (
+    "doc_id long, page_index int, elem_ord int, block_index int, kind string, x double, y double, width double, height double, font_size double, hang double, text string, "
+    "segments array<struct<text:string,x:double,font_size:double,bold:boolean,italic:boolean,strikethrough:boolean>>"
+)
+
+
+def typeset_pages(blocks: DataFrame, sheet: typeset.Sheet = typeset.Sheet()) -> DataFrame:
+    """Placed elements on pages: styled text, tables, images and rules.
+
+    ``blocks`` has the columns of a block, of which runs, headers, rows and image may be missing; the image
+    sizes ``width_px`` and ``height_px`` are used where they are there.  As in pages(), a document is laid out
+    in one piece.
+    """
+    wanted = ("block_index", "kind", "level", "ordered", "order_index", "text", "runs", "headers", "rows", "image", "width_px", "height_px")
+
+    def kernel(doc_id, rows):
+        for r in typeset.typeset(sorted(rows, key=lambda b: b["block_index"]), sheet):
+            yield {"doc_id": doc_id, **r}
+
+    fields = F.struct(*[c for c in wanted if c in blocks.columns])
+    return per_row(blocks.groupBy("doc_id").agg(F.collect_list(fields).alias("rows")), kernel, ELEMENTS)
+
+
+def with_runs(blocks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Blocks with the array of their runs; a run that stands twice counts once."""
+    style = F.struct("run_index", "run_id", "text", "bold", "italic", "font_size", "color", "strikethrough")
+    each = runs.where("text is not null and text <> ''").dropDuplicates(["run_id"]).groupBy("doc_id", "block_index").agg(F.sort_array(F.collect_list(style)).alias("runs"))
+    return blocks.drop("runs").join(each, ["doc_id", "block_index"], "left")
+
+
 def epub_packages(pages_: DataFrame) -> DataFrame:
     """``article_id, epub, crc``: every article as a book of one chapter."""
 

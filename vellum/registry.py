@@ -812,3 +812,23 @@ def script_headers(spark: SparkSession, d: str) -> DataFrame:
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     """Stored files decoded as pages: charset of a meta element, UTF-8, GB18030."""
     return plans.page_texts(table(spark, d, "text_sources"))
+
+
+@query()
+def typeset_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with their styled runs as placed elements."""
+    return plans.typeset_pages(plans.with_runs(table(spark, d, "blocks"), table(spark, d, "text_runs"))).drop("segments")
+
+
+@query()
+def typeset_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Clipped pages, tables and images included, as placed elements."""
+    return plans.typeset_pages(plans.article_blocks(table(spark, d, "web_articles"))).drop("segments")
+
+
+@query("SELECT doc_id, block_index, count(DISTINCT run_id) AS n_runs, count(DISTINCT run_id) FILTER (bold) AS n_bold FROM text_runs WHERE text IS NOT NULL AND text <> '' AND doc_id IS NOT NULL GROUP BY ALL")
+def runs_of_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Runs gathered by block."""
+    keys = table(spark, d, "text_runs").select("doc_id", "block_index").distinct()
+    joined = plans.with_runs(keys, table(spark, d, "text_runs")).where("runs is not null")
+    return joined.select("doc_id", "block_index", F.size("runs").cast("long").alias("n_runs"), F.size(F.filter("runs", lambda r: r["bold"])).cast("long").alias("n_bold"))
