@@ -8,7 +8,7 @@ import zipfile
 
 from vellum import plans
 from vellum.functions.text import LINE_START_FORBIDDEN
-from vellum.kernels import archives, articles, layout, markdown
+from vellum.kernels import archives, articles, layout, markdown, xhtml
 from vellum.kernels.latex import formula_runs
 
 
@@ -161,3 +161,48 @@ def test_stream(spark, tmp_path):
     q = inbox.to_blocks(inbox.clips(spark, str(tmp_path / "in"), data.schema), str(tmp_path / "out"), str(tmp_path / "c2"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_safe_bodies():
+    html = '<div onclick="x()"><script>bad()</script><custom>a &amp; b&nbsp;<b class="q">c</b></custom><a href="/p?x=1&amp;y=2">l</a><a href="javascript:x">m</a><img data-src="//cdn.x/1.png" src="data:image/svg+xml,x" alt="q&quot;" width="3"><br><figure><img src="r.png"></figure><!-- gone --></div>'
+    body, images = xhtml.safe_body(html, "https://h.example/a/b")
+    assert body == (
+        '<div>a &amp; b&#160;<b>c</b><a href="https://h.example/p?x=1&amp;y=2">l</a><a>m</a><img src="https://cdn.x/1.png" alt="q&quot;"/><br/>'
+        '<figure><img src="https://h.example/a/r.png"/></figure></div>'
+    )
+    assert images == ["https://cdn.x/1.png", "https://h.example/a/r.png"]
+    assert "img" not in xhtml.safe_body(html, None, images=False)[0] and xhtml.safe_body(None, None) == ("", [])
+    deep = "<div><p>" * 5000 + "x" + "</p></div>" * 5000
+    assert "x" in xhtml.safe_body(deep, None)[0]
+    from xml.dom import minidom
+
+    minidom.parseString(f"<r>{body}</r>")
+
+
+def test_books_hold_their_images(spark):
+    import io
+    import zipfile
+
+    pages = [(1, "https://h.example/1", "T", '<p><b>x</b> <i>y</i></p><ul><li>z</li></ul><img src="https://c/1.png"><img src="https://c/2.png"><img src="https://c/1.png">'), (2, None, None, None)]
+    df = spark.createDataFrame(pages, "article_id long, url string, title string, content_html string")
+    images = spark.createDataFrame([("https://c/1.png", b"\x89PNG\r\n\x1a\n" + b"0" * 9), ("https://c/1.png", b"\x89PNG\r\n\x1a\n" + b"0" * 9), ("https://other", b"x")], "url string, content binary")
+    books = {r["article_id"]: bytes(r["epub"]) for r in plans.epub_packages(df, images).collect()}
+    with zipfile.ZipFile(io.BytesIO(books[1])) as z:
+        chapter = z.read("OEBPS/chapter_001.xhtml").decode()
+        assert z.namelist()[0] == "mimetype" and z.read("OEBPS/images/img_001.png").startswith(b"\x89PNG")
+        assert chapter.count('"../images/img_001.png"') == 2 and '"https://c/2.png"' in chapter and "<ul><li>z</li></ul>" in chapter and "<b>x</b>" in chapter
+        assert "images/img_001.png" in z.read("OEBPS/content.opf").decode()
+    plain = {r["article_id"]: bytes(r["epub"]) for r in plans.epub_packages(df).collect()}
+    with zipfile.ZipFile(io.BytesIO(plain[1])) as z:
+        assert "<img" not in z.read("OEBPS/chapter_001.xhtml").decode()
+    assert set(plain) == {1, 2}
+
+
+def test_hidden_parts_and_late_images():
+    from vellum.kernels.tree import parse
+
+    long = "folded text " * 30
+    root = articles.cleaned_page(parse(f'<div style="display: none">{long}</div><div hidden>advert</div><p class="related">r</p><p id="related">kept</p><noscript><img src="//c/n.png"></noscript><img data-src="//c/1.png" src="x">'))
+    text = articles.without_hidden(root).text()
+    assert "folded" in text and "advert" not in text and "kept" in text and ">r<" not in text
+    assert [e.attrs["src"] for e in root.walk() if e.tag == "img"] == ["https://c/n.png", "https://c/1.png"]

@@ -409,18 +409,30 @@ def parse_mobi(data: bytes) -> dict:
 
 
 def chapter_xhtml(title: str, body: str, indent: bool = True) -> str:
-    css = "" if indent else "<style>p { text-indent: 0; }</style>"
+    css = "" if indent else '<style type="text/css">p { text-indent: 0 !important; }</style>\n'
     return (
-        '<?xml version="1.0" encoding="utf-8"?>\n<html xmlns="http://www.w3.org/1999/xhtml"><head>'
-        f"<title>{escape(title)}</title>{css}</head><body><h1>{escape(title)}</h1>{body}</body></html>"
+        '<?xml version="1.0" encoding="utf-8"?>\n<!DOCTYPE html>\n<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops">\n'
+        f"<head><title>{escape(title)}</title>\n{css}</head>\n<body>\n<h1>{escape(title)}</h1>\n{body}\n</body>\n</html>\n"
     )
 
 
-def build_epub(title: str, chapters: list[tuple[str, str]], author: str = "", language: str = "zh", modified: str = "2000-01-01T00:00:00Z", images: dict[str, bytes] | None = None) -> bytes:
+def image_suffix(data: bytes) -> str:
+    """Suffix under which an image is stored, jpg where its first bytes tell nothing."""
+    head = bytes(data[:12])
+    if head.startswith(b"\x89P") and len(data) > 8:
+        return "png"
+    if head.startswith(b"GI") and len(data) > 6:
+        return "gif"
+    if head[8:10] == b"WE" and len(data) > 12:
+        return "webp"
+    return "bmp" if head.startswith(b"BM") and len(data) > 2 else "jpg"
+
+
+def build_epub(title: str, chapters: list[tuple[str, str]], author: str = "", language: str = "zh", modified: str = "2000-01-01T00:00:00Z", images: dict[str, bytes] | None = None, indent: bool = True) -> bytes:
     """An EPUB 3 package: the type first and stored, container, package, both outlines, chapters, images."""
     names = [f"chapter_{i:03d}" for i in range(1, len(chapters) + 1)]
     images = images or {}
-    kinds = {"png": "image/png", "gif": "image/gif", "webp": "image/webp"}
+    kinds = {"png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}
     items = "".join(f'<item id="{n}" href="{n}.xhtml" media-type="application/xhtml+xml"/>' for n in names)
     items += "".join(f'<item id="i{k}" href="images/{n}" media-type="{kinds.get(n.rpartition(".")[2], "image/jpeg")}"/>' for k, n in enumerate(images))
     spine = "".join(f'<itemref idref="{n}"/>' for n in names)
@@ -451,7 +463,7 @@ def build_epub(title: str, chapters: list[tuple[str, str]], author: str = "", la
         put("OEBPS/toc.ncx", ncx)
         put("OEBPS/nav.xhtml", nav)
         for (t, body), n in zip(chapters, names):
-            put(f"OEBPS/{n}.xhtml", chapter_xhtml(t, body))
+            put(f"OEBPS/{n}.xhtml", chapter_xhtml(t, body, indent))
         for n, data in images.items():
             put(f"OEBPS/images/{n}", data)
     return out.getvalue()

@@ -210,7 +210,7 @@ def is_hidden(node: Element) -> bool:
 
 def without_hidden(root: Element) -> Element:
     """Without what a page still hides once folded text is shown."""
-    for node in root.walk():
+    for node in (root, *root.walk()):
         node.children = [c for c in node.children if isinstance(c, str) or not is_hidden(c)]
     return root
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr mbp:pagebreak".split())
@@ -21,14 +22,22 @@ class Element:
         return [c for c in self.children if isinstance(c, Element)]
 
     def walk(self):
-        """All elements below, in document order."""
-        for c in self.children:
-            if isinstance(c, Element):
-                yield c
-                yield from c.walk()
+        """All elements below, in document order, however deep."""
+        todo = self.elements()[::-1]
+        while todo:
+            node = todo.pop()
+            yield node
+            todo += node.elements()[::-1]
 
     def text(self) -> str:
-        return "".join(c if isinstance(c, str) else c.text() for c in self.children)
+        out, todo = [], self.children[::-1]
+        while todo:
+            c = todo.pop()
+            if isinstance(c, str):
+                out.append(c)
+            else:
+                todo += c.children[::-1]
+        return "".join(out)
 
     def find(self, *tags: str) -> Element | None:
         return next((e for e in self.walk() if e.tag in tags), None)
@@ -63,7 +72,11 @@ class _Builder(HTMLParser):
 
 
 def parse(markup: str) -> Element:
-    """Root of a page; end tags that match nothing are ignored, open elements end with the page."""
+    """Root of a page; end tags that match nothing are ignored, open elements end with the page.
+
+    Pages may nest as deep as they are long, and walks over them call themselves at each level.
+    """
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * markup.count("<") + 10_000))
     builder = _Builder()
     builder.feed(markup)
     builder.close()

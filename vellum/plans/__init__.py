@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import archives, articles, layout, markdown, splitting, typeset
+from ..kernels import archives, articles, layout, markdown, splitting, typeset, xhtml
 from ..kernels.arrow import per_row
 from ..kernels.latex import formula_runs
 from ..operators import html_blocks, txt
@@ -148,19 +148,43 @@ def with_runs(blocks: DataFrame, runs: DataFrame) -> DataFrame:
     return blocks.drop("runs").join(each, ["doc_id", "block_index"], "left")
 
 
-def epub_packages(pages_: DataFrame) -> DataFrame:
-    """``article_id, epub, crc``: every article as a book of one chapter."""
+def book_bodies(pages_: DataFrame, images: bool = True) -> DataFrame:
+    """``article_id, body, images``: pages as safe XHTML, with the addresses of their images."""
 
-    def kernel(article_id, title, content):
-        body = "".join(
-            f"<h{b['level']}>{archives.escape(b['text'] or '')}</h{b['level']}>" if b["kind"] == "heading" else f"<p>{archives.escape(b['text'] or '')}</p>"
-            for b in articles.article_blocks(article_id, None, content)
-            if b["text"]
-        )
-        data = archives.build_epub(title or "", [(title or "", body)])
-        yield {"article_id": article_id, "epub": data, "crc": zlib.crc32(data)}
+    def kernel(article_id, url, content):
+        body, found = xhtml.safe_body(content, url, images)
+        yield {"article_id": article_id, "body": body, "images": found}
 
-    return per_row(pages_.select("article_id", "title", "content_html"), kernel, "article_id long, epub binary, crc long")
+    return per_row(pages_.select("article_id", "url", "content_html"), kernel, "article_id long, body string, images array<string>")
+
+
+def epub_packages(pages_: DataFrame, images: DataFrame | None = None, indent: bool = True) -> DataFrame:
+    """``article_id, epub, crc``: every article as a book of one chapter.
+
+    ``images`` (``url, content``) are the images at hand: those an article shows become files of its book,
+    named in order of appearance; addresses of others stay.  Without it books hold no images.  Images meet
+    their articles by address, so one that many articles show is sent once to each of them.
+    """
+    names = ("article_id", "title", "body", "images", "files")
+    books = book_bodies(pages_, images is not None).join(pages_.select("article_id", "title"), "article_id")
+    if images is None:
+        books = books.withColumn("files", F.lit(None).cast("array<struct<url:string,content:binary>>"))
+    else:
+        known = images.where("content is not null").dropDuplicates(["url"]).select("url", "content")
+        used = books.select("article_id", F.explode("images").alias("url")).join(known, "url")
+        books = books.join(used.groupBy("article_id").agg(F.collect_list(F.struct("url", "content")).alias("files")), "article_id", "left")
+
+    def kernel(article_id, title, body, shown, files):
+        content = {f["url"]: f["content"] for f in files or []}
+        local, data = {}, {}
+        for url in shown or []:
+            if url in content:
+                local[url] = f"img_{len(local) + 1:03d}.{archives.image_suffix(content[url])}"
+                data[local[url]] = bytes(content[url])
+        book = archives.build_epub(title or "", [(title or "", xhtml.with_local_images(body, local))], images=data, indent=indent)
+        yield {"article_id": article_id, "epub": book, "crc": zlib.crc32(book)}
+
+    return per_row(books.select(*names), kernel, "article_id long, epub binary, crc long")
 
 
 def file_parts(files: DataFrame, count: int) -> DataFrame:

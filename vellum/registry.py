@@ -832,3 +832,18 @@ def runs_of_blocks(spark: SparkSession, d: str) -> DataFrame:
     keys = table(spark, d, "text_runs").select("doc_id", "block_index").distinct()
     joined = plans.with_runs(keys, table(spark, d, "text_runs")).where("runs is not null")
     return joined.select("doc_id", "block_index", F.size("runs").cast("long").alias("n_runs"), F.size(F.filter("runs", lambda r: r["bold"])).cast("long").alias("n_bold"))
+
+
+@query()
+def safe_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Clipped pages as XHTML for books."""
+    return plans.book_bodies(table(spark, d, "web_articles"))
+
+
+@query(f"""WITH {IMG_SQL.replace("WITH a AS", "a AS", 1).rstrip()[: IMG_SQL.replace("WITH a AS", "a AS", 1).rstrip().rindex("SELECT article_id, (row_number()")]}
+SELECT article_id, count(*) AS n_images FROM m WHERE regexp_matches(url, '(?i)^https?://') AND NOT EXISTS (SELECT 1 FROM web_articles w WHERE w.article_id = m.article_id AND regexp_matches(content_html, '(?i)<(script|style|noscript|iframe)')) GROUP BY 1""")
+def images_of_books(spark: SparkSession, d: str) -> DataFrame:
+    """Images that the books of pages without scripts show."""
+    pages = table(spark, d, "web_articles").where(~F.coalesce(F.col("content_html").rlike("(?i)<(script|style|noscript|iframe)"), F.lit(False)))
+    bodies = plans.book_bodies(pages)
+    return bodies.where(F.size("images") > 0).select("article_id", F.size("images").cast("long").alias("n_images"))
