@@ -301,6 +301,12 @@ def test_p8_equals_public_library(spark):
     assert got == {i: encoding.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
 
 
+def test_p6_pages_of_any_depth():
+    deep = "<div><p>" * 20000 + "x *y*" + "<pre>a\nb</pre>"
+    assert [u[2] for u in markup.units(markup.tree(deep))] == ["x *y*", "```\na\nb\n```"]
+    assert markup.markup_kind("*" + "word " * 60 + "end*") == "markdown" and markup.markup_kind("$x " + "+ y " * 60 + "= z$") == "latex"
+
+
 def test_p9_weights_meet_targets():
     rnd = random.Random(2)
     targets = {"a": (0.5, 1), "b": (0.3, 3), "c": (0.2, 4)}
