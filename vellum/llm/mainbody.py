@@ -14,14 +14,18 @@ length are read whole; empty tables give empty results and columns not named her
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package, spread
 from .arrow import map_rows
 from .residue import MESSAGE_WIDTH, PLACEHOLDER, is_residue, line_residue, message, says_message, terms, width
 from .web import brand, key, lines_of, same_text, site_and_page
@@ -176,8 +180,8 @@ def slug_terms(url: str | None) -> set[str]:
     return terms(path.rsplit(".", 1)[0].replace("-", " ").replace("_", " "))
 
 
-def features(article_id, url, title, content) -> Iterator[tuple]:
-    """The features of one article: its keys and a row for the title (line_no -1) and for every line that
+def features(article_id, url, title, content, lines=None) -> Iterator[tuple]:
+    """The features of one article (``lines`` if they were read already): its keys and a row for the title (line_no -1) and for every line that
     shows text or an image.  Only lines on which the counts can have a say carry keys to be counted."""
     site, page = site_and_page(url)
     site_key, page_key, name = (key(site), key(page), brand(site)) if site else (None, None, None)
@@ -194,7 +198,7 @@ def features(article_id, url, title, content) -> Iterator[tuple]:
     last_no = len(raws) - 1
     while last_no > 0 and not raws[last_no].strip():
         last_no -= 1
-    lines = lines_of(content)
+    lines = lines_of(content) if lines is None else lines
     for line in lines:
         text, raw = line.text, line.raw
         w = width(text)
@@ -463,8 +467,10 @@ def page_lines(articles: DataFrame) -> DataFrame:
 SPIKE_PAGES, SPIKE_TIMES, SPIKE_NEAR = 3, 8, 64
 #: A word can end a sentence if it does so on this share of the pages that show it.
 FINAL_SHARE = 0.05
-#: Places of the bit map of the tails in question that tasks receive.
-TAIL_BITS = 23
+#: Places of the bit map of the pages with several clips that tasks receive.
+PAGE_BITS = 23
+#: Words that a task counts before it passes the counts on.
+WORDS_HELD = 1 << 18
 #: Words as _tail() takes them: runs of letters, or two characters of unspaced text.
 SPACED = re.compile(r"[^\W_\u3040-\U0010ffff](?:[^\W_\u3040-\U0010ffff]|['’](?=['’]*[^\W_\u3040-\U0010ffff]))*|['’]+(?:[^\W_\u3040-\U0010ffff]|['’](?=['’]*[^\W_\u3040-\U0010ffff]))+")
 #: The end of a sentence inside a line.
@@ -504,61 +510,119 @@ def tail_words(text: str) -> set[str]:
     return words
 
 
-def _words_kernel(bits):
-    def make():
-        asked = bits.value
-        known: dict[str, int | None] = {}
+def page_words(lines: list) -> tuple[set[str], set[str]]:
+    """The words that long lines of a page show, and those that end a sentence there."""
+    words: set[str] = set()
+    final: set[str] = set()
+    for line in lines:
+        text = line.text
+        if line.in_code or line.in_page_tag or width(text) < SENTENCE_WIDTH:
+            continue
+        words |= tail_words(text)
+        at = 0
+        for m in STOPS.finditer(text):
+            final.add(_tail(text[max(at, m.start() - 80) : m.start()]))
+            at = m.end()
+        if _ending(text) == END_STOP:
+            final.add(_tail(text))
+    final = {w for w in final if w and not w[-1].isdigit()}
+    return words | final, final
+
+
+def _page_kernel():
+    def kernel(url):
+        page = site_and_page(url)[1]
+        if page:
+            yield (key(page),)
+
+    return kernel
+
+
+def clipped_again(articles: DataFrame) -> bytes:
+    """Bit map of the pages that have several clips, of a fixed size; other pages may share their bits."""
+    mask = (1 << PAGE_BITS) - 1
+    pages = map_rows(articles.select("url"), _page_kernel, "page long").groupBy("page").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    at = F.col("page").bitwiseAND(mask)
+    rows = pages.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast((page & {mask}) & 63 as int))").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    bits = bytearray(1 << (PAGE_BITS - 3))
+    for w, v in rows.toLocalIterator():
+        bits[8 * w : 8 * w + 8] = (v & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
+    return bytes(bits)
+
 
-        def number(word: str) -> int | None:
-            """Key of a word that may be in question."""
+WORDS = "word_page long, shown array<struct<tail:long,final:boolean>>, words array<struct<tail:long,n:long,n_final:long>>"
+
+
+def features_and_words(articles: DataFrame) -> DataFrame:
+    """Features as of page_features(), and what is needed to tell which words end sentences.
+
+    The words of a page with one clip are added up within the task and come as rows of their own, with
+    ``words`` and nothing else.  A page with several clips must count once: its clips carry their words in
+    ``shown``, to be made distinct by ``word_page``; so do clips without a page, by their content.
+    """
+    again = articles.sparkSession.sparkContext.broadcast(clipped_again(articles))  # 2**PAGE_BITS bits
+    out = _parse_datatype_string(f"{FEATURES}, {WORDS}")
+    target = to_arrow_schema(out)
+    no_lines = (None,) * 5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, shown_in, final_in = again.value, Counter(), Counter()
+        known: dict[str, int] = {}
+
+        def number(word: str) -> int:
             if word not in known:
-                if len(known) >= 1 << 17:
+                if len(known) >= WORDS_HELD:
                     known.clear()
-                k = key(word)
-                at = k & ((1 << TAIL_BITS) - 1)
-                known[word] = k if asked[at >> 3] >> (at & 7) & 1 else None
+                known[word] = key(word)
             return known[word]
 
-        def kernel(url, content):
-            site, page = site_and_page(url)
-            words, final = set(), set()
-            for line in lines_of(content):
-                if line.in_code or line.in_page_tag or width(line.text) < SENTENCE_WIDTH:
-                    continue
-                words |= tail_words(line.text)
-                at = 0
-                for m in STOPS.finditer(line.text):
-                    final.add(_tail(line.text[max(at, m.start() - 80) : m.start()]))
-                    at = m.end()
-                if _ending(line.text) == END_STOP:
-                    final.add(_tail(line.text))
-            for word in words | final:
-                if word and (k := number(word)) is not None:
-                    yield k, key(page) if page else key(content), word in final and not word[-1].isdigit()
-
-        return kernel
-
-    return make
-
-
-def final_words(articles: DataFrame, asked: DataFrame) -> DataFrame:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), target)], schema=target)
+
+        def counted() -> pa.RecordBatch:
+            row = (*no_lines, None, None, [{"tail": key(w), "n": n, "n_final": final_in[w]} for w, n in shown_in.items()])
+            shown_in.clear()
+            final_in.clear()
+            return batch_of([row])
+
+        for batch in batches:
+            rows = []
+            for article_id, url, title, content in zip(*(c.to_pylist() for c in batch.columns)):
+                lines = lines_of(content)
+                row = next(features(article_id, url, title, content, lines))
+                words, final = page_words(lines)
+                page = row[2]
+                at = (page or 0) & ((1 << PAGE_BITS) - 1)
+                if page is None or bits[at >> 3] >> (at & 7) & 1:
+                    shown = [{"tail": number(w), "final": w in final} for w in words]
+                    rows.append((*row, page if page is not None else key(content or ""), shown, None))
+                else:
+                    shown_in.update(words)
+                    final_in.update(final)
+                    rows.append((*row, None, None, None))
+            if rows:
+                yield batch_of(rows)
+            if len(shown_in) >= WORDS_HELD:
+                yield counted()
+        if shown_in:
+            yield counted()
+
+    ship_package(articles.sparkSession)
+    return spread(articles.select("article_id", "url", "title", "content_html")).mapInArrow(run, out)
+
+
+def final_words(pages: DataFrame, asked: DataFrame) -> DataFrame:
     """``tail``: those of ``asked`` that end a sentence on FINAL_SHARE of the distinct pages that show them.
 
-    A bit map of bounded size leaves out most words before the shuffle; the join with ``asked`` is exact.
+    ``pages`` comes from features_and_words().
     """
     tails = asked.where("tail is not null").select("tail").distinct()
-    at = F.col("tail").bitwiseAND((1 << TAIL_BITS) - 1)
-    bits = bytearray(1 << (TAIL_BITS - 3))
-    rows = tails.groupBy(F.shiftright(at, 3).alias("b")).agg(F.bit_or(F.expr(f"shiftleft(1, cast((tail & {(1 << TAIL_BITS) - 1}) & 7 as int))")).alias("v"))
-    for b, v in rows.toLocalIterator():
-        bits[b] = v
-    shown = map_rows(
-        articles.where("content_html is not null").select("url", "content_html"),
-        _words_kernel(articles.sparkSession.sparkContext.broadcast(bytes(bits))), "tail long, page long, final boolean",
-    )
+    once = pages.where("words is not null").select(F.explode("words").alias("w")).select("w.tail", "w.n", "w.n_final")
+    again = pages.where("shown is not null").select("word_page", F.explode("shown").alias("w")).select("w.tail", "word_page", "w.final")
+    distinct = again.join(tails, "tail", "left_semi").groupBy("tail", "word_page").agg(F.max("final").alias("final"))
+    each = distinct.groupBy("tail").agg(F.count(F.lit(1)).alias("n"), F.count_if("final").alias("n_final"))
     return (
-        shown.groupBy("tail", "page").agg(F.max("final").alias("final")).groupBy("tail")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("final").alias("n_final"))
+        once.unionByName(each).groupBy("tail").agg(F.sum("n").alias("n"), F.sum("n_final").alias("n_final"))
         .where(F.col("n_final") >= FINAL_SHARE * F.col("n")).join(tails, "tail", "left_semi").select("tail")
     )
 
@@ -570,9 +634,10 @@ def cut_verdicts(articles: DataFrame) -> DataFrame:
     blank, a prompt to unfold the rest), or if it breaks off without terminal punctuation and either
     stops at a length spike of its site or at a word that seldom ends a sentence where it stands in the corpus.
     """
-    _, verdicts = analysed(articles)
+    pages = cut_lineage(features_and_words(articles))
+    verdicts = judged(pages.where("words is null"))
     ends = cut_lineage(verdicts.where("not residue").select("article_id", "site_key", "page_key", "verdict", "tail", "chars", "bytes"))
-    finals = final_words(articles, ends.where(F.col("verdict") == OPEN_QUESTION)).withColumn("final", F.lit(True))
+    finals = final_words(pages, ends.where(F.col("verdict") == OPEN_QUESTION)).withColumn("final", F.lit(True))
     spikes = length_spikes(ends)
     shared = spikes.where("unit = 'chars' and site_key is null").select(F.col("size").alias("chars"), F.lit(True).alias("spike_a"))
     spikes = spikes.where("site_key is not null")
