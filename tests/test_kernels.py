@@ -206,3 +206,53 @@ def test_hidden_parts_and_late_images():
     text = articles.without_hidden(root).text()
     assert "folded" in text and "advert" not in text and "kept" in text and ">r<" not in text
     assert [e.attrs["src"] for e in root.walk() if e.tag == "img"] == ["https://c/n.png", "https://c/1.png"]
+
+
+def epub(chapters, ncx):
+    items = "".join(f'<item id="c{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, (n, _) in enumerate(chapters))
+    spine = "".join(f'<itemref idref="c{i}"/>' for i in range(len(chapters)))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="OPS/b.opf"/></rootfiles></container>')
+        z.writestr("OPS/b.opf", f'<package><manifest><item id="n" href="t.ncx" media-type="application/x-dtbncx+xml"/>{items}</manifest><spine>{spine}</spine></package>')
+        z.writestr("OPS/t.ncx", "<ncx><navMap>" + "".join(f'<navPoint><navLabel><text>{t}</text></navLabel><content src="{s}"/></navPoint>' for t, s in ncx) + "</navMap></ncx>")
+        for n, body in chapters:
+            z.writestr(f"OPS/{n}", f"<html><body>{body}</body></html>")
+    return out.getvalue()
+
+
+def test_epub_anchors_are_exact():
+    one = '<p>same</p><p id="b">same</p><a id="c"/><p>next <b id="d">x</b></p><ul id="e"><li>i</li><li><p id="f">k</p></li></ul><table id="g"><tr><td>v</td></tr></table><pre id="h">code</pre><p id="b">again</p><div id="z"/>'
+    two = '<p id="B">other</p><img id="i" src="x.png"/><p>end</p>'
+    toc = [("b", "one.xhtml#b"), ("c", "one.xhtml#c"), ("d", "one.xhtml#d"), ("e", "ONE.xhtml#E"), ("f", "one.xhtml#f"), ("g", "one.xhtml#g"), ("h", "one.xhtml#h"), ("B", "gone.xhtml#B"), ("file", "one.xhtml#none"), ("fuzzy", "x/two.xhtml"), ("drop", "no.xhtml#no"), ("z", "one.xhtml#z")]
+    book = archives.parse_epub(epub([("one.xhtml", one), ("two.xhtml", two)], toc))
+    blocks = book["blocks"]
+    assert not any("" in str(b) for b in blocks)
+    at = {t["title"]: t["block_index"] for t in book["toc"]}
+    text = {t: blocks[i]["text"] for t, i in at.items()}
+    assert at["b"] == 1 and text["c"] == "next x" and text["d"] == "next x" and text["e"] == "i" and text["f"] == "k" and blocks[at["g"]]["kind"] == "table"
+    assert text["h"] == "code" and text["B"] == "other" and at["file"] == 0 and text["fuzzy"] == "other" and "drop" not in at and text["z"] == "again"
+    assert archives.normal_path("OPS/b.opf", "./.hidden/../.x.html") == "OPS/.x.html" and archives.normal_path("a/b", "/c//d") == "c/d" and archives.normal_path("b", "../../c") == "c"
+
+
+def test_mobi_newer_form():
+    import struct
+
+    old = mobi(b"<p>old</p>")
+    count = struct.unpack(">H", old[76:78])[0]
+    offsets = [struct.unpack(">L", old[78 + 8 * i : 82 + 8 * i])[0] for i in range(count)] + [len(old)]
+    records = [bytearray(old[a:b]) for a, b in zip(offsets, offsets[1:])]
+    exth = records[0].find(b"EXTH")
+    number = struct.unpack(">L", records[0][exth + 8 : exth + 12])[0]
+    records[0][exth + 8 : exth + 12] = struct.pack(">L", number + 1)
+    records[0][exth + 12 : exth + 12] = struct.pack(">LLL", 121, 12, len(records))
+    head = bytearray(300)
+    head[0:2], head[8:10] = struct.pack(">H", 1), struct.pack(">H", 1)
+    head[16:20], head[20:24] = b"MOBI", struct.pack(">L", 232)
+    records += [head, bytearray(b"<p>newer</p>")]
+    table, at = b"", 78 + 8 * len(records)
+    for r in records:
+        table += struct.pack(">LL", at, 0)
+        at += len(r)
+    data = old[:76] + struct.pack(">H", len(records)) + table + b"".join(records)
+    assert [b["text"] for b in archives.parse_mobi(data)["blocks"]] == ["newer"]

@@ -11,10 +11,10 @@ from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
-from ..schemas import block, numbered, run
+from ..schemas import block, merged, numbered, run
 from ..sources.decode import decode_file
 from .articles import container_blocks
-from .tree import Element, parse
+from .tree import VOID, Element, parse
 
 
 def local(tag: str) -> str:
@@ -27,8 +27,16 @@ def _children(node: ET.Element, name: str) -> list[ET.Element]:
 
 def normal_path(base: str, href: str) -> str:
     """Path of a reference inside an archive: percent-decoded, without fragment and query, dots resolved."""
-    target = unquote(re.split(r"[#?]", href)[0])
-    return posixpath.normpath(posixpath.join(posixpath.dirname(base), target)).lstrip("./")
+    target = unquote(re.split(r"[#?]", href)[0].strip()).replace("\\", "/")
+    if not target:
+        return base
+    out: list[str] = []
+    for part in (target if target.startswith("/") else posixpath.join(posixpath.dirname(base), target)).split("/"):
+        if part == "..":
+            out = out[:-1]
+        elif part not in ("", "."):
+            out.append(part)
+    return "/".join(out)
 
 
 def archive(data: bytes) -> dict[str, bytes]:
@@ -77,8 +85,8 @@ def parse_epub(data: bytes) -> dict:
             continue
         try:
             root = parse(decode_file(raw, False) or "")
-            body = root.find("body") or root
-            part = _shift_headings(container_blocks(body))
+            part, places = _placed_blocks(root.find("body") or root)
+            part = _shift_headings(part)
         except Exception:
             continue
         if not part:
@@ -86,7 +94,9 @@ def parse_epub(data: bytes) -> dict:
         if blocks:
             blocks.append(block("page_break"))
         starts.setdefault(path, len(blocks))
-        _place_anchors(body, path, part, len(blocks), anchors)
+        for name, k in places:
+            for found in ((path, name), (path.lower(), name.lower()), ("", name), ("", name.lower())):
+                anchors.setdefault(found, len(blocks) + k)
         blocks += part
     toc = _epub_outline(files, opf, opf_path, manifest, anchors, starts)
     if not toc:
@@ -95,20 +105,62 @@ def parse_epub(data: bytes) -> dict:
             "toc": [{"toc_ord": i, "title": t, "level": lv, "block_index": b} for i, (t, lv, b) in enumerate(toc)]}
 
 
-def _place_anchors(body: Element, path: str, part: list[dict], base: int, anchors: dict) -> None:
-    """Ids of elements at the first block whose text theirs begins; the first definition of an id counts."""
-    at = 0
-    for e in body.walk():
-        name = e.attrs.get("id") or e.attrs.get("name")
-        text = " ".join(e.text().split())
-        if text:
-            for k in range(at, len(part)):
-                shown = " ".join((part[k]["text"] or "").split())
-                if shown and (text.startswith(shown) or shown.startswith(text)):
-                    at = k
+#: Marks of an element's place in its text, taken out again once blocks are made.
+PLACE = re.compile("\ue0f0(\\d+)\ue0f1")
+#: Elements whose own text is no text: their mark goes into the first element below that has some.
+STRUCTURAL = frozenset("table thead tbody tfoot tr ul ol dl colgroup".split())
+
+
+def _names(e: Element) -> list[str]:
+    return [n for n in (e.attrs.get("id", "").strip(), e.attrs.get("name", "").strip() if e.tag == "a" else "") if n]
+
+
+def _placed_blocks(body: Element) -> tuple[list[dict], list[tuple[str, int]]]:
+    """Blocks of a chapter, and the names of elements with the block in which each begins.
+
+    Each named element is marked in its text; a mark is found again in the block that its text became, and
+    one alone in its block stands for the block that follows.
+    """
+    named: list[str] = []
+    for e in [body, *body.walk()]:
+        for name in _names(e):
+            mark = f"\ue0f0{len(named)}\ue0f1"
+            named.append(name)
+            at = e
+            while at.tag in STRUCTURAL:
+                below = at.elements()
+                if not below:
                     break
-        if name:
-            anchors.setdefault((path, name), base + at)
+                at = below[0]
+            if at.tag in VOID and at.parent is not None:
+                at.parent.children.insert(at.parent.children.index(at), mark)
+            else:
+                at.children.insert(0, mark)
+    places: list[tuple[str, int]] = []
+    out: list[dict] = []
+
+    def bare(text: str | None) -> str | None:
+        if not text or "\ue0f0" not in text:
+            return text
+        places.extend((named[int(n)], len(out)) for n in PLACE.findall(text))
+        return PLACE.sub("", text)
+
+    def bare_runs(runs: list[dict] | None) -> list[dict] | None:
+        return runs and merged([r | {"text": bare(r["text"])} for r in runs])
+
+    for b in container_blocks(body):
+        marked = any("\ue0f0" in (r["text"] or "") for r in b["runs"] or []) or "\ue0f0" in (b["text"] or "")
+        b = b | {"runs": bare_runs(b["runs"]), "headers": b["headers"] and [bare_runs(c) for c in b["headers"]], "rows": b["rows"] and [[bare_runs(c) for c in r] for r in b["rows"]]}
+        if b["runs"] is not None:
+            if marked and b["runs"]:
+                b["runs"][0] = b["runs"][0] | {"text": b["runs"][0]["text"].lstrip()}
+            b["text"] = "".join(r["text"] for r in b["runs"])
+        else:
+            b["text"] = bare(b["text"])
+        if marked and not (b["text"] or "").strip() and b["kind"] in ("paragraph", "list_item", "quote", "heading"):
+            continue  # the mark stood alone
+        out.append(b)
+    return out, [(n, min(k, max(len(out) - 1, 0))) for n, k in places]
 
 
 def _epub_outline(files, opf, opf_path, manifest, anchors, starts) -> list[tuple[str, int, int]]:
@@ -138,11 +190,14 @@ def _epub_outline(files, opf, opf_path, manifest, anchors, starts) -> list[tuple
                     depth += up.tag == "ol"
                     up = up.parent
                 entries.append((" ".join(a.text().split()), max(depth, 0), normal_path(path, a.attrs["href"]), a.attrs["href"].partition("#")[2]))
+    by_path = {p.lower(): i for p, i in reversed(starts.items())}
     by_name = {p.rpartition("/")[2].lower(): i for p, i in reversed(starts.items())}
     out = []
     for title, level, path, anchor in entries:
-        at = anchors.get((path, anchor)) if anchor else None
+        keys = ((path, anchor), (path.lower(), anchor.lower()), ("", anchor), ("", anchor.lower())) if anchor else ()
+        at = next((anchors[k] for k in keys if k in anchors), None)
         at = starts.get(path) if at is None else at
+        at = by_path.get(path.lower()) if at is None else at
         at = by_name.get(path.rpartition("/")[2].lower()) if at is None else at
         if at is not None and title:
             out.append((title, level, at))
@@ -366,7 +421,7 @@ def parse_mobi(data: bytes) -> dict:
         )
         if encryption:
             return _failed("MOBI: the book is encrypted")
-        charset, flags, title, author = 65001, 0, "", ""
+        charset, flags, title, author, boundary, start = 65001, 0, "", "", -1, 1
         if head[16:20] == b"MOBI":
             size, charset = struct.unpack(">L", head[20:24])[0], struct.unpack(">L", head[28:32])[0]
             if size >= 228 and len(head) >= 244:
@@ -382,9 +437,18 @@ def parse_mobi(data: bytes) -> dict:
                     if kind == 100:
                         author = value.decode("utf-8", "replace")
                     elif kind == 503:
-                        title = value.decode("utf-8", "replace")
+                        title = value.decode("utf-8", "replace").strip() or title
+                    elif kind == 121 and len(value) == 4:
+                        boundary = struct.unpack(">L", value)[0]
                     at += max(length, 8)
-        parts = [_trailing(r, flags) for r in records[1 : 1 + n_text]]
+        title = title.strip() or data[:32].decode("latin-1").strip().strip("\0") or "MOBI 电子书"
+        if 0 < boundary < count and len(newer := records[boundary]) >= 32:
+            how, n_newer, secret = *struct.unpack(">H", newer[:2]), *struct.unpack(">H", newer[8:10]), *struct.unpack(">H", newer[12:14])
+            if not secret and n_newer and how in (1, 2, 0x4448):  # the newer form of the book follows the older one
+                compression, n_text, start, head = how, n_newer, boundary + 1, newer
+                if newer[16:20] == b"MOBI" and struct.unpack(">L", newer[20:24])[0] >= 228 and len(newer) >= 244:
+                    flags = struct.unpack(">H", newer[242:244])[0]
+        parts = [_trailing(r, flags) for r in records[start : start + n_text]]
         if compression == 2:
             raw = b"".join(palmdoc(p) for p in parts)
         elif compression == 0x4448:
