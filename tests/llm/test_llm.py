@@ -406,3 +406,17 @@ def test_every_problem_has_its_query():
     assert {f"p{i}_found" for i in (1, 2, 3, 4, 5, 6, 7, 10)} | {"p8_ids", "p9_mix"} <= set(names)
     assert arrow and web.site_and_page("HTTP://User@A.B:80/c?d#e") == ("a.b:80", "a.b:80/c") and web.site_and_page("x") == (None, None)
     assert F is not None
+
+
+def test_p6_pages_by_wrapper(spark):
+    def page(i, extra=""):
+        return f"<div><p>Part of the *site* set</p><p>own text {chr(97 + i)}</p>{extra}</div>"
+
+    rows = [(i, f"https://s.example/{i}", "t", page(i, "<p>see [a](https://x.example)</p>" if i == 3 else "")) for i in range(8)]
+    rows += [(20, None, "t", "<p>**b**</p>"), (21, "https://t.example/1", None, None), (22, "https://t.example/2", "t", ""), (23, "https://t.example/3", "t", "<p>plain * text</p><pre>**x**</pre>")]
+    rows += [(24, "https://t.example/4", "t", "<p>list</p>\n<p>- one</p>\n<p>- two</p>"), (0, rows[0][1], "t", rows[0][3])]
+    got = {r["article_id"]: (r["n_slots"], r["n_templates"]) for r in markup.markup_places(frame(spark, rows, ARTICLE)).collect()}
+    assert got == {**{i: (0, 1) for i in range(8)}, 3: (1, 1), 20: (1, 0), 24: (1, 0)}
+    none = frame(spark, [], "run_id long, text string")
+    assert {tuple(r) for r in markup.with_markup(none, frame(spark, rows, ARTICLE)).collect()} == {("article", i) for i in got}
+    assert markup.with_markup(none, frame(spark, [], ARTICLE)).count() == 0

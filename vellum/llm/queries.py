@@ -61,6 +61,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.with_markup(table(spark, sf_dir, "text_runs"), table(spark, sf_dir, "web_articles"))
 
 
+def p6_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.markup_places(table(spark, sf_dir, "web_articles"))
+
+
 def p6_clean_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_runs(table(spark, sf_dir, "text_runs"))
 
