@@ -150,3 +150,11 @@ def test_code_is_framed_wrapped_and_kept_together():
     pages = [r["page_index"] for r in rows if r["block_index"] == 50 and r["kind"] == "text"]
     assert all(len(set(pages[k : k + 4])) == 1 for k in range(0, 36, 4))
     assert laid([para(0, "", "code")])[0]["text"] == "" and laid([para(0, None)]) == []
+
+
+def test_wide_diagrams_shrink_alike():
+    wide = "┌" + "─" * 60 + "┐\n│ 甲" + " " * 57 + "│\n└" + "─" * 60 + "┘"
+    top, middle, bottom = typeset.compacted(wide.split("\n"))
+    assert typeset.columns_of(top) == typeset.columns_of(middle) == typeset.columns_of(bottom) < 12
+    assert "甲" in middle and middle.endswith("│") and typeset.compacted(["┌──┐", "└──┘"]) == ["┌──┐", "└──┘"] and typeset.compacted([]) == []
+    assert typeset.compacted(["no box " * 20]) == ["no box " * 20]

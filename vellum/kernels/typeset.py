@@ -206,13 +206,46 @@ def wrapped_code(line: str, target: int) -> list[str]:
     return [*out, rest]
 
 
+DRAWN = frozenset("│┌┐└┘├┤┬┴┼─╭╮╰╯║═╔╗╚╝")
+FILLERS = frozenset(" ─-")
+WIDE_DIAGRAM = 45
+
+
+def compacted(lines: list[str]) -> list[str]:
+    """A wide diagram without the columns that only fill: one goes if in every drawn line it holds a filler, the
+    same as in the column kept before it.  So all lines shrink alike and nothing is displaced."""
+    drawn = [k for k, line in enumerate(lines) if DRAWN.intersection(line)]
+    wide = max((columns_of(lines[k]) for k in drawn), default=0)
+    if wide <= WIDE_DIAGRAM:
+        return lines
+    cells = []
+    for k in drawn:
+        row: list[str | None] = []
+        for c in lines[k]:
+            row += [c, None] if advance(c) > 0.5 else [c]
+        cells.append(row + [" "] * (wide - len(row)))
+    kept = [0]
+    for c in range(1, wide):
+        if not all(row[c] in FILLERS and row[c] == row[kept[-1]] for row in cells):
+            kept.append(c)
+    out = list(lines)
+    for k, row in zip(drawn, cells):
+        out[k] = "".join(row[c] or "" for c in kept).rstrip()
+    return out
+
+
+CODE_PAD = 3.0
+
+
 def code_part(text: str, p: Sheet) -> Text:
     """Code on a grid of half-em columns, in a size at which its widest line fits."""
-    target = min(max(int(p.inner / (0.78 * p.font * 0.5)), CODE_COLUMNS[0]), CODE_COLUMNS[1])
-    lines = [x for line in text.replace("\t", "    ").split("\n") for x in wrapped_code(line.rstrip(), target)]
+    inner = max(p.inner - 2 * CODE_PAD, 40.0)
+    target = min(max(int(inner / (0.78 * p.font * 0.5)), CODE_COLUMNS[0]), CODE_COLUMNS[1])
+    source = [line.replace("\t", "    ").rstrip() for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n")]
+    lines = [x for line in compacted(source) for x in wrapped_code(line, target)]
     most = max(map(columns_of, lines), default=1)
-    size = max(6.5, min(0.8 * p.font, p.inner / ((most + 1) / 2)))
-    rows = [Row([Segment(line, size * 0.25, size)] if line else [], columns_of(line) * size / 2) for line in lines]
+    size = max(6.5, min(0.8 * p.font, inner / ((most + 1) / 2)))
+    rows = [Row([Segment(line, CODE_PAD, size)] if line else [], CODE_PAD + columns_of(line) * size / 2) for line in lines]
     return Text(rows, size * 1.3, "code", size)
 
 

@@ -336,6 +336,12 @@ def file_charsets(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "text_sources").select("doc_id", formats.charset(F.col("content")).alias("charset"))
 
 
+@query("""SELECT doc_id, CASE WHEN starts_with(hex(content), 'EFBBBF') THEN 'utf-8-bom' WHEN content IS NULL THEN 'gbk' WHEN TRY(decode(content)) IS NOT NULL THEN 'utf-8' ELSE 'gbk' END AS charset FROM text_sources""")
+def markup_charsets(spark: SparkSession, d: str) -> DataFrame:
+    """Charset of each stored file where no UTF-16 is expected."""
+    return table(spark, d, "text_sources").select("doc_id", formats.charset(F.col("content"), with_utf16=False).alias("charset"))
+
+
 @query()
 def file_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Stored files decoded and cut into blocks."""
