@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -108,10 +109,8 @@ def _ending(text: str) -> int:
     t = text.rstrip()
     if t.endswith(TRAILING):
         return END_STOP
-    if CUT_MARK.search(text):
-        return END_CUT
     if t.endswith(("…", "...", "⋯")):
-        return END_DOTS
+        return END_CUT if CUT_MARK.search(text) else END_DOTS
     last = t[-1:]
     return END_WORD if last.isalnum() or last in GOES_ON else END_STOP
 
@@ -159,7 +158,7 @@ def _prose(text: str) -> bool:
 
 def _matched(wanted: set[str], texts: list[str]) -> bool:
     """Whether any of the terms stands in the texts."""
-    whole = "\n".join(texts)
+    whole = "\n".join(texts).lower()
     return any(t in whole for t in wanted)
 
 
@@ -194,6 +193,10 @@ def features(article_id, url, title, content, lines=None) -> Iterator[tuple]:
     for raw in raws:
         at += len(raw) + 1
         ends.append(at - 1)
+    flat, starts = content.isascii(), [0]
+    if not flat:
+        for raw in raws:
+            starts.append(starts[-1] + len(raw.encode("utf-8", "replace")) + 1)
     open_end = not content.rstrip().endswith(">")
     last_no = len(raws) - 1
     while last_no > 0 and not raws[last_no].strip():
@@ -248,7 +251,7 @@ def features(article_id, url, title, content, lines=None) -> Iterator[tuple]:
                     finals.add(tail)
             else:
                 chars = ends[line.no] - _closing(raw)
-                size = len(content[:chars].encode("utf-8", "replace"))
+                size = chars if flat else starts[line.no] + len(raw[: len(raw) - ends[line.no] + chars].encode("utf-8", "replace"))
         if line.no == last_no:
             flags |= (OPEN if open_end else 0) | LAST
         line_key = mask = None
@@ -265,9 +268,8 @@ def features(article_id, url, title, content, lines=None) -> Iterator[tuple]:
         for no, raw in enumerate(raws):
             if no not in shown and "<" in raw and MEDIA.search(raw):
                 shown[no] = (no, IMAGE, 0, 0, None, 0, 0, None, None)
-    prose = [x.text.lower() for x in lines if shown[x.no][1] & LONG]
-    own = [x.text.lower() for x in lines if not shown[x.no][1] & (CHROME | CRUMB | PAGE | NOSCRIPT | UNFOLD) and not (plain_title and plain_title in x.text)]
-    flags = TITLE | (RESIDUE if is_residue(plain_title) and not _about(plain_title, prose) else 0) | (MATCHED if _matched(terms(plain_title) | slug_terms(url), own) else 0)
+    own = [x.text for x in lines if not shown[x.no][1] & (CHROME | CRUMB | PAGE | NOSCRIPT | UNFOLD) and not (plain_title and plain_title in x.text)]
+    flags = TITLE | (RESIDUE if is_residue(plain_title) and not _about(plain_title, [x.text.lower() for x in lines if shown[x.no][1] & LONG]) else 0) | (MATCHED if _matched(terms(plain_title) | slug_terms(url), own) else 0)
     out = [(-1, flags, len(plain_title), 0, key(plain_title) if plain_title else None, 0, 0, None, None), *shown.values()]
     yield article_id, site_key, page_key, sorted(finals), [dict(zip(COLUMNS, r)) for r in out]
 
@@ -510,23 +512,41 @@ def tail_words(text: str) -> set[str]:
     return words
 
 
-def page_words(lines: list) -> tuple[set[str], set[str]]:
-    """The words that long lines of a page show, and those that end a sentence there."""
-    words: set[str] = set()
-    final: set[str] = set()
-    for line in lines:
-        text = line.text
-        if line.in_code or line.in_page_tag or width(text) < SENTENCE_WIDTH:
-            continue
-        words |= tail_words(text)
-        at = 0
-        for m in STOPS.finditer(text):
-            final.add(_tail(text[max(at, m.start() - 80) : m.start()]))
-            at = m.end()
-        if _ending(text) == END_STOP:
-            final.add(_tail(text))
-    final = {w for w in final if w and not w[-1].isdigit()}
-    return words | final, final
+@lru_cache(maxsize=1)
+def _unspaced() -> np.ndarray:
+    """Which code points are letters and digits of unspaced scripts and of all blocks after them."""
+    return np.array([c >= 0x3040 and chr(c).isalnum() for c in range(0x110000)])
+
+
+def _code(word: str) -> int | str:
+    """A word as a key: the code points of its last two characters where it is unspaced, else itself."""
+    return (ord(word[-2]) if len(word) > 1 else 0) << 21 | ord(word[-1]) if word[-1:] >= "\u3040" else word
+
+
+def _word(code: int | str) -> str:
+    if isinstance(code, str):
+        return code
+    return (chr(code >> 21) if code >> 21 else "") + chr(code & 0x1FFFFF)
+
+
+def page_words(lines: list) -> tuple[set[int | str], set[int | str]]:
+    """The words that long lines of a page show, as tail_words() has them, and those that end a sentence there; as
+    keys of _code().  The lines are read together."""
+    texts = [x.text for x in lines if not (x.in_code or x.in_page_tag or width(x.text) < SENTENCE_WIDTH)]
+    if not texts:
+        return set(), set()
+    whole = "\n".join(texts)
+    words: set[int | str] = set(SPACED.findall(whole.lower()))
+    if not whole.isascii():
+        codes = np.frombuffer(("\n" + whole).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        left, right = codes[:-1], codes[1:]
+        kept = _unspaced()[right]
+        words.update(np.unique((np.where(left[kept] == 10, 0, left[kept]) << 21) | right[kept]).tolist())
+    final = {_tail(whole[max(m.start() - 80, 0) : m.start()].rpartition("\n")[2]) for m in STOPS.finditer(whole)}
+    final.update(_tail(x) for x in texts if _ending(x) == END_STOP)
+    ends = {_code(w) for w in final if w and not w[-1].isdigit()}
+    words |= ends
+    return words, ends
 
 
 def _page_kernel():
@@ -567,20 +587,20 @@ def features_and_words(articles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, shown_in, final_in = again.value, Counter(), Counter()
-        known: dict[str, int] = {}
+        known: dict[int | str, int] = {}
 
-        def number(word: str) -> int:
+        def number(word: int | str) -> int:
             if word not in known:
                 if len(known) >= WORDS_HELD:
                     known.clear()
-                known[word] = key(word)
+                known[word] = key(_word(word))
             return known[word]
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
         def counted() -> pa.RecordBatch:
-            row = (*no_lines, None, None, [{"tail": key(w), "n": n, "n_final": final_in[w]} for w, n in shown_in.items()])
+            row = (*no_lines, None, None, [{"tail": key(_word(w)), "n": n, "n_final": final_in[w]} for w, n in shown_in.items()])
             shown_in.clear()
             final_in.clear()
             return batch_of([row])

@@ -124,10 +124,10 @@ def _demand(text: str) -> bool:
 
 def message(text: str) -> str | None:
     """What follows the message a text begins with, empty if it demands scripts; None if it holds none of both."""
-    if SIDE_FEATURE.search(text):
-        return None
     m = MESSAGE.match(text)
-    return text[m.end() :] if m else "" if _demand(text) else None
+    if (m or _demand(text)) and not SIDE_FEATURE.search(text):
+        return text[m.end() :] if m else ""
+    return None
 
 
 def is_residue(text: str) -> bool:
