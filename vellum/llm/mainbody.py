@@ -394,18 +394,19 @@ def end_of_body(body: list[tuple], labels: list[int]) -> tuple[int, int | None,
     return CUT if unfold else OPEN_QUESTION, tail, chars, size
 
 
-JUDGED = "article_id long, site_key long, page_key long, residue boolean, labels array<struct<line_no:int,label:int>>, verdict int, tail long, chars int, bytes int"
+JUDGED = "article_id long, site_key long, page_key long, residue boolean, chrome array<int>, verdict int, tail long, chars int, bytes int"
+
+
+#: What decide() needs of the lines, besides the counts.
+LINE_FIELDS = ("line_no", "flags", "width", "ending", "tail", "chars", "bytes")
 
 
 def _decide_kernel():
-    def kernel(article_id, site_key, page_key, lines, on_site, on_hosts):
+    def kernel(article_id, site_key, page_key, on_site, on_hosts, *fields):
         s, h = set(on_site or ()), set(on_hosts or ())
-        rows = [
-            (r["line_no"], r["flags"], r["width"], r["ending"], r["line_no"] in s, r["line_no"] in h, r["tail"], r["chars"], r["bytes"])
-            for r in lines
-        ]
+        rows = [(n, f, w, e, n in s, n in h, t, c, b) for n, f, w, e, t, c, b in zip(*fields)]
         residue, labels, (verdict, tail, chars, size) = decide(rows)
-        yield article_id, site_key, page_key, residue, [{"line_no": n, "label": x} for n, x in labels], verdict, tail, chars, size
+        yield article_id, site_key, page_key, residue, [n for n, x in labels if x == CHROME_LABEL], verdict, tail, chars, size
 
     return kernel
 
@@ -442,9 +443,10 @@ def widely_shown(pages: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame) -> DataFrame:
-    """One row per article: residue or not, the label of every line, the verdict on the end of its body."""
+    """One row per article: residue or not, its lines that are the page's, the verdict on the end of its body."""
     marked = pages.join(widely_shown(pages), "article_id", "left")
-    return map_rows(marked.select("article_id", "site_key", "page_key", "lines", "on_site", "on_hosts"), _decide_kernel, JUDGED)
+    fields = [F.col("lines")[name].alias(name) for name in LINE_FIELDS]  # arrays of numbers cost less than arrays of structs
+    return map_rows(marked.select("article_id", "site_key", "page_key", "on_site", "on_hosts", *fields), _decide_kernel, JUDGED)
 
 
 def analysed(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -461,8 +463,7 @@ def residue_articles(articles: DataFrame) -> DataFrame:
 def page_lines(articles: DataFrame) -> DataFrame:
     """``article_id, line_no`` of the lines with visible text that are not the article's own body."""
     _, verdicts = analysed(articles)
-    each = verdicts.where("not residue").select("article_id", F.explode("labels").alias("x"))
-    return each.where(F.col("x.label") == CHROME_LABEL).select("article_id", F.col("x.line_no").alias("line_no"))
+    return verdicts.where("not residue").select("article_id", F.explode("chrome").alias("line_no"))
 
 
 #: A length is a limit where so many pages of a site end at it exactly, and so many times more than at lengths near it.
