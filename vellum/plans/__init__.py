@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import archives, articles, layout, markdown, splitting, typeset, xhtml
@@ -115,7 +115,17 @@ def pages(blocks: DataFrame, params: layout.Params = layout.Params()) -> DataFra
             yield {"doc_id": doc_id, **r}
 
     fields = F.struct("block_index", "kind", "level", "ordered", "order_index", "text")
-    return per_row(blocks.groupBy("doc_id").agg(F.collect_list(fields).alias("rows")), kernel, LINES)
+    return per_row(_by_document(blocks, fields), kernel, LINES)
+
+
+def _by_document(blocks: DataFrame, fields: Column) -> DataFrame:
+    """``doc_id, rows``: the blocks of each document together.
+
+    The one shuffle has the session's number of partitions whatever its size: laying out costs time, not
+    bytes, so parts that are small must not be put together.
+    """
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(parts, "doc_id").groupBy("doc_id").agg(F.collect_list(fields).alias("rows"))
 
 
 ELEMENTS = (
@@ -138,7 +148,7 @@ def typeset_pages(blocks: DataFrame, sheet: typeset.Sheet = typeset.Sheet()) ->
             yield {"doc_id": doc_id, **r}
 
     fields = F.struct(*[c for c in wanted if c in blocks.columns])
-    return per_row(blocks.groupBy("doc_id").agg(F.collect_list(fields).alias("rows")), kernel, ELEMENTS)
+    return per_row(_by_document(blocks, fields), kernel, ELEMENTS)
 
 
 def with_runs(blocks: DataFrame, runs: DataFrame) -> DataFrame:
