@@ -218,6 +218,23 @@ def test_p4_a_word_is_final_by_its_share(spark):
     assert mainbody.tail_words("It’s a 3-day “trip” 去河堤") == {"it’s", "a", "3", "day", "trip", " 去", "去河", "河堤"}
 
 
+def test_p4_repeated_lines_and_words_are_read_together():
+    import pyarrow as pa
+
+    text = "It’s over, he said. 他走了。“好！” 剩下 3. Wait... 'tis a 3-day 'trip' end\uff13。"
+    lines = web.lines_of(f"<p>{text}</p>\n<pre>\nno word of code is read, however long it is.\n</pre>\n<p>The second paragraph of it ends here.</p>")
+    words, ends, pairs, end_pairs = mainbody.words_and_pairs(lines)
+    second = "The second paragraph of it ends here."
+    shown = {mainbody._code(w) for x in (text, second) for w in mainbody.tail_words(x)}
+    assert words | set(pairs.tolist()) == shown | ends and {"said", "wait", "here"} == ends
+    assert {mainbody._word(c) for c in end_pairs.tolist()} == {"走了", "“好"}
+    mainbody._kept_line.cache_clear()
+    found = [next(mainbody.features(i, f"https://a.example/{i}", "t", f"<p>{'同' * 9}</p>\n<p>own {'x' * i}</p>")) for i in range(1, 4)]
+    assert mainbody._kept_line.cache_info().hits == 2 and len({x["line_key"] for row in found for x in row[4] if x["line_no"] == 0}) == 1
+    column = pa.array([[1, None], None, [], [1 << 60]], pa.list_(pa.int64()))
+    assert arrow.values(column) == column.to_pylist() and arrow.values(column.slice(2)) == [[], [1 << 60]] and arrow.values(pa.array(["a", None])) == ["a", None]
+
+
 def test_p5_pairs(spark):
     runs = [(1, "ＡＢＣ　１２"), (2, "ABC 12"), (3, "АВС  12"), (4, "abc 12"), (5, "cafe\u0301"), (6, "café"), (7, "⽔面"), (8, "水\u200b面"), (9, None), (10, " \u200b"), (11, "①"), (12, "1"), (2, "ABC 12"), (13, "ABC 12")]
     got = {tuple(r) for r in lookalike.equal_looking_pairs(frame(spark, runs, "run_id long, text string"), frame(spark, [(1, None, "Ｘ", None), (2, None, "X", None)], ARTICLE)).collect()}

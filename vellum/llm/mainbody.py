@@ -65,14 +65,21 @@ CRUMBS = re.compile(r"\S\s*(?:>|»|›|→)\s*\S[^>»›→]*\s*(?:>|»|›|→)
 NOTICE = re.compile(
     r"cookie|©|\(c\) ?\d|copyright|all rights|privacy|terms of|newsletter|subscri|sign in|log in|follow us|share (?:this|on)|rss\b|"
     r"site map|read more|^(?:words|text|photos?|drawings|edited|written|posted|published|filed|reprinted|by)\b.{0,60}$|readers found|"
-    r"隐私|备案|版权|转载|扫码|关注|订阅|客户端|免责|不代表|侵权|友情链接|保留.{0,4}权利|点赞|收藏|举报|在看|人读过|写下你的想法|星标|发给朋友|"
-    r"^(?:撰文|制图|摄影|编辑|校对|责编|文|图|図)[ \u3000]\S{1,16} ?[/／|｜] ?\S|"
-    r"^(?:相关阅读|相关文章|猜你喜欢|热门推荐|大家都在看|最新评论|标签云|广告|関連記事|人気の記事|おすすめ|タグ|広告|新着|"
-    r"related(?: (?:articles|posts|stories))?|you may also like|most read|sponsored|latest comments|tags|trending|advertisement)$|"
-    r"^(?:责编|编辑|校对|撰文|作者|文|图|来源|发布于|摄影|制图|审校)\s*[:：]|^发布于|"
-    r"クッキー|規約|転載|無断|編集室|新着|栞|友だち|人が読みました|公開$|会社案内|個人情報|^(?:文|図|写真|編集|校正)\s*[:：]|ページの先頭",
+    r"^(?:related(?: (?:articles|posts|stories))?|you may also like|most read|sponsored|latest comments|tags|trending|advertisement)$",
     re.I,
 )
+#: Signs of which one stands in a text that NOTICE matches.
+NOTICE_SIGNS = re.compile(r"[A-Za-z©\u0130\u0131\u017f\u212a]")
+#: The same in unspaced text: anywhere, and from the beginning of the line on.
+NOTICE_UNSPACED = re.compile(
+    r"隐私|备案|版权|转载|扫码|关注|订阅|客户端|免责|不代表|侵权|友情链接|保留.{0,4}权利|点赞|收藏|举报|在看|人读过|写下你的想法|星标|发给朋友|"
+    r"クッキー|規約|転載|無断|編集室|新着|栞|友だち|人が読みました|公開$|会社案内|個人情報|ページの先頭"
+)
+NOTICE_FIRST = re.compile(
+    r"(?:撰文|制图|摄影|编辑|校对|责编|文|图|図)[ \u3000]\S{1,16} ?[/／|｜] ?\S|"
+    r"(?:相关阅读|相关文章|猜你喜欢|热门推荐|大家都在看|最新评论|标签云|广告|関連記事|人気の記事|おすすめ|タグ|広告|新着)$|"
+    r"(?:责编|编辑|校对|撰文|作者|文|图|来源|发布于|摄影|制图|审校)\s*[:：]|发布于|(?:文|図|写真|編集|校正)\s*[:：]"
+)
 #: Prompts to go on reading elsewhere.
 UNFOLDS = re.compile(
     r"^[\s.…·]*(?:(?:展开|显示|查看|阅读|加载|点击|打开)[^。，]{0,12}(?:全文|更多|全部|APP|加载|展开|原文)[^。，]{0,8}|继续(?:阅读|浏览|看)[^。，]{0,8}|(?:剩余|还有|余下)\s*\d[^。]{0,24}|"
@@ -88,6 +95,7 @@ SIGNATURE = re.compile(r"^\s*(?:——|―|--|—)\s*\S")
 #: Frequent function words, by script.
 FUNCTION_CJK = "的了在是和把为之のをにがはとる"
 FUNCTION_WORDS = (" the ", " of ", " and ", " a ", " to ", " in ", " was ", " is ", " that ", " и ", " на ", " не ", " в ", " le ", " la ", " de ", " et ", " der ", " die ", " und ", " o ", " e ")
+FUNCTION_ASCII = tuple(w for w in FUNCTION_WORDS if w.isascii())
 
 COLUMNS = ("line_no", "flags", "width", "ending", "tail", "chars", "bytes", "line_key", "mask_key")
 #: Flags that settle the label of a line whatever its counts.
@@ -115,9 +123,12 @@ def _ending(text: str) -> int:
     return END_WORD if last.isalnum() or last in GOES_ON else END_STOP
 
 
-@lru_cache(maxsize=1 << 14)
 def _notice(text: str) -> bool:
-    return NOTICE.search(text) is not None or FRAMED.match(text) is not None
+    if NOTICE_SIGNS.search(text) and NOTICE.search(text):
+        return True
+    if not text.isascii() and (NOTICE_UNSPACED.search(text) or NOTICE_FIRST.match(text)):
+        return True
+    return FRAMED.match(text) is not None
 
 
 def _tail(text: str) -> str:
@@ -146,14 +157,24 @@ def _closing(raw: str) -> int:
 
 
 def _prose(text: str) -> bool:
-    """Stop-word density of running text."""
-    if text.isascii():
-        padded = f" {text.lower()} "
-        return sum(padded.count(w) for w in FUNCTION_WORDS) * 12 >= text.count(" ")
-    if max(text) >= "぀":
-        return sum(map(text.count, FUNCTION_CJK)) * 25 >= len(text)
+    """Stop-word density of running text.  Words are counted until there are enough."""
+    if not text.isascii() and max(text) >= "぀":
+        left = len(text)
+        for c in FUNCTION_CJK:
+            left -= 25 * text.count(c)
+            if left <= 0:
+                return True
+        return False
     padded = f" {text.lower()} "
-    return sum(padded.count(w) for w in FUNCTION_WORDS) * 15 >= text.count(" ")
+    words, times = (FUNCTION_ASCII, 12) if text.isascii() else (FUNCTION_WORDS, 15)
+    left = text.count(" ")
+    if left <= 0:
+        return True
+    for w in words:
+        left -= times * padded.count(w)
+        if left <= 0:
+            return True
+    return False
 
 
 def _matched(wanted: set[str], texts: list[str]) -> bool:
@@ -179,7 +200,81 @@ def slug_terms(url: str | None) -> set[str]:
     return terms(path.rsplit(".", 1)[0].replace("-", " ").replace("_", " "))
 
 
+def line_features(raw: str, text: str, in_list: bool, in_code: bool, in_page_tag: bool, noscript: bool, tag: str) -> tuple:
+    """What a line shows by itself, wherever it stands: its width, flags, ending and tail word; the tail again if it
+    ends a sentence; the length of what stands after a cut; the text to be counted, and its key where the site's
+    name isn't in it."""
+    w = width(text)
+    flags = (LIST if in_list else 0) | (CODE if in_code else 0) | (PAGE if in_page_tag else 0) | (NOSCRIPT if noscript else 0)
+    if tag[:1] == "h" and tag[1:].isdigit():
+        flags |= HEAD
+    elif tag == "blockquote":
+        flags |= QUOTE
+    elif tag in ("table", "th"):
+        flags |= TABLE
+    elif tag == "li":
+        flags |= ITEM
+    if "<a" in raw:
+        linked = sum(len(x) for x in HREF.findall(raw))
+        if linked * 2 > len(text):
+            flags |= LINKED
+    residue, weak = line_residue(raw, text, in_code, in_list)
+    said = w > MESSAGE_WIDTH and not (residue or in_code or in_list) and says_message(text)
+    flags |= (RESIDUE if residue else 0) | (WEAK if weak else 0) | (SAID if said else 0)
+    ending = _ending(text)
+    if w <= PROMPT_WIDTH and UNFOLDS.match(text):
+        flags |= UNFOLD
+    elif w <= NOTICE_WIDTH and not flags & (LIST | CODE | ITEM | HEAD) and _notice(text):
+        flags |= CHROME
+    elif (w >= LONG_WIDTH or (w >= SENTENCE_WIDTH and ending != END_WORD)) and _prose(text):
+        flags |= LONG
+    if w <= LINE_WIDTH and not flags & (LIST | CODE | ITEM) and (
+        ((">" in text or "»" in text or "›" in text or "→" in text) and CRUMBS.search(text)) or (not flags & LONG and MENU.match(text))
+    ):
+        flags |= CRUMB
+    if w <= SET_WIDTH and "<" in raw and not flags & (LIST | CODE | ITEM) and ((("class" in raw or "id=" in raw) and ASIDE.search(raw)) or (ending == END_WORD and BARE.match(raw))):
+        flags |= CHROME
+    if w <= LINE_WIDTH and ending == END_WORD and "<" in raw and not flags & (LIST | CODE | ITEM | HEAD) and APART.match(raw):
+        flags |= STYLED
+    if w <= LINE_WIDTH and not flags & (LIST | CODE | ITEM | LONG):
+        if NEXT_PART.search(text):
+            flags |= NEXT
+        if SIGNATURE.match(text):
+            flags |= SIGN
+    tail = final = same = mask = None
+    closing = 0
+    if ending != END_STOP or (w >= SENTENCE_WIDTH and not flags & (ITEM | CODE)):
+        word = _tail(text)
+        tail = key(word)
+        if ending != END_STOP:
+            closing = _closing(raw)
+        elif word and not word[-1].isdigit():  # a number may end anywhere
+            final = tail
+    if flags & (WEAK | LIST) or not flags & SETTLED:
+        same = same_text(text)
+        if not flags & (LIST | HEAD):  # headings and list items of articles are alike on many sites
+            mask = _mask_key(same)
+    return w, flags, ending, tail, final, closing, same, mask
+
+
+def _mask_key(masked: str) -> int:
+    if quoted := QUOTED.search(masked):
+        masked = masked.replace(quoted[0], "\x02")
+    return key(masked)
+
+
+#: Lines up to this length are looked up if they came before, as those of a site do; so many are kept.
+KEPT_LENGTH, LINES_KEPT = 240, 1 << 14
+_kept_line = lru_cache(maxsize=LINES_KEPT)(line_features)
+
+
 def features(article_id, url, title, content, lines=None) -> Iterator[tuple]:
+    """The features of one article, with a dict for each of its lines."""
+    for *keys, rows in feature_rows(article_id, url, title, content, lines):
+        yield *keys, [dict(zip(COLUMNS, r)) for r in rows]
+
+
+def feature_rows(article_id, url, title, content, lines=None) -> Iterator[tuple]:
     """The features of one article (``lines`` if they were read already): its keys and a row for the title (line_no -1) and for every line that
     shows text or an image.  Only lines on which the counts can have a say carry keys to be counted."""
     site, page = site_and_page(url)
@@ -193,77 +288,33 @@ def features(article_id, url, title, content, lines=None) -> Iterator[tuple]:
     for raw in raws:
         at += len(raw) + 1
         ends.append(at - 1)
-    flat, starts = content.isascii(), [0]
-    if not flat:
-        for raw in raws:
-            starts.append(starts[-1] + len(raw.encode("utf-8", "replace")) + 1)
+    flat, read, size_read = content.isascii(), 0, 0
     open_end = not content.rstrip().endswith(">")
     last_no = len(raws) - 1
     while last_no > 0 and not raws[last_no].strip():
         last_no -= 1
     lines = lines_of(content) if lines is None else lines
-    for line in lines:
-        text, raw = line.text, line.raw
-        w = width(text)
-        flags = (LIST if line.in_list else 0) | (CODE if line.in_code else 0) | (PAGE if line.in_page_tag else 0) | (NOSCRIPT if line.noscript else 0)
-        tag = line.tag
-        if tag[:1] == "h" and tag[1:].isdigit():
-            flags |= HEAD
-        elif tag == "blockquote":
-            flags |= QUOTE
-        elif tag in ("table", "th"):
-            flags |= TABLE
-        elif tag == "li":
-            flags |= ITEM
-        if "<a" in raw:
-            linked = sum(len(x) for x in HREF.findall(raw))
-            if linked * 2 > len(text):
-                flags |= LINKED
-        residue, weak = line_residue(raw, text, line.in_code, line.in_list)
-        said = w > MESSAGE_WIDTH and not (residue or line.in_code or line.in_list) and says_message(text)
-        flags |= (RESIDUE if residue else 0) | (WEAK if weak else 0) | (SAID if said else 0)
-        ending = _ending(text)
-        if w <= PROMPT_WIDTH and UNFOLDS.match(text):
-            flags |= UNFOLD
-        elif w <= NOTICE_WIDTH and not flags & (LIST | CODE | ITEM | HEAD) and _notice(text):
-            flags |= CHROME
-        elif (w >= LONG_WIDTH or (w >= SENTENCE_WIDTH and ending != END_WORD)) and _prose(text):
-            flags |= LONG
-        if w <= LINE_WIDTH and not flags & (LIST | CODE | ITEM) and (
-            (any(c in text for c in ">»›→") and CRUMBS.search(text)) or (not flags & LONG and MENU.match(text))
-        ):
-            flags |= CRUMB
-        if w <= SET_WIDTH and "<" in raw and not flags & (LIST | CODE | ITEM) and ((("class" in raw or "id=" in raw) and ASIDE.search(raw)) or (ending == END_WORD and BARE.match(raw))):
-            flags |= CHROME
-        if w <= LINE_WIDTH and ending == END_WORD and "<" in raw and not flags & (LIST | CODE | ITEM | HEAD) and APART.match(raw):
-            flags |= STYLED
-        if w <= LINE_WIDTH and not flags & (LIST | CODE | ITEM | LONG):
-            if NEXT_PART.search(text):
-                flags |= NEXT
-            if SIGNATURE.match(text):
-                flags |= SIGN
-        tail, chars, size = None, 0, 0
-        if ending != END_STOP or (w >= SENTENCE_WIDTH and not flags & (ITEM | CODE)):
-            word = _tail(text)
-            tail = key(word)
-            if ending == END_STOP:
-                if word and not word[-1].isdigit():  # a number may end anywhere
-                    finals.add(tail)
-            else:
-                chars = ends[line.no] - _closing(raw)
-                size = chars if flat else starts[line.no] + len(raw[: len(raw) - ends[line.no] + chars].encode("utf-8", "replace"))
-        if line.no == last_no:
+    for no, raw, text, *where in lines:
+        w, flags, ending, tail, final, closing, same, mask = (_kept_line if len(raw) <= KEPT_LENGTH else line_features)(raw, text, *where)
+        chars = size = 0
+        if final is not None:
+            finals.add(final)
+        elif ending != END_STOP:
+            chars = ends[no] - closing
+            if not flat:
+                size_read += len(content[read:chars].encode("utf-8", "replace"))
+                read = chars
+            size = chars if flat else size_read
+        if no == last_no:
             flags |= (OPEN if open_end else 0) | LAST
-        line_key = mask = None
-        if site and not flags & OPEN and (flags & (WEAK | LIST) or not flags & SETTLED):  # beginnings of cut sentences are alike
-            same = same_text(text)
+        line_key = None
+        if not site or flags & OPEN or same is None:  # beginnings of cut sentences are alike
+            mask = None
+        else:
             line_key = key(site, same)
-            if not flags & (LIST | HEAD):  # headings and list items of articles are alike on many sites
-                masked = same_text(text.replace(name, "\x01")) if name and name in text else same
-                if quoted := QUOTED.search(masked):
-                    masked = masked.replace(quoted[0], "\x02")
-                mask = key(masked)
-        shown[line.no] = (line.no, flags, w, ending, tail, chars, size, line_key, mask)
+            if mask is not None and name and name in text:
+                mask = _mask_key(same_text(text.replace(name, "\x01")))
+        shown[no] = (no, flags, w, ending, tail, chars, size, line_key, mask)
     if "<" in content and MEDIA.search(content):
         for no, raw in enumerate(raws):
             if no not in shown and "<" in raw and MEDIA.search(raw):
@@ -271,12 +322,12 @@ def features(article_id, url, title, content, lines=None) -> Iterator[tuple]:
     own = [x.text for x in lines if not shown[x.no][1] & (CHROME | CRUMB | PAGE | NOSCRIPT | UNFOLD) and not (plain_title and plain_title in x.text)]
     flags = TITLE | (RESIDUE if is_residue(plain_title) and not _about(plain_title, [x.text.lower() for x in lines if shown[x.no][1] & LONG]) else 0) | (MATCHED if _matched(terms(plain_title) | slug_terms(url), own) else 0)
     out = [(-1, flags, len(plain_title), 0, key(plain_title) if plain_title else None, 0, 0, None, None), *shown.values()]
-    yield article_id, site_key, page_key, sorted(finals), [dict(zip(COLUMNS, r)) for r in out]
+    yield article_id, site_key, page_key, sorted(finals), out
 
 
 def page_features(articles: DataFrame) -> DataFrame:
     """One row per row of ``articles``."""
-    return map_rows(articles.select("article_id", "url", "title", "content_html"), lambda: features, FEATURES)
+    return map_rows(articles.select("article_id", "url", "title", "content_html"), lambda: feature_rows, FEATURES)
 
 
 #: Least pages and least share of a site's pages on which a notice of that site stands; share for headings and
@@ -474,10 +525,11 @@ FINAL_SHARE = 0.05
 PAGE_BITS = 23
 #: Words that a task counts before it passes the counts on.
 WORDS_HELD = 1 << 18
-#: Words as _tail() takes them: runs of letters, or two characters of unspaced text.
-SPACED = re.compile(r"[^\W_\u3040-\U0010ffff](?:[^\W_\u3040-\U0010ffff]|['’](?=['’]*[^\W_\u3040-\U0010ffff]))*|['’]+(?:[^\W_\u3040-\U0010ffff]|['’](?=['’]*[^\W_\u3040-\U0010ffff]))+")
-#: The end of a sentence inside a line.
-STOPS = re.compile(r"[。！？!?．｡]+|\.(?=\s|$)")
+#: Pairs of characters that it holds before it counts them.
+PAIRS_HELD = 1 << 20
+#: What ends a sentence inside a line, as does a full stop where a blank or nothing follows.
+STOPS = "。！？!?．｡"
+LINE_STOPS = STOPS + "."
 
 
 def length_spikes(ends: DataFrame) -> DataFrame:
@@ -505,7 +557,7 @@ def length_spikes(ends: DataFrame) -> DataFrame:
 
 def tail_words(text: str) -> set[str]:
     """Every word of a line that would be its tail if the line broke off there."""
-    words = {m[0].lower() for m in SPACED.finditer(text)} if min(text) < "\u3040" else set()
+    words = spaced_words(text.lower()) if min(text) < "\u3040" else set()
     if max(text) >= "\u3040":
         words.update(a + b for a, b in {*zip("\n" + text, text)} if b >= "\u3040" and b.isalnum())
         if text[0] >= "\u3040" and text[0].isalnum():
@@ -513,10 +565,52 @@ def tail_words(text: str) -> set[str]:
     return words
 
 
+def _ranges(codes: list[int]) -> str:
+    """Code points as the inside of a character class."""
+    out, first = [], 0
+    for i, c in enumerate(codes):
+        if i + 1 == len(codes) or codes[i + 1] != c + 1:
+            out.append(f"\\U{codes[first]:08x}-\\U{c:08x}")
+            first = i + 1
+    return "".join(out)
+
+
+#: Runs of letters, digits and apostrophes of spaced scripts.
+SPACED = re.compile("[" + _ranges([c for c in range(0x3040) if chr(c).isalnum() or chr(c) in "'’"]) + "]+")
+
+
+def spaced_words(text: str) -> set[str]:
+    """Words of spaced scripts in a text, as _tail() takes them: apostrophes at their end are left out."""
+    words = set(SPACED.findall(text))
+    if "'" in text or "’" in text:
+        words = {w.rstrip("'’") if w[-1] in "'’" else w for w in words}
+        words.discard("")
+    return words
+
+
+UNSPACED_SIGN, DIGIT, STOP, FULL_STOP, BLANK, ANY_STOP = 1, 2, 4, 8, 16, 12
+
+
 @lru_cache(maxsize=1)
-def _unspaced() -> np.ndarray:
-    """Which code points are letters and digits of unspaced scripts and of all blocks after them."""
-    return np.array([c >= 0x3040 and chr(c).isalnum() for c in range(0x110000)])
+def _signs() -> np.ndarray:
+    """What each code point is: a letter or digit of unspaced scripts and of all blocks after them, a digit, a stop, a blank."""
+    every = "".join(map(chr, range(0x40000)))  # no later plane has letters, digits or blanks
+    table = np.zeros(0x110000, np.uint8)
+    table[[m.start() for m in re.finditer(r"\s", every)]] = BLANK
+    table[0x3040:][[m.start() for m in re.finditer(r"[^\W_]", every[0x3040:])]] = UNSPACED_SIGN
+    table[[m.start() for m in re.finditer(r"\w", every) if m[0].isdigit()]] |= DIGIT
+    for x in STOPS:
+        table[ord(x)] |= STOP
+    table[ord(".")] |= FULL_STOP
+    return table
+
+
+def _once(codes: np.ndarray) -> np.ndarray:
+    """Each code once, in order."""
+    if len(codes) < 2:
+        return codes
+    codes = np.sort(codes)
+    return codes[np.concatenate(([True], codes[1:] != codes[:-1]))]
 
 
 def _code(word: str) -> int | str:
@@ -530,24 +624,38 @@ def _word(code: int | str) -> str:
     return (chr(code >> 21) if code >> 21 else "") + chr(code & 0x1FFFFF)
 
 
+NO_PAIRS = np.zeros(0, np.int64)
+
+
 def page_words(lines: list) -> tuple[set[int | str], set[int | str]]:
     """The words that long lines of a page show, as tail_words() has them, and those that end a sentence there; as
-    keys of _code().  The lines are read together."""
+    keys of _code()."""
+    words, ends, pairs, end_pairs = words_and_pairs(lines)
+    return words.union(pairs.tolist()), ends.union(end_pairs.tolist())
+
+
+def words_and_pairs(lines: list) -> tuple[set[str], set[str], np.ndarray, np.ndarray]:
+    """page_words(): words and ends of spaced scripts, then those of unspaced ones, each once.  The lines are read together."""
     texts = [x.text for x in lines if not (x.in_code or x.in_page_tag or width(x.text) < SENTENCE_WIDTH)]
     if not texts:
-        return set(), set()
+        return set(), set(), NO_PAIRS, NO_PAIRS
     whole = "\n".join(texts)
-    words: set[int | str] = set(SPACED.findall(whole.lower()))
-    if not whole.isascii():
-        codes = np.frombuffer(("\n" + whole).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-        left, right = codes[:-1], codes[1:]
-        kept = _unspaced()[right]
-        words.update(np.unique((np.where(left[kept] == 10, 0, left[kept]) << 21) | right[kept]).tolist())
-    final = {_tail(whole[max(m.start() - 80, 0) : m.start()].rpartition("\n")[2]) for m in STOPS.finditer(whole)}
-    final.update(_tail(x) for x in texts if _ending(x) == END_STOP)
-    ends = {_code(w) for w in final if w and not w[-1].isdigit()}
-    words |= ends
-    return words, ends
+    codes = np.frombuffer(("\n" + whole + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    signs = _signs()[codes]
+    left, right = codes[:-2], codes[1:-1]
+    pairs = np.where(left == 10, 0, left) << 21 | right
+    unspaced = (signs[1:-1] & UNSPACED_SIGN) != 0
+    stops = np.flatnonzero(signs[2:-1] & ANY_STOP) + 1  # places in the text; a stop that begins it ends nothing
+    kinds, before = signs[1 + stops], signs[stops]
+    stops = stops[((kinds & STOP) != 0) & ((before & STOP) == 0) | ((kinds & FULL_STOP) != 0) & ((signs[2 + stops] & BLANK) != 0)]
+    before = signs[stops]
+    after_pair = (before & UNSPACED_SIGN) != 0
+    final = {_tail(whole[max(at - 80, 0) : at].rpartition("\n")[2]) for at in stops[~after_pair].tolist()}
+    final.update(_tail(x) for x in texts if not (x[-1] in LINE_STOPS and x[-2:-1].isalnum()) and _ending(x) == END_STOP)  # the others stand before a stop
+    other = {_code(w) for w in final if w and not w[-1].isdigit()}
+    ends = {w for w in other if isinstance(w, str)}
+    end_pairs = _once(np.concatenate((pairs[stops[after_pair & ((before & DIGIT) == 0)] - 1], np.fromiter((w for w in other if not isinstance(w, str)), np.int64))))
+    return spaced_words(whole.lower()) | ends, ends, _once(np.concatenate((pairs[unspaced], end_pairs))), end_pairs
 
 
 def _page_kernel():
@@ -588,6 +696,7 @@ def features_and_words(articles: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, shown_in, final_in = again.value, Counter(), Counter()
+        held: dict[int, list[np.ndarray]] = {0: [], 1: []}
         known: dict[int | str, int] = {}
 
         def number(word: int | str) -> int:
@@ -600,29 +709,44 @@ def features_and_words(articles: DataFrame) -> DataFrame:
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), target)], schema=target)
 
+        def add_held() -> None:
+            for counts, arrays in zip((shown_in, final_in), held.values()):
+                if arrays:
+                    pairs, n = np.unique(np.concatenate(arrays), return_counts=True)
+                    counts.update(dict(zip(pairs.tolist(), n.tolist())))
+                    arrays.clear()
+
         def counted() -> pa.RecordBatch:
-            row = (*no_lines, None, None, [{"tail": key(_word(w)), "n": n, "n_final": final_in[w]} for w, n in shown_in.items()])
+            row = (*no_lines, None, None, [(key(_word(w)), n, final_in[w]) for w, n in shown_in.items()])
             shown_in.clear()
             final_in.clear()
             return batch_of([row])
 
         for batch in batches:
-            rows = []
+            rows, n_held = [], 0
             for article_id, url, title, content in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = lines_of(content)
-                row = next(features(article_id, url, title, content, lines))
-                words, final = page_words(lines)
+                row = next(feature_rows(article_id, url, title, content, lines))
+                words, ends, pairs, end_pairs = words_and_pairs(lines)
                 page = row[2]
                 at = (page or 0) & ((1 << PAGE_BITS) - 1)
                 if page is None or bits[at >> 3] >> (at & 7) & 1:
-                    shown = [{"tail": number(w), "final": w in final} for w in words]
+                    ends.update(end_pairs.tolist())
+                    shown = [(number(w), w in ends) for w in (*words, *pairs.tolist())]
                     rows.append((*row, page if page is not None else key(content or ""), shown, None))
                 else:
                     shown_in.update(words)
-                    final_in.update(final)
+                    final_in.update(ends)
+                    held[0].append(pairs)
+                    held[1].append(end_pairs)
+                    n_held += len(pairs)
+                    if n_held >= PAIRS_HELD:
+                        add_held()
+                        n_held = 0
                     rows.append((*row, None, None, None))
             if rows:
                 yield batch_of(rows)
+            add_held()
             if len(shown_in) >= WORDS_HELD:
                 yield counted()
         if shown_in:
