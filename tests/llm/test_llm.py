@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import arrow, bpe, charset, lookalike, mainbody, markup, mixing, queries, repetition, residue, site_lines, web
+from vellum.llm import arrow, bpe, charset, lookalike, mainbody, markup, mixing, queries, repetition, residue, site_lines, web, wrapper
 
 TOKENIZER = os.path.join(bpe.TOKENIZERS, "byte_bpe_50k.tiktoken")
 ARTICLE = "article_id long, url string, title string, content_html string"
@@ -304,6 +304,36 @@ def test_p6_clips_of_one_page_are_no_template(spark):
     assert len(got) == 36 and all(got[i] == f"文章一。\n共同的正文\n第{i}版" for i in range(30)) and got[103] == "文章3。\n内容3"
 
 
+def test_p6_places_are_aligned_nodes(spark):
+    def page(i):
+        tea, other = "Tea *and* cake", f"Own *text* {i}"
+        first, second = (tea, other) if i < 3 else (other, tea) if i < 6 else (other, other + "x")
+        return f"<div><h2>First</h2><p>{first}</p></div><div><h2>Second</h2><p>{second}</p><p>All *rights* {'' if i % 2 else '<b>are</b> '}ours</p></div>"
+
+    rows = [(i, f"https://s.example/{i}", "t", page(i)) for i in range(12)]
+    rows += [(100 + i, f"https://u.example/{i}", "t", f"<p>{'*a* ' * (i + 1)}</p>" + "".join(f"<p>only {i} {j}</p>" for j in range(i % 3)) + "<p>Made *by* us</p>") for i in range(70)]
+    got = {r["article_id"]: (r["n_slots"], r["n_templates"]) for r in markup.markup_places(frame(spark, rows, ARTICLE)).collect()}
+    # a text on three pages in one place and on three in another is no template of a site of twelve, which needs four
+    assert got == {**{i: (2, 1) for i in range(12)}, **{100 + i: (1, 1) for i in range(70)}}
+
+
+def test_p6_alignment():
+    def paths(content, w):
+        root = markup.tree(content)
+        w.name(root)
+        return {text: path for path, _, text in markup.units(root)}
+
+    first, second = "<div><p>one</p><p>end</p></div>", "<div><p>two</p><ul><li>x</li><li>z</li></ul><p>more</p><p>end</p></div><div><p>c</p><p>d</p></div>"
+    w = wrapper.induced(markup.tree(x) for x in (first, second))
+    assert [p.tag for p in w.root.children[0].children] == ["p", "ul", "p", "p"] and len(w.root.children) == 2
+    a, b = paths("<div><p>three</p><p>end</p></div>", w), paths("<div><p>c</p><p>new</p></div><div><p>end</p><ul><li>y</li><li>x</li></ul></div><table><tr><td>t</td></tr></table>", w)
+    assert a["end"] == a["three"] == b["end"] == "/div#2/p/#text" and b["new"] == "/div/p/#text" and b["t |"] == "/table/tr/td/#text"
+    deep, long = "<div>" * 3000 + "x", "<ul>" + "".join(f"<li><p>{i}</p><p>x</p></li>" for i in range(1500)) + "</ul>"
+    w = wrapper.induced(markup.tree(x) for x in (deep, long, long.replace("<li><p>7</p><p>x</p></li>", "")))
+    whole, less = paths(long, w), paths(long.replace("<li><p>7</p><p>x</p></li>", ""), w)
+    assert paths(deep, w) and len({p for t, p in whole.items() if t != "x"}) == 1500 and less["9"] == whole["9"] != whole["8"]
+
+
 @pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer files")
 def test_p8_equals_public_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
