@@ -235,6 +235,15 @@ def test_p4_repeated_lines_and_words_are_read_together():
     assert arrow.values(column) == column.to_pylist() and arrow.values(column.slice(2)) == [[], [1 << 60]] and arrow.values(pa.array(["a", None])) == ["a", None]
 
 
+def test_p4_collector_is_paused_and_comes_back():
+    import gc
+
+    with pytest.raises(KeyError), arrow.no_cycles():
+        assert not gc.isenabled()
+        raise KeyError
+    assert gc.isenabled()
+
+
 def test_p5_pairs(spark):
     runs = [(1, "ＡＢＣ　１２"), (2, "ABC 12"), (3, "АВС  12"), (4, "abc 12"), (5, "cafe\u0301"), (6, "café"), (7, "⽔面"), (8, "水\u200b面"), (9, None), (10, " \u200b"), (11, "①"), (12, "1"), (2, "ABC 12"), (13, "ABC 12")]
     got = {tuple(r) for r in lookalike.equal_looking_pairs(frame(spark, runs, "run_id long, text string"), frame(spark, [(1, None, "Ｘ", None), (2, None, "X", None)], ARTICLE)).collect()}

@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from ..session import cut_lineage, ship_package, spread
-from .arrow import map_rows
+from .arrow import map_rows, no_cycles
 from .residue import MESSAGE_WIDTH, PLACEHOLDER, is_residue, line_residue, message, says_message, terms, width
 from .web import brand, key, lines_of, same_text, site_and_page
 
@@ -722,8 +722,8 @@ def features_and_words(articles: DataFrame) -> DataFrame:
             final_in.clear()
             return batch_of([row])
 
-        for batch in batches:
-            rows, n_held = [], 0
+        def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+            n_held = 0
             for article_id, url, title, content in zip(*(c.to_pylist() for c in batch.columns)):
                 lines = lines_of(content)
                 row = next(feature_rows(article_id, url, title, content, lines))
@@ -733,20 +733,26 @@ def features_and_words(articles: DataFrame) -> DataFrame:
                 if page is None or bits[at >> 3] >> (at & 7) & 1:
                     ends.update(end_pairs.tolist())
                     shown = [(number(w), w in ends) for w in (*words, *pairs.tolist())]
-                    rows.append((*row, page if page is not None else key(content or ""), shown, None))
-                else:
-                    shown_in.update(words)
-                    final_in.update(ends)
-                    held[0].append(pairs)
-                    held[1].append(end_pairs)
-                    n_held += len(pairs)
-                    if n_held >= PAIRS_HELD:
-                        add_held()
-                        n_held = 0
-                    rows.append((*row, None, None, None))
-            if rows:
-                yield batch_of(rows)
+                    yield *row, page if page is not None else key(content or ""), shown, None
+                    continue
+                shown_in.update(words)
+                final_in.update(ends)
+                held[0].append(pairs)
+                held[1].append(end_pairs)
+                n_held += len(pairs)
+                if n_held >= PAIRS_HELD:
+                    add_held()
+                    n_held = 0
+                yield *row, None, None, None
             add_held()
+
+        for batch in batches:
+            with no_cycles():
+                rows = list(read(batch))
+                out_batch = batch_of(rows) if rows else None
+                del rows
+            if out_batch is not None:
+                yield out_batch
             if len(shown_in) >= WORDS_HELD:
                 yield counted()
         if shown_in:
